@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, minhash, tokenfile, toxicity
+from . import bpe, decontam, langid, minhash, tokenfile, toxicity
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(read(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 4 = 2")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 3 = 1", threshold=0.7)
 
@@ -33,6 +37,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op7_minhash": op7_minhash,
     "op9_token_files": op9_token_files,
