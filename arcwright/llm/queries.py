@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, minhash, tokenfile, toxicity
+from . import bpe, decontam, embedding, langid, minhash, tokenfile, toxicity
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(read(spark, sf_dir, "documents"), size=5, percent=85)
 
 
+def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.links(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.written(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op7_minhash": op7_minhash,
+    "op8_embedding": op8_embedding,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
@@ -71,4 +76,15 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS componen
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op7_minhash": OP7_SQL}
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, x -> abs(x))) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT x, x AS y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS c FROM r GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(c, v.vec_id) AS component_id, coalesce(c, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op7_minhash": OP7_SQL, "op8_embedding": OP8_SQL}
