@@ -78,7 +78,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 
 OP8_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, x -> abs(x))) > 0),
+g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
 r AS (SELECT x, x AS y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 c AS (SELECT x AS vec_id, min(y) AS c FROM r GROUP BY x),
