@@ -315,8 +315,8 @@ def _shared(members: DataFrame, size: int) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
 
 
-def _large_clusters(big: DataFrame, texts: DataFrame, size: int, percent: int, block: int) -> DataFrame:
-    """Edges of clusters (id, cluster, members) beyond a block, each dealt to many tasks.
+def _large_clusters(full: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Edges of clusters (cluster, members, doc_id, text) beyond a block, each dealt to many tasks.
 
     1. Chunks of a cluster are verified within, and each names its most central set; the most central of all is the hub.
     2. Chunks are verified with the hub among them: most of a dense cluster then is one component with its hub.
@@ -325,8 +325,7 @@ def _large_clusters(big: DataFrame, texts: DataFrame, size: int, percent: int, b
     Each pair of a cluster meets in 1 or 3, or both are linked with the hub, or one can't link at all.
     """
     chunks = F.ceil(F.col("members") / F.lit(max(1, block // 2))).cast("int")
-    big = big.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    full = C.stored(big.join(texts, big.id == F.col("doc_id")).select("cluster", "chunks", "chunk", "doc_id", "text"), "minhash-members")
+    full = full.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     keyed = lambda df, *more: df.select(F.concat_ws("-", "cluster", "chunk", *more).alias("key"), "cluster", "doc_id", "text")
     edge, link = _by_key(size, _edges(percent), ["a", "b"]), "a long, b long"
     inner = _dealt(keyed(full), edge, link)
@@ -356,11 +355,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS
     classes = C.stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "minhash-classes")
     clusters = C.stored(connected(candidate_edges(classes), "minhash-candidates"), "minhash-clusters")
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("members")), "component").withColumnRenamed("component", "cluster")
-    texts = texts.where("doc_id is not null")
-    small = sized.where(F.col("members") <= block)
-    members = small.join(texts, small.id == F.col("doc_id")).select(F.col("cluster").cast("string").alias("key"), "cluster", "doc_id", "text")
-    found = _dealt(members, _by_key(size, _edges(percent), ["a", "b"]), "a long, b long")
-    found = found.unionByName(_large_clusters(sized.where(F.col("members") > block), texts, size, percent, block))
+    texts = texts.where("doc_id is not null").hint("merge")  # texts are dealt once, and at any size: neither side's is bounded
+    members = C.stored(sized.join(texts, sized.id == F.col("doc_id")).select("cluster", "members", "doc_id", "text"), "minhash-members")
+    small = members.where(F.col("members") <= block).select(F.col("cluster").cast("string").alias("key"), "cluster", "doc_id", "text")
+    found = _dealt(small, _by_key(size, _edges(percent), ["a", "b"]), "a long, b long")
+    found = found.unionByName(_large_clusters(members.where(F.col("members") > block), size, percent, block))
     components = connected(found, "minhash-links")
     of = classes.select("digest", "rep").join(components, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     placed = full.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", "component_id")
