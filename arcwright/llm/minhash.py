@@ -280,49 +280,13 @@ def _dealt(members: DataFrame, run, schema: str) -> DataFrame:
     return members.repartition(C.tasks(members.sparkSession), "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, schema)
 
 
-def _shared(members: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, shared: size of each member's set, and how many of its elements another member of the cluster has."""
-    shards = C.tasks(members.sparkSession)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = C.lower_table()
-        for batch in batches:
-            for s in C.slices(batch.column("text")):
-                elements, edges = shingles(low[s.data], s.offsets, size)
-                part = batch.slice(s.first, s.n)
-                lens = np.diff(edges)
-                with np.errstate(over="ignore"):
-                    keyed = C.mix(elements ^ np.repeat(C.mix(part.column("cluster").to_numpy().view(np.uint64) + np.uint64(1)), lens))
-                ids = np.repeat(part.column("doc_id").to_numpy(), lens)
-                shard = ((keyed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [(k, np.concatenate([keyed[o], ids[o].view(np.uint64)]).tobytes()) for k in range(shards) if len(o := order[cut[k] : cut[k + 1]])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "keys"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.frombuffer(k, np.uint64) for b in batches for k in b.column("keys").to_pylist()]
-        if got:
-            keys, ids = np.concatenate([x[: len(x) // 2] for x in got]), np.concatenate([x[len(x) // 2 :] for x in got]).view(np.int64)
-            _, inverse, df = np.unique(keys, return_inverse=True, return_counts=True)
-            own, back = np.unique(ids, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(np.bincount(back, minlength=len(own))), pa.array(np.bincount(back, weights=df[inverse] > 1, minlength=len(own)).astype(np.int64))],
-                ["doc_id", "n", "shared"],
-            )
-
-    parts = members.mapInArrow(send, "shard long, keys binary").repartition(shards, "shard").mapInArrow(count, "doc_id long, n long, shared long")
-    return parts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
-
-
 def _large_clusters(full: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     """Edges of clusters (cluster, members, doc_id, text) beyond a block, each dealt to many tasks.
 
     1. Chunks of a cluster are verified within, and each names its most central set; the most central of all is the hub.
     2. Chunks are verified with the hub among them: most of a dense cluster then is one component with its hub.
-    3. The rest is verified against all chunks, but for sets that can't link: of a linked set, at least the
-       threshold's share of elements occurs elsewhere in the cluster.
-    Each pair of a cluster meets in 1 or 3, or both are linked with the hub, or one can't link at all.
+    3. What isn't linked with the hub then is verified, in blocks, against all chunks.
+    Each pair of a cluster meets in 1 or 3, or both are linked with the hub.
     """
     chunks = F.ceil(F.col("members") / F.lit(max(1, block // 2))).cast("int")
     full = full.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
@@ -336,8 +300,7 @@ def _large_clusters(full: DataFrame, size: int, percent: int, block: int) -> Dat
     component = connected(first, "minhash-hub-components")
     of_hub = hubs.join(component, F.col("hub") == F.col("id")).select("cluster", F.col("component").alias("of_hub"))
     linked_ids = component.join(of_hub, F.col("component") == F.col("of_hub")).select(F.col("id").alias("doc_id"), F.lit(True).alias("with_hub"))
-    may = _shared(full.select("cluster", "doc_id", "text"), size).where(F.col("shared") * 100 >= F.col("n") * percent).select("doc_id")
-    rest = C.stored(full.join(linked_ids, "doc_id", "left_anti").join(may, "doc_id", "left_semi"), "minhash-rest")
+    rest = C.stored(full.join(linked_ids, "doc_id", "left_anti"), "minhash-rest")
     n = rest.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(max(1, block // 2))).cast("int").alias("blocks"))
     mine = rest.join(n, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
     mine = mine.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
