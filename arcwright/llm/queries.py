@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embedding, langid, minhash, tokenfile, toxicity
+from . import bpe, decontam, embedding, langid, minhash, suffixdedup, tokenfile, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 3 = 1", threshold=0.7)
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removals(read(spark, sf_dir, "documents"), size=50)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(read(spark, sf_dir, "documents"), size=5, percent=85)
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_array": op6_suffix_array,
     "op7_minhash": op7_minhash,
     "op8_embedding": op8_embedding,
     "op9_token_files": op9_token_files,
@@ -87,4 +92,18 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(c, v.vec_id) AS component_i
 FROM v LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op7_minhash": OP7_SQL, "op8_embedding": OP8_SQL}
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT w.doc_id, p FROM w JOIN f ON w.s = f.s WHERE f.first < w.doc_id),
+i AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM g),
+j AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM j GROUP BY doc_id, k),
+x AS (SELECT r.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS b FROM r),
+t AS (SELECT x.doc_id, count(*) AS spans, sum(z - a) AS gone, max(z) AS z, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS kept FROM x JOIN d USING (doc_id) GROUP BY x.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * t.z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op6_suffix_array": OP6_SQL, "op7_minhash": OP7_SQL, "op8_embedding": OP8_SQL}
