@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embedding, langid, minhash, suffixdedup, tokenfile, toxicity
+from . import bpe, decontam, embedding, langid, licenses, lm, minhash, suffixdedup, tokenfile, toxicity
 from .common import read
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(read(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 = 2")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(read(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 4 = 2")
 
@@ -44,7 +52,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_model": op1_language_model,
     "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_array": op6_suffix_array,
@@ -106,4 +116,4 @@ SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
 FROM d LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op6_suffix_array": OP6_SQL, "op7_minhash": OP7_SQL, "op8_embedding": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_license_scan": licenses.oracle_sql(), "op6_suffix_array": OP6_SQL, "op7_minhash": OP7_SQL, "op8_embedding": OP8_SQL}
