@@ -328,3 +328,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS
     placed = full.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", "component_id")
     alone = sets.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those of documents that aren't the least doc_id of their group.
+
+    Rows that share one doc_id stay or go together; rows without doc_id stay.
+    """
+    gone = groups(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
