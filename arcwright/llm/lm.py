@@ -248,12 +248,14 @@ def _log_sums(group: np.ndarray, groups: int, magnitude: np.ndarray, share: np.n
 
 def _score(shards: int, total: int, distinct: int, segments: list):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        h, _ = _asked(table, shards)
+        own_tokens = list(_own_tokens(table))
+        h, word_of = np.unique(np.concatenate([np.array([END]), *(t for _, t, _ in own_tokens)]), return_inverse=True)
         by = {s: n for s, n in zip(told.column("shard").to_pylist(), told.column("n").to_pylist(), strict=True)}
         counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(by[s], np.int64) for s in sorted(by))])
-        order = np.argsort(h, kind="stable")
-        h, counts = h[order], counts[order]
-        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(bigrams(t)) for _, t, _ in _own_tokens(table))]))
+        # answers are by shard, then hash
+        of_word = np.empty(len(h), np.int64)
+        of_word[np.argsort(_shard(h, shards), kind="stable")] = counts
+        pairs, pair_of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(bigrams(t) for _, t, _ in own_tokens)]), return_inverse=True)
         shard, level_of = _shard(pairs, shards), np.zeros(len(pairs), np.int64)
         for sent in segments:
             at, level = sent.value.probe(pairs, shard)
@@ -262,12 +264,14 @@ def _score(shards: int, total: int, distinct: int, segments: list):
                 del sent._value  # one segment in memory at a time; it is read again from the worker's file
         trains = table.column("trains").to_numpy(zero_copy_only=False)
         n_tokens, n_known, base, fixed, sums, kept_out = [], [], [], [], [], []
-        for first, t, edges in _own_tokens(table):
+        end_count, done = of_word[word_of[0]], 0
+        for first, t, edges in own_tokens:
             n, doc = len(edges) - 1, np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-            c = counts[np.searchsorted(h, t)]
-            before = counts[np.searchsorted(h, contexts(t))]
+            c = of_word[word_of[done + 1 : done + 1 + len(t)]]
+            before = np.concatenate([[end_count], c[:-1]]) if len(t) else c
             p1 = (c + 1) / (total + distinct + 1)
-            level = level_of[np.searchsorted(pairs, bigrams(t))]
+            level = level_of[pair_of[done : done + len(t)]]
+            done += len(t)
             count = np.where(level > 0, 2.0 ** (level - 1), 0.0)
             log1 = np.log10(p1)
             seen = before > 0
