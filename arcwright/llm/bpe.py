@@ -155,6 +155,8 @@ def _run(path: str, digests: bool):
                     at = np.zeros(s.n + 1, np.int32)
                     np.cumsum([len(x) // 4 for x in ids], out=at[1:])
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), flat).cast(width), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+        own.known.clear()
+        C.release()
 
     return run
 

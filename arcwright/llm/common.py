@@ -7,6 +7,8 @@ A document longer than the bound forms a slice of its own: texts are always proc
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -214,3 +216,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def release() -> None:
+    """Memory that a worker has freed goes back to the system: workers outlive their tasks, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

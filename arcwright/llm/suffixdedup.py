@@ -21,6 +21,7 @@ from each other; a row with a null doc_id neither loses nor removes anything; ot
 from __future__ import annotations
 
 import hashlib
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -258,12 +259,29 @@ def _rewrite(size: int, names: list[str]):
     return run
 
 
+def _freed(run):
+    """run, after which the worker's freed memory goes back."""
+
+    def one(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        C.release()
+        return out
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        return one(a, b)
+
+    def single(a: pa.Table) -> pa.Table:
+        return one(a)
+
+    return two if len(inspect.signature(run).parameters) == 2 else single
+
+
 def _answers(dealt: DataFrame, size: int, shards: int) -> DataFrame:
     """Buckets' answers (b, payload) of step 2, from documents dealt to buckets."""
     anchors = dealt.groupBy("_b").applyInArrow(_send_anchors(size, shards), "shard long, b long, anchors binary, many binary")
     shared = anchors.groupBy("shard").applyInArrow(_shared_anchors, "b long, payload binary")
-    sent = dealt.groupBy("_b").cogroup(shared.groupBy("b")).applyInArrow(_send_windows(size, shards), "shard long, b long, h binary, w binary, doc binary, n binary, data binary")
-    return sent.groupBy("shard").applyInArrow(_match_windows(size), "b long, payload binary")
+    sent = dealt.groupBy("_b").cogroup(shared.groupBy("b")).applyInArrow(_freed(_send_windows(size, shards)), "shard long, b long, h binary, w binary, doc binary, n binary, data binary")
+    return sent.groupBy("shard").applyInArrow(_freed(_match_windows(size)), "b long, payload binary")
 
 
 def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -280,7 +298,7 @@ def removals(docs: DataFrame, size: int = 50) -> DataFrame:
     dealt, shards = _dealt(docs)
     dealt = dealt.select("_b", "_id", "_text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    found = dealt.groupBy("_b").cogroup(_answers(dealt, size, shards).groupBy("b")).applyInArrow(_digest(size), schema)
+    found = dealt.groupBy("_b").cogroup(_answers(dealt, size, shards).groupBy("b")).applyInArrow(_freed(_digest(size)), schema)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.lit(0).cast("long")
     alone = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
@@ -292,5 +310,5 @@ def remove(docs: DataFrame, size: int = 50) -> DataFrame:
     names = docs.columns
     dealt, shards = _dealt(docs.withColumn("text", F.col("text").cast("string")))
     kept = docs.withColumn("text", F.col("text").cast("string")).schema
-    found = dealt.groupBy("_b").cogroup(_answers(dealt, size, shards).groupBy("b")).applyInArrow(_rewrite(size, names), kept)
+    found = dealt.groupBy("_b").cogroup(_answers(dealt, size, shards).groupBy("b")).applyInArrow(_freed(_rewrite(size, names)), kept)
     return found.unionByName(docs.where("doc_id is null").select(*(F.col(n).cast(kept[n].dataType).alias(n) for n in names)))
