@@ -24,6 +24,8 @@ from .training import TrainingConfig, background_density, train_all
 
 #: Rows that one task encodes or decodes with one copy of a model, as planned.
 ROWS = 100_000
+#: Partitions of training for each shuffle partition: few curves meet in one.
+TASKS = 4
 
 
 @dataclass
@@ -99,7 +101,9 @@ def train(df: DataFrame, result: DataFrame, spec: Spec, model: PathAutoencoder |
         made = {"encoder": encoder, "track": track, "width": width, "mean": mean, "std": std, "background": background_density(ws[:, :dims])}
         return pd.DataFrame({spec.stream: [pdf[spec.stream].iloc[0]], "model": [pickle.dumps(made)], "losses": [losses]})
 
-    return rows.groupBy(spec.stream).applyInPandas(run, f"`{spec.stream}` {kind}, model binary, losses array<double>")
+    # Told a number, Spark doesn't put curves together by their bytes: training takes long for few of them.
+    parts = TASKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, spec.stream).groupBy(spec.stream).applyInPandas(run, f"`{spec.stream}` {kind}, model binary, losses array<double>")
 
 
 def _applied(df: DataFrame, models: DataFrame, spec: Spec, run, schema: str) -> DataFrame:

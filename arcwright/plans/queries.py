@@ -407,15 +407,15 @@ def backbone_project(spark, sf_dir):
 
 # -- models -------------------------------------------------------------------------------------------------------
 
-#: Epochs are a parameter of training; these are few.
-_CONFIG = nn.TrainingConfig(nn.EncoderConfig(n_epochs=40), nn.DecoderConfig(n_epochs=20), n_epochs_both=20, membership=mixture.MixtureMembershipConfig())
+#: The default training and networks, with the mixture that posterior_membership needs.
+_CONFIG = nn.TrainingConfig(membership=mixture.MixtureMembershipConfig())
 
 
 def _models(spark, sf_dir) -> DataFrame:
     from arcwright.tables import stored
 
     t = tracers(spark, sf_dir)
-    return stored(nn.train(t, walk.order(t, S, _orderer("aligned")), S, nn.PathAutoencoder(encoder_size=(32, 2), track_size=(32, 2)), _CONFIG), "models")
+    return stored(nn.train(t, walk.order(t, S, _orderer("aligned")), S, nn.PathAutoencoder(), _CONFIG), "models")
 
 
 @_query()
