@@ -1,9 +1,15 @@
 """License scans by canonical digests, in SQL functions alone.
 
 A text's canonical form: A-Z lower-cased, copyright lines and "all rights reserved" lines taken out, every run of
-other characters than letters, digits and non-ASCII ones made one space, equivalent spellings replaced.  The SHA-256
-digest of the canonical form of an entire text, or of an entire line, is looked up among the digests of known licenses
-by a hash join; the known table is a stated, small one, and is broadcast only if its size is under a bound.
+other characters than letters, digits and non-ASCII ones made one space, equivalent spellings replaced; non-ASCII
+punctuation and spaces count as other characters.  An entire text has a second form, without copyright lines that have
+neither sign nor year ("Copyright The X Authors").  The SHA-256 digest of a form of an entire text, or of the form of an
+entire line, is looked up among the digests of known licenses by a hash join; the known table is a stated, small one
+(each license with its published titles and without, with its appendix and without), and is broadcast only if its size
+is under a bound.
+
+``oracle_sql`` states four untitled texts, the notices and the form without the additions for punctuation and copyright
+lines.  What it finds ``scan`` finds too; ``scan`` also finds the rest.
 
 Defined cases: a null or empty text has no license and no notices; a canonical form that is empty matches nothing; rows
 of the same doc_id (or of none) give one row, in which the notices of all of them count; of several known licenses
@@ -12,6 +18,9 @@ with an equal canonical form the least id counts; other columns aren't looked at
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,44 +62,114 @@ SPELLINGS: list[tuple[str, str]] = [
     ("organisation", "organization"), ("favour", "favor"), ("whilst", "while"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"),
 ]
 
+#: Titles over the short texts, as published.
+TITLES: dict[str, list[str]] = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD License (0BSD)", "BSD-0-Clause", "0BSD"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)", "The ISC License (ISC)", "ISC"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "The MIT License (Expat)", "MIT License (Expat)", "Expat License", "MIT"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "The New BSD License", "Modified BSD License", "BSD License", "The BSD License", "BSD-3-Clause"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "Zlib"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
+#: The texts of ``license_texts``, with the words at which they may begin, and those at which they may end
+#: (the latter cut before or after).
+PUBLISHED: list[tuple[str, list[str], list[str], list[str]]] = [
+    ("Apache-2.0", ["Version 2.0, January 2004", "TERMS AND CONDITIONS FOR USE", "1. Definitions."], ["END OF TERMS AND CONDITIONS"], ["END OF TERMS AND CONDITIONS", "APPENDIX: How to apply"]),
+    ("Artistic-1.0-Perl", ["Preamble"], [], []),
+    ("BSD-3-Clause", [], [], []),
+    ("BSL-1.0", ["Permission is hereby granted"], [], []),
+    ("CC0-1.0", ["CC0 1.0 Universal", "CREATIVE COMMONS CORPORATION IS NOT", "Statement of Purpose"], [], []),
+    ("GFDL-1.2", ["Everyone is permitted", "0. PREAMBLE"], [], ["ADDENDUM: How to use"]),
+    ("GFDL-1.3", ["Everyone is permitted", "0. PREAMBLE"], [], ["ADDENDUM: How to use"]),
+    ("GPL-1.0", ["Everyone is permitted", "Preamble"], ["END OF TERMS AND CONDITIONS"], ["END OF TERMS AND CONDITIONS"]),
+    ("GPL-2.0", ["Everyone is permitted", "Preamble"], ["END OF TERMS AND CONDITIONS"], ["END OF TERMS AND CONDITIONS"]),
+    ("GPL-3.0", ["Everyone is permitted", "Preamble"], ["END OF TERMS AND CONDITIONS"], ["END OF TERMS AND CONDITIONS"]),
+    ("LGPL-2.0", ["Everyone is permitted", "Preamble"], ["END OF TERMS AND CONDITIONS"], ["END OF TERMS AND CONDITIONS"]),
+    ("LGPL-2.1", ["Everyone is permitted", "Preamble"], ["END OF TERMS AND CONDITIONS"], ["END OF TERMS AND CONDITIONS"]),
+    ("LGPL-3.0", ["Everyone is permitted", "This version of the GNU Lesser"], [], []),
+    ("MPL-1.1", ["1. Definitions"], [], ["EXHIBIT A"]),
+    ("MPL-2.0", ["1. Definitions"], [], ["Exhibit A - Source Code"]),
+    ("Unlicense", [], [], ["For more information, please refer"]),
+    ("Zlib", [], [], []),
+]
+
+#: Wordings of the short texts that are published as well, as (id, from, to).
+WORDINGS: list[tuple[str, str, str]] = [
+    ("ISC", "use, copy, modify, and/or distribute", "use, copy, modify, and distribute"),
+    ("MIT", "and this permission notice shall", "and this permission notice (including the next paragraph) shall"),
+    ("BSD-2-Clause", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nRedistributions"),
+    ("GPL-3.0", "licenses/why-not-lgpl.html", "philosophy/why-not-lgpl.html"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its", "Neither the name of the University nor the names of its"),
+]
+
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$"
 RESERVED_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: As OTHER, with punctuation, spaces and the byte order mark beyond ASCII.
+OTHER_WIDE = r"[\p{P}\p{Z}\x{FEFF}[^a-z0-9\x{80}-\x{10FFFF}]]+"
+#: Words after "copyright" in the licenses' own sentences: a line that begins so isn't a copyright line.
+_SENTENCE = "also|and|are|disclaimers?|doctrines?|holders?|if|interests?|laws?|licenses?|like|lines?|notices?|of|on|or|owners?|ownership|patents?|permissions?|protection|resulting|rights?|statements?|the library|the software|those|treaty"
+UNDATED_LINE = rf"(?m)^[^a-z0-9\n]*copyright[^a-z0-9\n\x{{80}}-\x{{10FFFF}}]++(?!(?:{_SENTENCE})\b)[^\n]+$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A known table over this size is joined by shuffling digests instead.
 BROADCAST_BYTES = 16 << 20
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null stays null."""
+def canonical(text: Column, undated: bool = False) -> Column:
+    """The canonical form of a text; null stays null.  undated: without copyright lines that have neither sign nor year."""
     out = F.translate(text, _UPPER, _LOWER)
-    for pattern in (COPYRIGHT_LINE, RESERVED_LINE):
+    for pattern in (COPYRIGHT_LINE, RESERVED_LINE, *[UNDATED_LINE] * undated):
         out = F.regexp_replace(out, pattern, "")
-    out = F.trim(F.regexp_replace(out, OTHER, " "))
-    for a, b in SPELLINGS:
+    out = F.trim(F.regexp_replace(out, OTHER_WIDE, " "))
+    for a, b in [*SPELLINGS, ("https ", "http ")]:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
+def _undated(text: Column) -> Column:
+    """The second form of an entire text; null where no line says copyright."""
+    return F.when(F.contains(F.translate(text, _UPPER, _LOWER), F.lit("copyright")), canonical(text, True))
+
+
+def _forms(text: str, begins: list[str], after: list[str], before: list[str]) -> list[str]:
+    """The text from each of the words (or all of it) to each of the words (or its end)."""
+    starts = [0, *(text.index(x) for x in begins)]
+    stops = [len(text), *(text.index(x) + len(x) for x in after), *(text.index(x) for x in before)]
+    return [text[a:z] for a in starts for z in stops]
+
+
+def stated_licenses() -> list[tuple[str, str]]:
+    """Ids and texts of all forms of the licenses and notices that are stated here and in ``license_texts``."""
+    folder = resources.files(__package__) / "license_texts"
+    known = [*TEXTS, *((i, x) for i, *cuts in PUBLISHED for x in _forms((folder / f"{i}.txt").read_text("utf-8"), *cuts))]
+    known += [(i, re.sub(r"\s+".join(map(re.escape, a.split())), lambda _: b, text)) for of, a, b in WORDINGS for i, text in known if i == of]
+    known += [(i, re.sub(r"(?m)^[123]\. ", "", text)) for i, text in known if i == "BSD-3-Clause"]
+    known += [(i, f"{title}\n{text}") for i, text in known for title in TITLES.get(i, [])]
+    return [*known, *NOTICES]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """license_id, text of the licenses and notices stated here."""
-    return spark.createDataFrame([*TEXTS, *NOTICES], "license_id string, text string")
+    return spark.createDataFrame(stated_licenses(), "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, license_id (of the entire text, or null), n_notices (lines that are a notice), licenses (ids, sorted, comma-joined)."""
     known = known_licenses(docs.sparkSession) if known is None else known
-    form = known.select(F.col("license_id").cast("string").alias("license_id"), canonical(F.col("text").cast("string")).alias("form"))
+    stated = F.col("text").cast("string")
+    form = known.select(F.col("license_id").cast("string").alias("license_id"), F.explode(F.array(canonical(stated), _undated(stated))).alias("form"))
     digests = form.where("form <> '' and license_id is not null").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    size = known.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 200)).first()[0] or 0
+    size = known.agg(F.sum(F.octet_length(stated) + 200)).first()[0] or 0
     digests = F.broadcast(digests) if size <= BROADCAST_BYTES else digests.hint("shuffle_hash")
 
     units = F.concat(F.array("text"), F.split("text", "\n", -1))
-    forms = F.transform(units, lambda x: F.sha2(canonical(x), 256))
+    forms = F.concat(F.array(F.sha2(_undated(F.col("text")), 256)), F.transform(units, lambda x: F.sha2(canonical(x), 256)))
     each = text_of(docs).select("doc_id", F.posexplode_outer(forms).alias("at", "digest"))
     found = each.join(digests, "digest", "left").groupBy("doc_id", "license_id").agg(
-        F.max((F.col("at") == 0) & F.col("license_id").isNotNull()).alias("whole"),
-        F.count(F.when((F.col("at") > 0) & F.col("license_id").isNotNull(), 1)).alias("n"),
+        F.max((F.col("at") <= 1) & F.col("license_id").isNotNull()).alias("whole"),
+        F.count(F.when((F.col("at") > 1) & F.col("license_id").isNotNull(), 1)).alias("n"),
     )
     return found.groupBy("doc_id").agg(
         F.min(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
