@@ -35,9 +35,21 @@ from .suffixes import repeats
 
 #: Bytes of text in a bucket and of windows in a suffix array, as planned.
 BUCKET_BYTES, ARRAY_BYTES = 8 << 20, 2 << 20
+#: Bits of a word of marks.
+WORD = 64
 LOW48 = np.uint64((1 << 48) - 1)
 
 
+def _words(size: int) -> int:
+    """Words of a window's marks: a bit for each place at which a string of its anchor can begin."""
+    return -(-(size - A.length(size) + 1) // WORD)
+
+
+def _length_type(size: int) -> type:
+    """Type that holds a window's length."""
+    return np.uint16 if 2 * size < 1 << 16 else np.uint32
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
 
@@ -139,7 +151,7 @@ def _send_windows(size: int, shards: int):
             first = C.starts_of(shard)
             for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
                 o = order[a:z]
-                rows.append((int(shard[a]), h[o].tobytes(), w[o].tobytes(), d[o].tobytes(), n[o].astype(np.uint16).tobytes(), data[C.ragged(at[o], n[o])].tobytes()))
+                rows.append((int(shard[a]), h[o].tobytes(), w[o].tobytes(), d[o].tobytes(), n[o].astype(_length_type(size)).tobytes(), data[C.ragged(at[o], n[o])].tobytes()))
         b = table.column("_b")[0].as_py()
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
         return pa.table({"shard": pa.array(columns[0], pa.int64()), "b": pa.array([b] * len(rows), pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("h", "w", "doc", "n", "data"), columns[1:], strict=True)}})
@@ -152,7 +164,7 @@ def _match_windows(size: int):
         get = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
         hs = get("h", np.uint64)
         row = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
-        h, w, d, n, data = np.concatenate(hs), *(np.concatenate(get(c, k)) for c, k in (("w", np.uint64), ("doc", np.int64), ("n", np.uint16), ("data", np.uint8)))
+        h, w, d, n, data = np.concatenate(hs), *(np.concatenate(get(c, k)) for c, k in (("w", np.uint64), ("doc", np.int64), ("n", _length_type(size)), ("data", np.uint8)))
         n = n.astype(np.int64)
         at = np.cumsum(n) - n
         order = np.lexsort([d, w])
@@ -160,7 +172,7 @@ def _match_windows(size: int):
         one = order[first]  # of each window, the entry with the least document
         number = np.empty(len(w), np.int64)
         number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
-        least, mark = d[one], np.zeros(len(one), np.uint64)
+        least, mark = d[one], np.zeros((len(one), _words(size)), np.uint64)
         by, first, end = _by(h[one])
         several = (end - first) > 1
         sizes = np.add.reduceat(n[one][by], first)
@@ -174,15 +186,15 @@ def _match_windows(size: int):
                 start = C.starts_of(group)
                 smallest = np.repeat(np.minimum.reduceat(least[chosen[window]], start), np.diff(np.append(start, len(group))))
                 earlier = smallest < least[chosen[window]]
-                np.bitwise_or.at(mark, chosen[window[earlier]], np.uint64(1) << offset[earlier].astype(np.uint64))
+                np.bitwise_or.at(mark, (chosen[window[earlier]], offset[earlier] // WORD), np.uint64(1) << (offset[earlier] % WORD).astype(np.uint64))
         is_first = d == least[number]
-        tell = np.flatnonzero(~is_first | (mark[number] > 0))
+        tell = np.flatnonzero(~is_first | mark.any(axis=1)[number])
         b = table.column("b").to_pylist()
         order, start, end = _by(row[tell])
         out = []
         for a, z in zip(start.tolist(), end.tolist(), strict=True):
             o = tell[order[a:z]]
-            out.append((b[row[o[0]]], np.concatenate([w[o], is_first[o].astype(np.uint64), mark[number[o]]]).tobytes()))
+            out.append((b[row[o[0]]], np.concatenate([w[o], is_first[o].astype(np.uint64), mark[number[o]].T.ravel()]).tobytes()))
         return pa.table({"b": pa.array([r[0] for r in out], pa.int64()), "payload": pa.array([r[1] for r in out], pa.binary())})
 
     return run
@@ -190,10 +202,10 @@ def _match_windows(size: int):
 
 def _marked(table: pa.Table, told: pa.Table, size: int) -> Iterator[tuple[C.Slice, np.ndarray]]:
     """Slices of a bucket with a mask of the bytes that go."""
-    answers = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in told.column("payload").to_pylist()]
-    known, first, mark = np.concatenate([np.zeros((3, 0), np.uint64), *answers], axis=1)
+    answers = [np.frombuffer(x, np.uint64).reshape(2 + _words(size), -1) for x in told.column("payload").to_pylist()]
+    known, first, *mark = np.concatenate([np.zeros((2 + _words(size), 0), np.uint64), *answers], axis=1)
     order = np.argsort(known)
-    known, first, mark = known[order], first[order], mark[order]
+    known, first, mark = known[order], first[order], np.array(mark)[:, order]
     held = [(s, ids, _windows(s, size)[1:]) for s, ids in _texts(table)]
     every = np.concatenate([np.zeros(0, np.uint64), *(x[2][3] for x in held)])
     docs = np.concatenate([np.zeros(0, np.int64), *(ids[x[0]] for _, ids, x in held)])
@@ -212,8 +224,9 @@ def _marked(table: pa.Table, told: pa.Table, size: int) -> Iterator[tuple[C.Slic
             found = known[at] == w
         keeps = at_least & (~found | (first[at] > 0 if len(known) else True))
         whole = np.flatnonzero(~keeps & (z - a >= size))
-        part = np.flatnonzero(keeps & found & (mark[at] > 0)) if len(known) else whole[:0]
-        bits = (mark[at[part]][:, None] >> np.arange(size - A.length(size) + 1, dtype=np.uint64)) & np.uint64(1) if len(part) else np.zeros((0, 1), np.uint64)
+        part = np.flatnonzero(keeps & found & mark.any(axis=0)[at]) if len(known) else whole[:0]
+        place = np.arange(size - A.length(size) + 1)
+        bits = (mark[place // WORD][:, at[part]].T >> (place % WORD).astype(np.uint64)) & np.uint64(1) if len(part) else np.zeros((0, 1), np.uint64)
         i, offset = np.nonzero(bits)
         begin = np.concatenate([a[whole], a[part[i]] + offset])
         stop = np.concatenate([z[whole], a[part[i]] + offset + size])
