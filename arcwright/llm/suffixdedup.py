@@ -3,19 +3,23 @@
 Removed is each byte covered by a string of ``size`` bytes that also starts in a document with a smaller doc_id.
 
 1. Documents are dealt to buckets by a hash of doc_id.  A bucket sends each of its distinct anchors (``anchors``) once,
-   packed, to the shard of the anchor's hash; shards tell buckets which anchors more than one document has.
-2. Around each shared anchor, a bucket cuts the window that holds all strings of the anchor, and sends each distinct
-   window once with the least doc_id that has it.  A shard builds suffix arrays of the windows of anchors with more
-   than one, by induced sorting, and from permuted common prefixes finds the strings that windows share: a string
-   that starts in a window of a smaller document is marked in this one.
-3. Buckets get marks back.  A document that isn't the first with a window loses all of the window; the first one loses
-   what is marked.
-
-The three steps read one and the same exchange of the texts.  A passage in a third of all documents is an entry for each
-bucket, not for each document.
-
-Defined cases: a null text counts as empty; texts under ``size`` bytes lose nothing; rows with one doc_id don't remove
-from each other; a row with a null doc_id neither loses nor removes anything; other columns aren't looked at.
+   packed, to the shard of the anchor's hash.  A shard tells buckets which anchors more than one document has, and to
+   which home such an anchor's strings go: a hash of the set of buckets that have it, so that all anchors of a passage
+   go to one home; the hash of the anchor where more than ``SPREAD`` buckets have it.
+2. A bucket cuts the runs of strings whose anchors are shared and have one home, and sends each distinct run once, with
+   the least document that has it.  A home lays its distinct runs side by side, builds a suffix array by induced sorting,
+   and finds the equal strings in its permuted common prefixes.  More than ``ARRAY_BYTES`` are dealt by anchors
+   to several arrays.
+3. Buckets get the spans that their documents lose.  Of a run that an earlier document has as a whole, that is all.
+
+All occurrences of a string have one anchor, hence one home.  Equal runs are compared by their bytes.  The three steps
+read one and the same exchange of the texts.  A passage in a third of all documents is an entry for each bucket, not for
+each document.  Packed rows hold at least ``ENTRIES`` anchors on the average at any size, as buckets grow with the
+square root of a very large input: so there are never more of them than in proportion to the input.
+
+Defined cases: a null text counts as empty; texts under ``size`` bytes lose nothing; a very long text is one text like
+any other; rows with one doc_id don't remove from each other; a row with a null doc_id neither loses nor removes anything;
+an empty table gives no rows; other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,29 +37,20 @@ from . import anchors as A
 from . import common as C
 from .suffixes import repeats
 
-#: Bytes of text in a bucket and of windows in a suffix array, as planned.
-BUCKET_BYTES, ARRAY_BYTES = 8 << 20, 2 << 20
-#: Bits of a word of marks.
-WORD = 64
-LOW48 = np.uint64((1 << 48) - 1)
-
-
-def _words(size: int) -> int:
-    """Words of a window's marks: a bit for each place at which a string of its anchor can begin."""
-    return -(-(size - A.length(size) + 1) // WORD)
-
-
-def _length_type(size: int) -> type:
-    """Type that holds a window's length."""
-    return np.uint16 if 2 * size < 1 << 16 else np.uint32
+#: Bytes of text in a bucket at least and of runs in a suffix array, as planned; anchors of a packed row.
+BUCKET_BYTES, ARRAY_BYTES, ENTRIES = 8 << 20, 4 << 20, 64
+#: Buckets with an anchor beyond which its strings go to a home of its own.
+SPREAD = 16
+OWN_HOME = np.uint32(0xFFFFFFFF)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
+    """From all bits of a hash."""
+    return (C.mix(h) % np.uint64(shards)).astype(np.int64)
 
 
 def _six(h: np.ndarray) -> bytes:
-    """The low six bytes of each hash; the rest says the shard."""
+    """The low six bytes of each hash.  That two anchors look alike by them costs a comparison, nothing else."""
     return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
@@ -65,13 +60,22 @@ def _of_six(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _texts(table: pa.Table) -> Iterator[tuple[C.Slice, np.ndarray]]:
-    """Slices of a bucket's texts with their doc_ids."""
-    ids = table.column("_id").to_numpy()
+def _texts(table: pa.Table) -> Iterator[tuple[C.Slice, np.ndarray, np.ndarray]]:
+    """Slices of a bucket's texts with their doc_ids and row numbers.  Rows are numbered by doc_id, then text, so that
+    the numbers are the same whenever the bucket is read."""
+    ids, number = table.column("id").to_numpy(), np.empty(table.num_rows, np.int64)
+    order = np.argsort(ids, kind="stable")
+    same = ids[order][1:] == ids[order][:-1]
+    if same.any():
+        text = table.column("text")
+        twice = set(ids[order][1:][same].tolist())
+        order = np.array(sorted(order.tolist(), key=lambda i: (int(ids[i]), (text[i].as_py() or "") if int(ids[i]) in twice else "")), np.int64)
+    number[order] = np.arange(len(order))
     at = 0
-    for chunk in table.column("_text").chunks:
+    for chunk in table.column("text").chunks:
         for s in C.slices(chunk):
-            yield s, ids[at + s.first : at + s.first + s.n]
+            own = slice(at + s.first, at + s.first + s.n)
+            yield s, ids[own], number[own]
         at += len(chunk)
 
 
@@ -82,194 +86,265 @@ def _by(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.append(first[1:], len(key)) if len(key) else first
 
 
+def _packed(to: np.ndarray, pack) -> list[tuple]:
+    """(destination, *pack(entries)) for each destination."""
+    order, first, end = _by(to)
+    return [(int(to[order[a]]), *pack(order[a:z])) for a, z in zip(first.tolist(), end.tolist(), strict=True)]
+
+
+def _table(rows: list[tuple], keys: list[str], payloads: list[str]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * (len(keys) + len(payloads))
+    types = [pa.int64()] * len(keys) + [pa.binary()] * len(payloads)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[*keys, *payloads])
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def _send_anchors(size: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
         hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for s, ids in _texts(table):
+        for s, ids, _ in _texts(table):
             pos, h = A.anchors(s.data, s.offsets, size)
             hashes.append(h)
             docs.append(ids[np.searchsorted(s.offsets, pos, "right") - 1])
         h, d = np.concatenate(hashes), np.concatenate(docs)
-        rows = []
-        if len(h):
-            order, first, _ = _by(h)
-            h, d = h[order], d[order]
-            many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-            h = h[first]
-            order, first, end = _by(_shard(h, shards))
-            for a, z in zip(first.tolist(), end.tolist(), strict=True):
-                o = order[a:z]
-                rows.append((int(_shard(h[o[:1]], shards)[0]), _six(h[o]), np.packbits(many[o]).tobytes()))
-        b = table.column("_b")[0].as_py()
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([b] * len(rows), pa.int64()), "anchors": pa.array([r[1] for r in rows], pa.binary()), "many": pa.array([r[2] for r in rows], pa.binary())})
+        order, first, _ = _by(h)
+        h, d = h[order], d[order]
+        many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(h) else np.zeros(0, bool)
+        h, b = h[first], table.column("b")[0].as_py()
+        return _table(_packed(_shard(h, shards), lambda o: (b, _six(h[o]), np.packbits(many[o]).tobytes())), ["shard", "b"], ["anchors", "many"])
+
+    return run
+
+
+def _shared_anchors(shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_of_six(x) for x in table.column("anchors").to_pylist()]
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(table.column("many").to_pylist(), parts, strict=True)])
+        h, b = np.concatenate(parts), table.column("b").to_numpy()
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order, first, end = _by(h)
+        with np.errstate(over="ignore"):
+            holders = np.add.reduceat(C.mix(b.view(np.uint64) + np.uint64(1))[row[order]], first)
+        n = end - first
+        home = np.where(n == 1, b[row[order[first]]], _shard(holders, shards)).astype(np.uint32)
+        home[n > SPREAD] = OWN_HOME
+        shared = (n > 1) | (np.maximum.reduceat(many[order], first) > 0)
+        keep = order[np.repeat(shared, n)]
+        home = np.repeat(home[shared], n[shared])
+        return _table(_packed(b[row[keep]], lambda o: (_six(h[keep[o]]), home[o].tobytes())), ["b"], ["anchors", "home"])
 
     return run
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    parts = [_of_six(x) for x in table.column("anchors").to_pylist()]
-    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(table.column("many").to_pylist(), parts, strict=True)])
-    h = np.concatenate(parts)
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order, first, end = _by(h)
-    shared = ((end - first) > 1) | (np.maximum.reduceat(many[order], first) > 0)
-    keep = order[np.repeat(shared, end - first)]
-    order, first, end = _by(row[keep])
-    b = table.column("b").to_pylist()
-    out = [(b[row[keep[order[a]]]], _six(h[keep[order[a:z]]])) for a, z in zip(first.tolist(), end.tolist(), strict=True)]
-    return pa.table({"b": pa.array([r[0] for r in out], pa.int64()), "payload": pa.array([r[1] for r in out], pa.binary())})
+class _Runs:
+    """Runs of bytes laid side by side, with the document, its row and the place there of each."""
+
+    def __init__(self, doc: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, data: np.ndarray) -> None:
+        self.doc, self.row, self.at, self.n, self.data = doc, row, at, n, data
+        self.start = np.cumsum(n) - n
+
+    def bytes_of(self, some: np.ndarray) -> np.ndarray:
+        return self.data[C.ragged(self.start[some], self.n[some])]
 
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Order by class of equal bytes, then document, and whether each in that order begins a class."""
+        h = C.range_hashes(self.data, self.start, self.start + self.n)
+        order = np.lexsort([self.at, self.row, self.doc, self.n, h])
+        new = np.ones(len(order), bool)
+        a, b = order[:-1], order[1:]
+        alike = np.flatnonzero((h[a] == h[b]) & (self.n[a] == self.n[b]))
+        for part in np.array_split(alike, max(1, int(self.n[a[alike]].sum()) >> 22)):
+            if len(part):
+                n = self.n[a[part]]
+                differ = self.bytes_of(a[part]) != self.bytes_of(b[part])
+                new[1 + part] = np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        return order, new
 
-def _windows(s: C.Slice, size: int) -> tuple[np.ndarray, ...]:
-    """Anchors of a slice: hash, document, start and end of the window, hash of its bytes."""
-    pos, h = A.anchors(s.data, s.offsets, size)
-    doc = np.searchsorted(s.offsets, pos, "right") - 1
-    start = np.maximum(s.offsets[doc], pos - (size - A.length(size)))
-    end = np.minimum(s.offsets[doc + 1], pos + size)
-    return h, doc, start, end, C.range_hashes(s.data, start, end)
 
+def _cut(s: C.Slice, size: int, known: np.ndarray, home_of: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
+    """Runs of a slice: home, document of the slice, start and end."""
+    h, doc, low, high = A.strings(s.data, s.offsets, size)
+    key = h & np.uint64((1 << 48) - 1)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    own = np.flatnonzero(known[at] == key)
+    home, spread = home_of[at[own]].astype(np.int64), home_of[at[own]] == OWN_HOME
+    home[spread] = _shard(key[own[spread]] ^ np.uint64(1), shards)
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1] + 1) | (doc[own[1:]] != doc[own[:-1]]) | (home[1:] != home[:-1]) | spread[1:] | spread[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(own)) - 1 if len(own) else first
+    return home[first], doc[own[first]], low[own[first]], high[own[last]] + size
+
+
+def _spans(row: np.ndarray, a: np.ndarray, z: np.ndarray) -> bytes:
+    """Row, start and end of spans, those of a row that meet joined."""
+    if not len(row):
+        return b""
+    order = np.lexsort([a, row])
+    row, a, z = row[order], a[order], z[order]
+    base = row * (int(z.max()) + 1)
+    reach = np.maximum.accumulate(z + base)
+    new = np.concatenate([[True], (a + base)[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    return np.stack([row[first], a[first], np.maximum.reduceat(z, first)]).astype(np.uint32).tobytes()
+
+
+def _of_spans(parts: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros((3, 0), np.uint32), *(np.frombuffer(p, np.uint32).reshape(3, -1) for p in parts if p)], axis=1).astype(np.int64)
+
+
+RUNS = ["doc", "row", "at", "n", "data", "spans"]
+
+
+def _send_runs(size: int, shards: int):
+    """Rows for homes: distinct runs with their least documents, and of a run that this document has again only where
+    (n is 0).  What the bucket itself knows, the spans of its other documents, goes with them, to the home of its number."""
 
-def _send_windows(size: int, shards: int):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_of_six(x) for x in told.column("payload").to_pylist())]))
+        if not told.num_rows:
+            return _table([], ["home", "b"], RUNS)
+        b = told.column("b")[0].as_py()
+        known, home_of = np.concatenate([_of_six(x) for x in told.column("anchors").to_pylist()]), _joined(told.column("home"), np.uint32)
+        order = np.argsort(known)
+        known, home_of = known[order], home_of[order]
         parts = []
-        for s, ids in _texts(table) if len(known) else ():
-            h, doc, start, end, w = _windows(s, size)
-            at = np.minimum(np.searchsorted(known, h & LOW48), len(known) - 1)
-            own = np.flatnonzero(known[at] == h & LOW48)
-            order = own[np.lexsort([ids[doc[own]], w[own]])]
-            order = order[C.starts_of(w[order])]
-            parts.append((h[order], w[order], ids[doc[order]], end[order] - start[order], s.data[C.ragged(start[order], end[order] - start[order])]))
-        rows = []
-        if parts:
-            h, w, d, n, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-            at = np.cumsum(n) - n
-            order = np.lexsort([d, w])
-            order = order[C.starts_of(w[order])]
-            order = order[np.argsort(_shard(h[order], shards), kind="stable")]
-            shard = _shard(h[order], shards)
-            first = C.starts_of(shard)
-            for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-                o = order[a:z]
-                rows.append((int(shard[a]), h[o].tobytes(), w[o].tobytes(), d[o].tobytes(), n[o].astype(_length_type(size)).tobytes(), data[C.ragged(at[o], n[o])].tobytes()))
-        b = table.column("_b")[0].as_py()
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
-        return pa.table({"shard": pa.array(columns[0], pa.int64()), "b": pa.array([b] * len(rows), pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("h", "w", "doc", "n", "data"), columns[1:], strict=True)}})
+        for s, ids, number in _texts(table):
+            home, doc, a, z = _cut(s, size, known, home_of, shards)
+            parts.append((home, ids[doc], number[doc], a - s.offsets[doc], z - a, s.data[C.ragged(a, z - a)]))
+        home, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        r = _Runs(*rest)
+        order, new = r.classes()
+        number = np.cumsum(new) - 1
+        head = order[new]
+        least = r.doc[head][number]
+        earlier = r.doc[order] != least  # an earlier document of the bucket has the whole run
+        gone = order[earlier]
+        sends, again = order[~earlier], ~new[~earlier]
+        n = np.where(again, 0, r.n[sends])
+
+        def pack(o: np.ndarray) -> tuple:
+            i = sends[o]
+            return b, r.doc[i].tobytes(), r.row[i].astype(np.uint32).tobytes(), r.at[i].astype(np.uint32).tobytes(), n[o].astype(np.uint32).tobytes(), r.bytes_of(i[n[o] > 0]).tobytes(), b""
+
+        rows = _packed(home[sends], pack)
+        if spans := _spans(r.row[gone], r.at[gone], r.at[gone] + r.n[gone]):
+            rows.append((b, b, b"", b"", b"", b"", b"", spans))
+        return _table(rows, ["home", "b"], RUNS)
 
     return run
 
 
-def _match_windows(size: int):
+def _equal_strings(r: _Runs, size: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of equal strings of the runs (group, run, start), by one suffix array, or by several to which strings are
+    dealt by their anchors."""
+    total = len(r.data)
+    if total <= most:
+        yield repeats(r.data, size, np.append(r.start, total))
+        return
+    arrays = -(-total // most)
+    h, run, low, high = A.strings(r.data, np.append(r.start, total), size)
+    piece = (C.mix(h ^ np.uint64(1)) % np.uint64(arrays)).astype(np.int64)
+    for k in range(arrays):
+        own = np.flatnonzero(piece == k)
+        if not len(own):
+            continue
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1] + 1) | (run[own[1:]] != run[own[:-1]])
+        first = np.flatnonzero(new)
+        a, z = low[own[first]], high[own[np.append(first[1:], len(own)) - 1]] + size
+        group, window, start = repeats(r.data[C.ragged(a, z - a)], size, np.concatenate([[0], np.cumsum(z - a)]))
+        of = run[own[first]][window]
+        yield group, of, a[window] + start - r.start[of]
+
+
+def _match_runs(size: int, most: int):
     def run(table: pa.Table) -> pa.Table:
-        get = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-        hs = get("h", np.uint64)
-        row = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
-        h, w, d, n, data = np.concatenate(hs), *(np.concatenate(get(c, k)) for c, k in (("w", np.uint64), ("doc", np.int64), ("n", _length_type(size)), ("data", np.uint8)))
-        n = n.astype(np.int64)
-        at = np.cumsum(n) - n
-        order = np.lexsort([d, w])
-        first = C.starts_of(w[order])
-        one = order[first]  # of each window, the entry with the least document
-        number = np.empty(len(w), np.int64)
-        number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
-        least, mark = d[one], np.zeros((len(one), _words(size)), np.uint64)
-        by, first, end = _by(h[one])
-        several = (end - first) > 1
-        sizes = np.add.reduceat(n[one][by], first)
-        cut = np.cumsum(np.where(several, sizes, 0)) // ARRAY_BYTES
-        for k in np.unique(cut[several]):
-            some = np.flatnonzero(several & (cut == k))
-            chosen = by[C.ragged(first[some], (end - first)[some])]
-            lens = n[one[chosen]]
-            group, window, offset = repeats(data[C.ragged(at[one[chosen]], lens)], size, np.concatenate([[0], np.cumsum(lens)]))
-            if len(group):
-                start = C.starts_of(group)
-                smallest = np.repeat(np.minimum.reduceat(least[chosen[window]], start), np.diff(np.append(start, len(group))))
-                earlier = smallest < least[chosen[window]]
-                np.bitwise_or.at(mark, (chosen[window[earlier]], offset[earlier] // WORD), np.uint64(1) << (offset[earlier] % WORD).astype(np.uint64))
-        is_first = d == least[number]
-        tell = np.flatnonzero(~is_first | mark.any(axis=1)[number])
-        b = table.column("b").to_pylist()
-        order, start, end = _by(row[tell])
-        out = []
-        for a, z in zip(start.tolist(), end.tolist(), strict=True):
-            o = tell[order[a:z]]
-            out.append((b[row[o[0]]], np.concatenate([w[o], is_first[o].astype(np.uint64), mark[number[o]].T.ravel()]).tobytes()))
-        return pa.table({"b": pa.array([r[0] for r in out], pa.int64()), "payload": pa.array([r[1] for r in out], pa.binary())})
+        row_of = np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in table.column("doc").to_pylist()])
+        doc, row, at, n = _joined(table.column("doc"), np.int64), *(_joined(table.column(c), np.uint32).astype(np.int64) for c in ("row", "at", "n"))
+        out: dict[int, list[bytes]] = {}
+        bs = table.column("b").to_pylist()
+        for b, spans in zip(bs, table.column("spans").to_pylist(), strict=True):
+            if spans:
+                out.setdefault(b, []).append(spans)
+        if len(doc):
+            full = np.flatnonzero(n > 0)
+            of = np.cumsum(n > 0) - 1  # an entry without bytes is the run before it, in another place of the document
+            r = _Runs(doc[full], row[full], at[full], n[full], _joined(table.column("data"), np.uint8))
+            order, new = r.classes()
+            kind = np.empty(len(order), np.int64)
+            kind[order] = np.cumsum(new) - 1
+            head = order[new]
+            one = _Runs(r.doc[head], r.row[head], r.at[head], r.n[head], r.bytes_of(head))
+            marked_class, marked_start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for group, which, start in _equal_strings(one, size, most):
+                if len(group):
+                    first = C.starts_of(group)
+                    smallest = np.repeat(np.minimum.reduceat(one.doc[which], first), np.diff(np.append(first, len(group))))
+                    earlier = smallest < one.doc[which]
+                    marked_class.append(which[earlier])
+                    marked_start.append(start[earlier])
+            c, a = np.concatenate(marked_class), np.concatenate(marked_start)
+            lost = _of_spans([_spans(c, a, a + size)])  # of each class, in its first document
+            edge = np.searchsorted(lost[0], np.arange(len(head) + 1))
+            c = kind[of]
+            whole = np.flatnonzero(doc > one.doc[c])
+            part = np.flatnonzero(doc == one.doc[c])
+            each = edge[c[part] + 1] - edge[c[part]]
+            i, part = C.ragged(edge[c[part]], each), np.repeat(part, each)
+            entry = np.concatenate([whole, part])
+            start = np.concatenate([at[whole], at[part] + lost[1][i]])
+            stop = np.concatenate([at[whole] + one.n[c[whole]], at[part] + lost[2][i]])
+            b_of = np.array(bs, np.int64)[row_of[entry]]
+            for b, spans in _packed(b_of, lambda o: (_spans(row[entry[o]], start[o], stop[o]),)):
+                out.setdefault(b, []).append(spans)
+        return _table([(b, x) for b, xs in out.items() for x in xs], ["b"], ["spans"])
 
     return run
 
 
-def _marked(table: pa.Table, told: pa.Table, size: int) -> Iterator[tuple[C.Slice, np.ndarray]]:
+def _marked(table: pa.Table, told: pa.Table) -> Iterator[tuple[C.Slice, np.ndarray]]:
     """Slices of a bucket with a mask of the bytes that go."""
-    answers = [np.frombuffer(x, np.uint64).reshape(2 + _words(size), -1) for x in told.column("payload").to_pylist()]
-    known, first, *mark = np.concatenate([np.zeros((2 + _words(size), 0), np.uint64), *answers], axis=1)
-    order = np.argsort(known)
-    known, first, mark = known[order], first[order], np.array(mark)[:, order]
-    held = [(s, ids, _windows(s, size)[1:]) for s, ids in _texts(table)]
-    every = np.concatenate([np.zeros(0, np.uint64), *(x[2][3] for x in held)])
-    docs = np.concatenate([np.zeros(0, np.int64), *(ids[x[0]] for _, ids, x in held)])
-    order, start, end = _by(every)
-    least = np.empty(len(every), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(docs[order], start) if len(every) else docs, end - start)
-    done = 0
-    for s, ids, (doc, a, z, w) in held:
-        own = ids[doc]
-        at_least = own == least[done : done + len(w)]
-        done += len(w)
-        found = np.zeros(len(w), bool)
-        at = np.zeros(len(w), np.int64)
-        if len(known) and len(w):
-            at = np.minimum(np.searchsorted(known, w), len(known) - 1)
-            found = known[at] == w
-        keeps = at_least & (~found | (first[at] > 0 if len(known) else True))
-        whole = np.flatnonzero(~keeps & (z - a >= size))
-        part = np.flatnonzero(keeps & found & mark.any(axis=0)[at]) if len(known) else whole[:0]
-        place = np.arange(size - A.length(size) + 1)
-        bits = (mark[place // WORD][:, at[part]].T >> (place % WORD).astype(np.uint64)) & np.uint64(1) if len(part) else np.zeros((0, 1), np.uint64)
-        i, offset = np.nonzero(bits)
-        begin = np.concatenate([a[whole], a[part[i]] + offset])
-        stop = np.concatenate([z[whole], a[part[i]] + offset + size])
-        depth = np.bincount(begin, minlength=len(s.data) + 1) - np.bincount(stop, minlength=len(s.data) + 1)
+    row, a, z = _of_spans(told.column("spans").to_pylist())
+    order = np.argsort(row, kind="stable")
+    row, a, z = row[order], a[order], z[order]
+    for s, _, number in _texts(table):
+        low, high = np.searchsorted(row, number, "left"), np.searchsorted(row, number, "right")
+        i, base = C.ragged(low, high - low), np.repeat(s.offsets[:-1], high - low)
+        depth = np.bincount(a[i] + base, minlength=len(s.data) + 1) - np.bincount(z[i] + base, minlength=len(s.data) + 1)
         yield s, np.cumsum(depth)[: len(s.data)] > 0
 
 
-def _digest(size: int):
-    def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        n_removed, n_spans, sha, n_bytes = [], [], [], []
-        for s, gone in _marked(table, told, size):
-            start, end, doc = C.spans(gone, s.offsets)
-            n_spans += np.bincount(doc, minlength=s.n).tolist()
-            n_removed += np.bincount(doc, weights=end - start, minlength=s.n).astype(np.int64).tolist()
-            n_bytes += np.diff(s.offsets).tolist()
-            sha += [hashlib.sha256(s.data[a:z][~gone[a:z]].tobytes()).hexdigest() for a, z in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
-        return pa.table({"doc_id": table.column("_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
-
-    return run
+def _digest(table: pa.Table, told: pa.Table) -> pa.Table:
+    n_removed, n_spans, sha, n_bytes = [], [], [], []
+    for s, gone in _marked(table, told):
+        start, end, doc = C.spans(gone, s.offsets)
+        n_spans += np.bincount(doc, minlength=s.n).tolist()
+        n_removed += np.bincount(doc, weights=end - start, minlength=s.n).astype(np.int64).tolist()
+        n_bytes += np.diff(s.offsets).tolist()
+        sha += [hashlib.sha256(s.data[a:z][~gone[a:z]].tobytes()).hexdigest() for a, z in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
+    return pa.table({"doc_id": table.column("id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def _rewrite(size: int, names: list[str]):
+def _rewrite(table: pa.Table, told: pa.Table) -> pa.Table:
     """Rows with the text that is left; a span that would split a character begins or ends at the next one inside."""
-
-    def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        texts = []
-        for s, gone in _marked(table, told, size):
-            inner = (s.data & 0xC0) == 0x80  # not the first byte of a character
-            start, end, _ = C.spans(gone, s.offsets)
-            keep = ~gone
-            for a, z in zip(start.tolist(), end.tolist(), strict=True):
-                while a < z and inner[a]:
-                    keep[a] = True
-                    a += 1
-                while z > a and z < len(inner) and inner[z]:
-                    z -= 1
-                    keep[z] = True
-            texts += [s.data[a:z][keep[a:z]].tobytes().decode() for a, z in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
-        was = table.column("_text").is_valid().to_pylist()
-        new = pa.array([t if v else None for t, v in zip(texts, was, strict=True)], pa.string())
-        return pa.table([new if n == "text" else table.column(n) for n in names], names=names)
-
-    return run
+    texts = []
+    for s, gone in _marked(table, told):
+        inner = (s.data & 0xC0) == 0x80  # not the first byte of a character
+        start, end, _ = C.spans(gone, s.offsets)
+        keep = ~gone
+        for a, z in zip(start.tolist(), end.tolist(), strict=True):
+            while a < z and inner[a]:
+                keep[a] = True
+                a += 1
+            while z > a and z < len(inner) and inner[z]:
+                z -= 1
+                keep[z] = True
+        texts += [s.data[a:z][keep[a:z]].tobytes().decode() for a, z in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)]
+    was = table.column("text").is_valid().to_pylist()
+    return pa.table({"row": table.column("row"), "text": pa.array([t if v else None for t, v in zip(texts, was, strict=True)], pa.string())})
 
 
 def _freed(run):
@@ -289,39 +364,44 @@ def _freed(run):
     return two if len(inspect.signature(run).parameters) == 2 else single
 
 
-def _answers(dealt: DataFrame, size: int, shards: int) -> DataFrame:
-    """Buckets' answers (b, payload) of step 2, from documents dealt to buckets."""
-    anchors = dealt.groupBy("_b").applyInArrow(_send_anchors(size, shards), "shard long, b long, anchors binary, many binary")
-    shared = anchors.groupBy("shard").applyInArrow(_shared_anchors, "b long, payload binary")
-    sent = dealt.groupBy("_b").cogroup(shared.groupBy("b")).applyInArrow(_freed(_send_windows(size, shards)), "shard long, b long, h binary, w binary, doc binary, n binary, data binary")
-    return sent.groupBy("shard").applyInArrow(_freed(_match_windows(size)), "b long, payload binary")
+def _answers(dealt: DataFrame, size: int, shards: int, most: int) -> DataFrame:
+    """Spans that buckets' documents lose (b, spans), from documents dealt to buckets (b, id, text; other columns
+    travel with them, so that all steps read one exchange)."""
+    anchors = dealt.groupBy("b").applyInArrow(_freed(_send_anchors(size, shards)), "shard long, b long, anchors binary, many binary")
+    shared = anchors.groupBy("shard").applyInArrow(_shared_anchors(shards), "b long, anchors binary, home binary")
+    sent = dealt.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_freed(_send_runs(size, shards)), "home long, b long, doc binary, row binary, at binary, n binary, data binary, spans binary")
+    return sent.groupBy("home").applyInArrow(_freed(_match_runs(size, most)), "b long, spans binary")
 
 
-def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+def _dealt(docs: DataFrame, more: list) -> tuple[DataFrame, int]:
+    """b, id, text and the columns ``more`` of rows with a doc_id, and the number of buckets."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    parts = max(C.tasks(spark), -(-int(size) // BUCKET_BYTES))
-    own = docs.where("doc_id is not null").withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.col("text").cast("string")})
-    return own.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(parts).cast("long"))), parts
+    text = F.col("text").cast("string")
+    size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    anchor = 14  # bytes from one anchor to the next, about, at the usual size
+    parts = max(C.tasks(spark), -(-size // max(BUCKET_BYTES, int((size * anchor * ENTRIES) ** 0.5))))
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), *more)
+    return own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts).cast("long"))), parts
 
 
-def removals(docs: DataFrame, size: int = 50) -> DataFrame:
+def removals(docs: DataFrame, size: int = 50, most: int = ARRAY_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each document."""
     docs = docs.select("doc_id", "text")
-    dealt, shards = _dealt(docs)
-    dealt = dealt.select("_b", "_id", "_text")
+    dealt, shards = _dealt(docs, [])
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    found = dealt.groupBy("_b").cogroup(_answers(dealt, size, shards).groupBy("b")).applyInArrow(_freed(_digest(size)), schema)
+    found = dealt.groupBy("b").cogroup(_answers(dealt, size, shards, most).groupBy("b")).applyInArrow(_freed(_digest), schema)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.lit(0).cast("long")
     alone = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
     return found.unionByName(alone)
 
 
-def remove(docs: DataFrame, size: int = 50) -> DataFrame:
+def remove(docs: DataFrame, size: int = 50, most: int = ARRAY_BYTES) -> DataFrame:
     """The rows of docs, all columns, with what is left of their texts."""
-    names = docs.columns
-    dealt, shards = _dealt(docs.withColumn("text", F.col("text").cast("string")))
-    kept = docs.withColumn("text", F.col("text").cast("string")).schema
-    found = dealt.groupBy("_b").cogroup(_answers(dealt, size, shards).groupBy("b")).applyInArrow(_freed(_rewrite(size, names)), kept)
-    return found.unionByName(docs.where("doc_id is null").select(*(F.col(n).cast(kept[n].dataType).alias(n) for n in names)))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    row = F.struct(*(F.col(f"`{n}`") for n in docs.columns if n != "text")).alias("row")
+    dealt, shards = _dealt(docs, [row])
+    kind = dealt.select("row", "text").schema
+    found = dealt.groupBy("b").cogroup(_answers(dealt, size, shards, most).groupBy("b")).applyInArrow(_freed(_rewrite), kind)
+    placed = found.select(*(F.col("text") if n == "text" else F.col("row").getField(n).alias(n) for n in docs.columns))
+    return placed.unionByName(docs.where("doc_id is null"))

@@ -1,8 +1,12 @@
 """Suffix arrays by induced sorting and permuted common prefixes, over windows of bytes, in numpy.
 
 Windows are laid side by side, each ended by a separator that is smaller than all bytes; separators differ, in the
-order of their windows, so no comparison goes beyond a window.  A bucket (the suffixes of one first symbol) is induced
-in rounds: what its present members induce, first in other buckets, then in itself, one array operation for all.
+order of their windows, so no comparison goes beyond a window.  Leftmost-smaller substrings are sorted by induction,
+named by direct comparison, and the string of names, a third as long at most, is sorted in the same way, at every size.
+
+Induction goes through the buckets (the suffixes of one first symbol) in order.  Buckets in a row of which none induces
+into another of them form a wave, handled by array operations; so a large alphabet takes about the square root of as
+many steps.  Within a bucket what its members induce into it is appended in rounds.
 """
 
 from __future__ import annotations
@@ -12,112 +16,105 @@ import numpy as np
 from . import common as C
 
 SEPARATOR = 0xFF  # never a byte of UTF-8
-#: Names up to which the reduced string is sorted by the same induction; with more, ranks are doubled instead.
-RECURSE = 512
+#: Symbols that one comparison of neighbouring substrings takes.
+COMPARED = 1 << 20
 
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next one (type S); separators (0) are S, what precedes them is L."""
     n = len(t)
-    step = np.sign(np.diff(t.astype(np.int64)))
-    at = np.minimum.accumulate(np.where(step != 0, np.arange(n - 1), n - 1)[::-1])[::-1]
+    step = np.sign(np.diff(t.astype(np.int32))).astype(np.int8)
+    at = np.minimum.accumulate(np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))[::-1])[::-1]
     small = np.ones(n, bool)
-    small[:-1] = np.append(step, 1)[at] > 0
+    small[:-1] = np.append(step, np.int8(1))[at] > 0
     small[t == 0] = True
     return small
 
 
-def _push(buckets: list[list[np.ndarray]], p: np.ndarray, t: np.ndarray) -> None:
-    """Appends positions to the buckets of their symbols, keeping their order."""
-    if not len(p):
-        return
-    s = t[p]
-    order = np.argsort(s, kind="stable")
-    p, s = p[order], s[order]
-    cut = np.flatnonzero(s[1:] != s[:-1]) + 1
-    for part, c in zip(np.split(p, cut), s[np.concatenate([[0], cut])].tolist(), strict=True):
-        buckets[c].append(part)
-
-
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.int32)
+def _waves(source: np.ndarray, target: np.ndarray, symbols: int) -> list[int]:
+    """Edges of rows of buckets: none of a row induces into a later one of it."""
+    least = np.full(symbols, symbols, np.int64)
+    np.minimum.at(least, source, target)
+    edges, reach = [0], symbols
+    for s in np.flatnonzero(least < symbols).tolist():
+        if s >= reach:
+            edges.append(reach)
+            reach = symbols
+        # what lies between the last edge and s hasn't been reached, so s is of the same wave
+        reach = min(reach, int(least[s]))
+    return [*edges, reach, symbols] if reach < symbols else [*edges, symbols]
+
+
+def _induced(t: np.ndarray, member: np.ndarray, seeds: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets in order, each the members that seeds and members induce, then its seeds (given in the order of their
+    symbols); with them the buckets' starts and numbers of members.  A member's symbol is its successor's or greater."""
+    at = np.flatnonzero(member)
+    own, after = t[at], t[at + 1]
+    n = np.bincount(own, minlength=symbols)
+    first = t[seeds]
+    n_seeds = np.bincount(first, minlength=symbols)
+    start = np.concatenate([[0], np.cumsum(n + n_seeds)])
+    out = np.empty(start[-1], np.int32)
+    out[(start[:-1] + n - (np.cumsum(n_seeds) - n_seeds))[first] + np.arange(len(seeds))] = seeds
+    head = start[:-1].copy()
+    up = own > after
+    edges = _waves(after[up], own[up], symbols)
+    inner = np.concatenate([[0], np.cumsum(np.bincount(own[~up], minlength=symbols))])
+
+    def put(p: np.ndarray) -> None:
+        s = t[p]
+        cut = C.starts_of(s)
+        size = np.diff(np.append(cut, len(s)))
+        out[np.repeat(head[s[cut]] - cut, size) + np.arange(len(s))] = p
+        head[s[cut]] += size
+
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        if inner[z] > inner[a]:
+            present = out[C.ragged(start[a:z], head[a:z] - start[a:z])]
+            while len(present):
+                p = present - 1
+                present = p[member[p] & (t[p] == t[present])]
+                if len(present):
+                    put(present)
+        p = out[start[a] : start[z]] - 1  # before the first position comes the last one, a separator and no member
+        p = p[member[p]]
+        s = t[p]
+        far = s >= z
+        p, s = p[far], s[far]
+        if len(p):
+            put(p[np.argsort(s, kind="stable")])
+    return out, start, n
 
 
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """The suffix array that leftmost-smaller suffixes, in the order given within each symbol, induce."""
-    first = t[lms]
-    cut = np.searchsorted(first, np.arange(symbols + 1))
-    large: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    left: list[np.ndarray] = [np.zeros(0, np.int32)] * symbols
-    for c in range(symbols):
-        present, out = _joined(large[c]), []
-        while len(present):
-            out.append(present)
-            p = present[present > 0] - 1
-            p = p[~small[p]]
-            same = t[p] == c
-            _push(large, p[~same], t)
-            present = p[same]
-        left[c] = _joined(out)
-        own = lms[cut[c] : cut[c + 1]]
-        p = own[own > 0] - 1
-        _push(large, p[t[p] > 0], t)
-    less: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    parts: list[np.ndarray] = []
-    for c in range(symbols - 1, 0, -1):
-        present, out = _joined(less[c]), []
-        while len(present):
-            out.append(present)
-            p = present[present > 0] - 1
-            p = p[small[p] & (t[p] > 0)]
-            same = t[p] == c
-            _push(less, p[~same], t)
-            present = p[same]
-        back = left[c][::-1]
-        p = back[back > 0] - 1
-        _push(less, p[small[p] & (t[p] > 0)], t)
-        parts += [*out, back]
-    parts.append(lms[: cut[1]][::-1])
-    return np.concatenate(parts)[::-1]
-
-
-def _doubled(r: np.ndarray) -> np.ndarray:
-    """Suffix array of a reduced string whose separators (0) differ in order: ranks by twice as many symbols each round."""
-    n = len(r)
-    seps = np.flatnonzero(r == 0)
-    key = r.astype(np.int64) + len(seps)
-    key[seps] = np.arange(len(seps))
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    start = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(start, np.diff(np.append(start, n)))
-    size = np.diff(np.append(start, n))
-    active = order[np.repeat(size > 1, size)]
-    h = 1
-    while len(active):
-        key = rank[active] * n + rank[active + h]
-        by = np.argsort(key, kind="stable")
-        active, key = active[by], key[by]
-        old = rank[active]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.concatenate([[True], old[1:] != old[:-1]])
-        at = np.arange(len(active))
-        inside = at - np.maximum.accumulate(np.where(group, at, 0))
-        first = np.maximum.accumulate(np.where(new, at, 0))
-        rank[active] = old + inside[first]
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(active)))
-        active = active[np.repeat(size > 1, size)]
-        h *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
-    return out
+    out, start, n = _induced(t, ~small, lms, symbols)
+    large = out[C.ragged(start[:-1], n)]
+    mirrored = (symbols - 1 - t).astype(t.dtype)
+    out, _, _ = _induced(mirrored, small & (t > 0), large[::-1], symbols)
+    return np.concatenate([lms[: np.searchsorted(t[lms], 1)], out[::-1]])
+
+
+def _names(t: np.ndarray, found: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Names, from 1, of leftmost-smaller substrings in their order: equal ones share one."""
+    length = follow[found] - found + 1
+    same = np.zeros(len(found), bool)
+    check = np.flatnonzero(length[1:] == length[:-1]) + 1
+    edges = np.searchsorted(np.cumsum(length[check]), np.arange(COMPARED, int(length[check].sum()) + COMPARED, COMPARED), "right")
+    low = 0
+    for high in edges.tolist():
+        high = max(high, min(low + 1, len(check)))
+        own = check[low:high]
+        if len(own):
+            n = length[own]
+            differ = t[C.ragged(found[own], n)] != t[C.ragged(found[own - 1], n)]
+            same[own] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        low = high
+    return np.cumsum(~same)
 
 
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
-    """Positions in the order of their suffixes; t has symbols under ``symbols`` (at most 65536) and ends with a 0."""
+    """Positions in the order of their suffixes; t has symbols under ``symbols`` and ends with a 0."""
     small = classify(t)
     star = small.copy()
     star[0] = t[0] == 0
@@ -125,25 +122,16 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     lms = np.flatnonzero(star).astype(np.int32)
     rough = induce(t, small, lms[np.argsort(t[lms], kind="stable")], symbols)
     found = rough[star[rough]]
-    # Names: equal substrings up to the next leftmost-smaller position get one; separators count as equal here.
     follow = np.empty(len(t), np.int32)
     follow[lms] = np.append(lms[1:], lms[-1])
-    with np.errstate(over="ignore"):
-        up, down = C._POWERS.of(len(t) + 1)
-        sums = np.zeros(len(t) + 1, np.uint64)
-        np.cumsum(C.mix((t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * up[: len(t)], out=sums[1:])
-        end = follow[found] + 1
-        h = (sums[end] - sums[found]) * down[found] + (end - found).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
     inner = t[found] > 0
-    names = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]]) & inner)
-    name = np.zeros(len(t), np.int64)
-    name[found] = np.where(inner, names, 0)
+    names = _names(t, found[inner], follow)
+    name = np.zeros(len(t), np.int32)
+    name[found[inner]] = names
     reduced = name[lms]
     k = int(names[-1]) + 1 if len(names) else 1
-    if k - 1 == inner.sum():  # all differ: separators, then by name
-        order = np.argsort(reduced, kind="stable")
-    else:
-        order = _doubled(reduced) if k > RECURSE else suffix_array(reduced.astype(np.uint16), k)
+    # where all differ their order is known: separators, then by name
+    order = np.argsort(reduced, kind="stable") if k - 1 == len(names) else suffix_array(reduced, k)
     lms = lms[order]
     return induce(t, small, lms[np.argsort(t[lms], kind="stable")], symbols)
 
@@ -154,26 +142,27 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, rest: np.ndarray) -> np.nd
     rest has the bytes from each position to its separator.  Positions whose left neighbours differ are compared
     directly, eight bytes at a time; of any other it is one less than of its left neighbour."""
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
-    p = before
-    direct = (p < 0) | (at == 0) | (p == 0)
-    direct[~direct] = (data[at[~direct] - 1] != data[p[~direct] - 1]) | (rest[at[~direct]] == 0) | (data[at[~direct] - 1] == SEPARATOR)
-    out = np.zeros(n, np.int64)
-    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.full(8, SEPARATOR, np.uint8)]), 8)
-    words = np.ascontiguousarray(wide).view(np.uint64).ravel()
-    live = np.flatnonzero(direct & (p >= 0) & (rest > 0))
-    most = np.minimum(rest[live], rest[p[live]])
+    direct = before <= 0
+    direct[0] = True
+    rows = np.flatnonzero(~direct)
+    left = data[rows - 1]
+    direct[rows] = (left != data[before[rows] - 1]) | (rest[rows] == 0) | (left == SEPARATOR)
+    out = np.zeros(n, np.int32)
+    words = C.wide(np.concatenate([data, np.full(8, SEPARATOR, np.uint8)]))
+    live = np.flatnonzero(direct & (before >= 0) & (rest > 0))
+    most = np.minimum(rest[live], rest[before[live]])
     length = np.zeros(len(live), np.int64)
     going = np.flatnonzero(most > 0)
     while len(going):
-        a, b = live[going] + length[going], p[live[going]] + length[going]
+        a, b = live[going] + length[going], before[live[going]] + length[going]
         differ = words[a] ^ words[b]
         same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // 8)
         length[going] = np.minimum(length[going] + same, most[going])
         going = going[(same == 8) & (length[going] < most[going])]
     out[live] = length
+    at = np.arange(n, dtype=np.int32)
     anchor = np.maximum.accumulate(np.where(direct, at, 0))
     return np.maximum(out[anchor] - (at - anchor), 0)
 
@@ -192,7 +181,7 @@ def repeats(windows: list[bytes] | np.ndarray, size: int, offsets: np.ndarray |
     t = data.astype(np.uint16) + np.uint16(1)
     t[start + lens] = 0
     sa = suffix_array(t, 258)
-    rest = np.repeat(start + lens, lens + 1) - np.arange(len(data))
+    rest = (np.repeat(start + lens, lens + 1) - np.arange(len(data))).astype(np.int32)
     prefix = common_prefixes(data, sa, rest)[sa]
     more = prefix >= size  # shares enough with its predecessor
     member = more.copy()
