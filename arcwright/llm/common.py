@@ -10,8 +10,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, fresh_path, stored  # noqa: F401
+
 SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
@@ -188,29 +188,18 @@ def text_of(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFra
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+def beside(df: DataFrame, **own) -> DataFrame:
+    """Columns of our own beside the rows packed in the struct ``row``: whatever their names, they can't clash."""
+    return df.select(*(c.alias(n) for n, c in own.items()), F.struct(*(F.col(f"`{n}`") for n in df.columns)).alias("row"))
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set, as in tests, one of our own."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        if not (told := getattr(spark, "_own_shared_dir", None)):
-            told = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return told
 
+def rows_of(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that ``beside`` packed."""
+    return df.select(*(F.col("row").getField(n).alias(n) for n in names))
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def tasks(spark: SparkSession) -> int:

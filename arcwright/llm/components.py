@@ -1,24 +1,38 @@
-"""Connected components of an edge table by alternating star contractions, all in the cluster."""
+"""Joins on keys that may be very common, and connected components of an edge table by alternating star contractions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
+#: A key is heavy where it holds at least one in so many of the rows: there are never more heavy keys than that.
+HEAVY = 1000
 
-def _large(e: DataFrame) -> DataFrame:
+
+def join_heavy(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``on`` with a table of one row for each key, whose column ``n`` says how many rows have the key
+    and isn't passed on.  The heavy keys' rows stay where they are and get the table's few rows for them by broadcast (at
+    most HEAVY); only the others are dealt, and none of their keys holds more than a share of 1 / HEAVY."""
+    heavy = F.col("n") * HEAVY >= F.lit(max(1, total))
+    few, rest = table.where(heavy).drop("n"), table.where(~heavy).drop("n")
+    here = rows.join(F.broadcast(few), on)
+    dealt = rows.join(F.broadcast(few.select(on)), on, "left_anti").join(rest, on, how)
+    return here.unionByName(dealt)
+
+
+def _large(e: DataFrame, total: int) -> DataFrame:
     """Larger neighbours of each node move to its smallest neighbour."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+    return join_heavy(both, least, "a", 2 * total).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, total: int) -> DataFrame:
     """The node and its smaller neighbours move to the smallest of them (a > b in each edge)."""
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_heavy(e, least, "a", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -26,7 +40,7 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     """id, component: the smallest id reachable, for each id that an edge (a, b) between different ids names.
 
     Nulls and loops are no edges.  A round halves paths, so rounds grow with the logarithm of the longest path; each
-    is written to the shared folder.
+    step is written to the shared folder.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = stored(e, name)
@@ -36,5 +50,8 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
-        e = stored(_small(_large(e).distinct()), name)
+        grown = stored(_large(e, now[0]).distinct(), name)
+        e, before = stored(_small(grown, now[0]), name), e
+        discard(before)
+        discard(grown)
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

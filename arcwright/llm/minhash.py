@@ -9,9 +9,12 @@ of a band are candidates, gathered as star edges (never as pairs); connected can
 verified on full sets by rows of intersection sizes: of any pair that the cluster's largest component doesn't hold
 already, one row is computed.  Clusters of more than ``block`` classes are dealt to many tasks (``_large_clusters``).
 
+Shingles are told apart by 128 bits, mixed one to one from their words: 64 of them draw the registers, and sets are
+counted, compared and intersected on all 128.
+
 Defined cases: a document without words has an empty set and links with nothing; one of fewer words than ``size`` has
-its whole sequence as one shingle; rows with one doc_id are one node; a null doc_id links with nothing and is kept;
-other columns aren't looked at.
+its whole sequence as one shingle; a very long text is one document like any other; rows with one doc_id are one node;
+a null doc_id links with nothing and is kept; an empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -25,37 +28,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import connected
+from .components import connected, join_heavy
 
 #: Bands of rows; at a similarity of 0.8 a linked pair agrees on no band with a probability under 1e-4, at 0.85 of 1e-6.
 BANDS, ROWS = 24, 5
 #: Classes of a cluster that one task verifies.
 BLOCK = 128
 EMPTY = np.iinfo(np.uint64).max
+#: Bytes of band keys and ids that one task links, as planned.
+SHARD_BYTES = 64 << 20
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted within each document, and the documents' edges; data is lower-cased."""
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, as two lanes of hashes sorted by the first within each document, and the documents' edges; data
+    is lower-cased."""
     n = len(offsets) - 1
     w = C.words(data, offsets, C.space_words())
     first = np.concatenate([[0], np.cumsum(np.bincount(w.doc, minlength=n))])
     have = np.diff(first)
-    every = C.rolling(w.hash, size)
     count = np.maximum(have - size + 1, 0)
     short = np.flatnonzero((have > 0) & (have < size))
     edges = np.concatenate([[0], np.cumsum(count + ((have > 0) & (have < size)))])
-    out = np.zeros(edges[-1], np.uint64)
-    full = C.ragged(edges[:-1], count)
-    out[full] = every[C.ragged(first[:-1], count)]
-    for i in short.tolist():
-        out[edges[i]] = C.rolling(w.hash[first[i] : first[i + 1]], int(have[i]))[0]
+    full, source = C.ragged(edges[:-1], count), C.ragged(first[:-1], count)
+    both = []
+    for lane, h in enumerate((w.hash, C.range_hashes(data, w.start, w.end, 1))):
+        out = np.zeros(edges[-1], np.uint64)
+        out[full] = C.rolling(h, size, lane)[source]
+        for i in short.tolist():
+            out[edges[i]] = C.rolling(h[first[i] : first[i + 1]], int(have[i]), lane)[0]
+        both.append(out)
+    order = np.arange(len(both[0]))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if b - a > 1:
-            out[a:b].sort()
-    new = np.ones(len(out), bool)
-    new[1:] = out[1:] != out[:-1]
-    new[edges[:-1][np.diff(edges) > 0]] = True
-    return out[new], np.concatenate([[0], np.cumsum(new)])[edges]
+            order[a:b] = a + np.argsort(both[0][a:b], kind="stable")
+    owner = np.repeat(np.arange(n), np.diff(edges))
+    if (_tied(both[0][order], both[1][order]) & (owner[1:] == owner[:-1])).any():
+        order = np.lexsort([both[1], both[0], owner])
+    one, two = both[0][order], both[1][order]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (owner[1:] != owner[:-1])
+    return one[new], two[new], np.concatenate([[0], np.cumsum(new)])[edges]
+
+
+def _tied(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Where a value of the first lane, sorted, goes on with another one of the second."""
+    return (one[1:] == one[:-1]) & (two[1:] != two[:-1])
+
+
+def numbered(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct elements of two lanes, and how often each occurs."""
+    order = np.argsort(one, kind="stable")
+    if _tied(one[order], two[order]).any():
+        order = np.lexsort([two, one])
+    a, b = one[order], two[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out = np.empty(len(a), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, np.diff(np.append(np.flatnonzero(new), len(a)))
 
 
 def signatures(elements: np.ndarray, edges: np.ndarray, m: int) -> np.ndarray:
@@ -104,10 +134,10 @@ def _sets(size: int, bands: int, rows: int):
         low = C.lower_table()
         for batch in batches:
             for s in C.slices(batch.column("text")):
-                elements, edges = shingles(low[s.data], s.offsets, size)
-                keys = band_keys(signatures(elements, edges, bands * rows), bands, rows)
-                raw = elements.tobytes()
-                digest = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                one, two, edges = shingles(low[s.data], s.offsets, size)
+                keys = band_keys(signatures(one, edges, bands * rows), bands, rows)
+                raw = np.stack([one, two], axis=1).tobytes()
+                digest = [hashlib.blake2b(raw[16 * a : 16 * b], digest_size=16).digest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(s.first, s.n), pa.array(np.diff(edges)), pa.array(digest, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())],
                     ["doc_id", "n_shingles", "digest", "bands"],
@@ -135,9 +165,10 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     """a, b: star edges between classes (rep, bands) that share a band key.
 
     A task links its own classes key by key and sends each key once, in one packed row for each shard of keys; a shard
-    links what the tasks sent.  A hot key costs each task a single entry.
+    links what the tasks sent.  A hot key costs each task a single entry.  Shards grow in number with the classes.
     """
-    shards = C.tasks(classes.sparkSession)
+    size = classes.agg(F.sum(F.octet_length("bands"))).first()[0] or 0
+    shards = max(C.tasks(classes.sparkSession), -(-2 * int(size) // SHARD_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +212,10 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Component of each set, as the least position in it: pairs with 100 * intersection >= percent * union link."""
+    """Component of each set (two lanes of distinct elements), as the least position in it: pairs with
+    100 * intersection >= percent * union link."""
     k = len(sets)
-    size = np.array([len(s) for s in sets])
+    size = np.array([s.shape[1] for s in sets])
     parent = np.arange(k)
 
     def root(i: int) -> int:
@@ -196,12 +228,12 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         i, j = root(i), root(j)
         parent[max(i, j)] = min(i, j)
 
+    inverse, df = numbered(*np.concatenate(sets, axis=1))
     if k == 2:
-        both = len(np.intersect1d(*sets, assume_unique=True))
+        both = int((df > 1).sum())
         if 100 * both >= percent * (size.sum() - both):
             join(0, 1)
         return parent
-    values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     edges = np.concatenate([[0], np.cumsum(size)])
     owner = np.repeat(np.arange(k), size)
     live = np.ones(k, bool)
@@ -213,7 +245,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         live &= ~gone
         df = df - np.bincount(inverse[gone[owner]], minlength=len(df))
     central = np.bincount(owner, weights=df[inverse], minlength=k) / np.maximum(size, 1)
-    mark = np.zeros(len(values), np.int64)
+    mark = np.zeros(len(df), np.int64)
     largest = -1
     for i in sorted(np.flatnonzero(live).tolist(), key=lambda i: -central[i]):
         if largest >= 0 and root(i) == root(largest):
@@ -246,8 +278,8 @@ def _by_key(size: int, per_key, names: list[str]):
         for batch in batches:
             for s in C.slices(batch.column("text")):
                 part = batch.slice(s.first, s.n)
-                elements, edges = shingles(low[s.data], s.offsets, size)
-                own = np.split(elements, edges[1:-1])
+                one, two, edges = shingles(low[s.data], s.offsets, size)
+                own = np.split(np.stack([one, two]), edges[1:-1], axis=1)
                 for k, c, i, x in zip(part.column("key").to_pylist(), part.column("cluster").to_pylist(), part.column("doc_id").to_pylist(), own, strict=True):
                     if k != key:
                         yield from done()
@@ -270,8 +302,9 @@ def _edges(percent: int):
 
 def _most_central(cluster: int, ids: np.ndarray, sets: list[np.ndarray]) -> tuple[list, ...]:
     """The set whose elements occur in most others, by their mean number."""
-    _, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    mean = np.add.reduceat(df[inverse], np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])) / np.array([len(s) for s in sets])
+    inverse, df = numbered(*np.concatenate(sets, axis=1))
+    size = np.array([s.shape[1] for s in sets])
+    mean = np.add.reduceat(df[inverse], np.cumsum(size) - size) / size
     i = int(np.argmax(mean))
     return [cluster], [int(ids[i])], [float(mean[i])]
 
@@ -290,6 +323,7 @@ def _large_clusters(full: DataFrame, size: int, percent: int, block: int) -> Dat
     """
     chunks = F.ceil(F.col("members") / F.lit(max(1, block // 2))).cast("int")
     full = full.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    total = full.count()
     keyed = lambda df, *more: df.select(F.concat_ws("-", "cluster", "chunk", *more).alias("key"), "cluster", "doc_id", "text")
     edge, link = _by_key(size, _edges(percent), ["a", "b"]), "a long, b long"
     inner = _dealt(keyed(full), edge, link)
@@ -297,35 +331,38 @@ def _large_clusters(full: DataFrame, size: int, percent: int, block: int) -> Dat
     hubs = C.stored(central.groupBy("cluster").agg(F.max_by("hub", F.struct("mean", "hub")).alias("hub")), "minhash-hubs")
     hub = full.join(hubs.select(F.col("hub").alias("doc_id")), "doc_id", "left_semi").select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "text")
     first = C.stored(inner.unionByName(_dealt(keyed(full.select("cluster", "chunk", "doc_id", "text").unionByName(hub)), edge, link)), "minhash-hub-links")
-    component = connected(first, "minhash-hub-components")
-    of_hub = hubs.join(component, F.col("hub") == F.col("id")).select("cluster", F.col("component").alias("of_hub"))
-    linked_ids = component.join(of_hub, F.col("component") == F.col("of_hub")).select(F.col("id").alias("doc_id"), F.lit(True).alias("with_hub"))
+    component = C.stored(connected(first, "minhash-hub-components"), "minhash-hub-components")
+    sizes = component.groupBy("component").agg(F.count("*").alias("n"))
+    of_hub = hubs.join(component, F.col("hub") == F.col("id")).select("component").distinct().join(sizes, "component")
+    linked_ids = join_heavy(component, of_hub, "component", total).select(F.col("id").alias("doc_id"))
     rest = C.stored(full.join(linked_ids, "doc_id", "left_anti"), "minhash-rest")
-    n = rest.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(max(1, block // 2))).cast("int").alias("blocks"))
-    mine = rest.join(n, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
-    mine = mine.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    theirs = full.join(n, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = keyed(mine, "block").unionByName(keyed(theirs, "block")).distinct()
+    blocks = F.ceil(F.count("*") / F.lit(max(1, block // 2))).cast("int").alias("blocks")
+    left = C.stored(rest.groupBy("cluster").agg(blocks, F.max("members").alias("n")), "minhash-rest-sizes")
+    mine = join_heavy(rest, left, "cluster", total).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> chunk").withColumn("chunk", F.col("other"))
+    theirs = join_heavy(full, left, "cluster", total).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a document of the rest that is in the chunk itself: in its block's job once, by ``theirs``
+    both = keyed(mine, "block").unionByName(keyed(theirs, "block"))
     return first.unionByName(_dealt(both, edge, link))
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each document."""
-    spark = docs.sparkSession
     texts = C.text_of(docs)
     sets = C.stored(texts.mapInArrow(_sets(size, bands, rows), "doc_id long, n_shingles long, digest binary, bands binary"), "minhash-sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = C.stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "minhash-classes")
+    classes = C.stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")), "minhash-classes")
     clusters = C.stored(connected(candidate_edges(classes), "minhash-candidates"), "minhash-clusters")
-    sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("members")), "component").withColumnRenamed("component", "cluster")
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("members")).withColumn("n", F.col("members"))
+    sized = join_heavy(clusters, sizes, "component", clusters.count()).withColumnRenamed("component", "cluster")
     texts = texts.where("doc_id is not null").hint("merge")  # texts are dealt once, and at any size: neither side's is bounded
     members = C.stored(sized.join(texts, sized.id == F.col("doc_id")).select("cluster", "members", "doc_id", "text"), "minhash-members")
     small = members.where(F.col("members") <= block).select(F.col("cluster").cast("string").alias("key"), "cluster", "doc_id", "text")
     found = _dealt(small, _by_key(size, _edges(percent), ["a", "b"]), "a long, b long")
     found = found.unionByName(_large_clusters(members.where(F.col("members") > block), size, percent, block))
     components = connected(found, "minhash-links")
-    of = classes.select("digest", "rep").join(components, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    placed = full.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", "component_id")
+    of = C.stored(classes.select("digest", "rep", "n").join(components, F.col("rep") == F.col("id"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id")), "minhash-groups")
+    placed = join_heavy(full.select("doc_id", "n_shingles", "digest"), of, "digest", full.count(), "left").select("doc_id", "n_shingles", "component_id")
     alone = sets.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -335,5 +372,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that share one doc_id stay or go together; rows without doc_id stay.
     """
-    gone = groups(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = groups(docs, size, percent).where("not kept").select("doc_id").distinct()
+    kept = C.beside(docs, doc_id=F.col("doc_id").cast("long")).join(gone, "doc_id", "left_anti")
+    return C.rows_of(kept, docs.columns)

@@ -94,3 +94,25 @@ def test_signatures_estimate_similarity():
     assert (sig[2] == minhash.EMPTY).all() and (sig[3] != minhash.EMPTY).all()
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((sig[0] == sig[1]).mean() - true) < 0.15
+
+
+def thue_morse(n, letters="ab"):
+    """A word and its complement: polynomials modulo powers of two give both one value."""
+    word = "".join(letters[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_texts_of_words_that_collide_in_polynomials(spark, n):
+    a, b = thue_morse(n)
+    rows = [(1, " ".join([a] * 3)), (2, " ".join([b] * 3)), (3, f"{a} x y z u {b}"), (4, f"{b} x y z u {a}"), (5, f"{a} x y z u {b}")]
+    assert result(minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 80)
+
+
+def test_elements_are_told_apart_by_both_lanes():
+    one = np.array([5, 5, 7, 5, 7], np.uint64)
+    two = np.array([1, 2, 3, 1, 3], np.uint64)
+    number, count = minhash.numbered(one, two)
+    assert number[0] == number[3] != number[1] and number[2] == number[4] and sorted(count.tolist()) == [1, 2, 2]
+    sets = [np.array([[1, 2, 3], [9, 9, 9]], np.uint64), np.array([[1, 2, 3], [8, 8, 8]], np.uint64), np.array([[1, 2, 3], [9, 9, 9]], np.uint64)]
+    assert minhash.linked(sets, 80).tolist() == [0, 1, 0]
