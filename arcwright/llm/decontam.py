@@ -4,9 +4,12 @@ Test strings are the windows of ``size`` consecutive words of each benchmark ite
 one window).  The alphabet of the search is the word: blocks are of up to three words, the shift table says how far
 no test string can end, a shift of 0 opens the bucket of test strings with that suffix block, and the words are
 compared directly.  Documents are scanned in lanes of bounded length that advance together, each by its own shifts.
+The tables of a block of items are made once, by the driver, and broadcast as arrays.
 
 Defined cases: a null text has no words and no hits; an item without id or without words has no windows; the same
-item_id in several rows joins their windows; repeated documents each give a row; other columns aren't looked at.
+item_id in several rows joins their windows; repeated documents each give a row, as does one with a null doc_id; a very
+long text is searched whole; without documents there are no rows, without items no hits; other columns aren't looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,107 +25,107 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LANE = 256
-#: Benchmark text that is held as one broadcast set of test strings; a larger benchmark is searched in such blocks.
-BLOCK_BYTES = 32 << 20
-
-
-def _split(text: str | None) -> list[bytes]:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    low = C.lower_table()[raw]
-    start, end, _ = C.spans(C.alnum_words()[low], np.array([0, len(low)]))
-    data = low.tobytes()
-    return [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words]) if words else np.zeros(0, np.int64)
-    return C.range_hashes(data, ends - np.array([len(w) for w in words], np.int64), ends)
+#: Benchmark text that is held as one broadcast set of test strings; a larger benchmark is searched in such blocks.  The
+#: tables of a block take about 20 times its bytes at the most, and the shift table 16 MB.
+BLOCK_BYTES, SHIFT_BITS = 8 << 20, 24
 
 
 class _Tables:
-    """Shift table and suffix buckets of the test strings with m words."""
+    """Shift table and suffix buckets of the test strings with m words, which begin at the words ``first`` of a text."""
 
-    def __init__(self, m: int, patterns: list[tuple[bytes, ...]]) -> None:
-        self.m, self.b, self.patterns = m, min(3, m), patterns
-        hashes = word_hashes([w for p in patterns for w in p]).reshape(len(patterns), m)
-        bits = max(16, int(np.ceil(np.log2(16 * len(patterns) * (m - self.b + 1) + 1))))
+    def __init__(self, m: int, first: np.ndarray, hashes: np.ndarray) -> None:
+        self.m, self.b = m, min(3, m)
+        bits = min(SHIFT_BITS, max(16, int(np.ceil(np.log2(16 * len(first) * (m - self.b + 1) + 1)))))
         self.down = np.uint64(64 - bits)
-        self.shift = np.full(1 << bits, m - self.b + 1, np.int64)
+        self.shift = np.full(1 << bits, min(127, m - self.b + 1), np.int8)
         for end in range(self.b, m + 1):
-            np.minimum.at(self.shift, (self.block(hashes.T, end - 1) >> self.down).astype(np.int64), m - end)
-        suffix = self.block(hashes.T, m - 1)
+            np.minimum.at(self.shift, (self.block(hashes, first + end - 1) >> self.down).astype(np.int64), np.int8(min(127, m - end)))
+        suffix = self.block(hashes, first + m - 1)
         order = np.argsort(suffix, kind="stable")
-        self.suffix, self.order = suffix[order], order
-        self.prefix = self.block(hashes.T, self.b - 1)
+        self.suffix, self.first = suffix[order], first[order]
+        self.prefix = self.block(hashes, self.first + self.b - 1)
 
-    def block(self, hashes: np.ndarray, end: np.ndarray | int) -> np.ndarray:
+    def block(self, hashes: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the block of b words that ends at each position."""
         with np.errstate(over="ignore"):
-            x = np.uint64(self.b)
+            x = np.full(len(end), self.b, np.uint64)
             for i in range(self.b - 1, -1, -1):
                 x = (x ^ hashes[end - i]) * np.uint64(0x9E3779B97F4A7C15)
                 x ^= x >> np.uint64(32)
         return x
 
     def scan(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which a window may end and the test strings of their buckets with an equal first block."""
+        """First words at which a window may begin, and those of the test strings in their buckets with an equal first block."""
         length = np.maximum(0, last - first - self.m + 1)
         pieces = -(-length // LANE)
         at = C.ragged(np.zeros(len(first), np.int64), pieces) * LANE + np.repeat(first + self.m - 1, pieces)
         stop = np.minimum(at + LANE, np.repeat(last, pieces))
-        found = []
+        found = [np.zeros(0, np.int64)]
         while len(at):
             step = self.shift[(self.block(hashes, at) >> self.down).astype(np.int64)]
             found.append(at[step == 0])
             at = at + np.maximum(step, 1)
             going = at < stop
             at, stop = at[going], stop[going]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = np.concatenate(found)
         block = self.block(hashes, ends)
         low, high = np.searchsorted(self.suffix, block, "left"), np.searchsorted(self.suffix, block, "right")
-        pattern = self.order[C.ragged(low, high - low)]
+        some = C.ragged(low, high - low)
         ends = np.repeat(ends, high - low)
-        same = self.block(hashes, ends - self.m + self.b) == self.prefix[pattern]
-        return ends[same], pattern[same]
+        same = self.block(hashes, ends - self.m + self.b) == self.prefix[some]
+        return ends[same] - self.m + 1, self.first[some[same]]
 
 
 class Matcher:
-    """All test strings of a block of items: (item id as text, text) pairs."""
+    """All test strings of a block of items, (item id as text, text) pairs: their words and the tables."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
-        by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, text in items:
-            if item is None or not (w := _split(text)):
-                continue
-            m = min(size, len(w))
-            for i in range(len(w) - m + 1):
-                by_length.setdefault(m, {}).setdefault(tuple(w[i : i + m]), set()).add(item)
-        self.tables = [(_Tables(m, list(p)), [frozenset(x) for x in p.values()]) for m, p in sorted(by_length.items())]
+        items = [(i, t) for i, t in items if i is not None and t]
+        self.names = [i for i, _ in items]
+        raw = [t.encode() for _, t in items]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        self.data = C.lower_table()[np.frombuffer(b"".join(raw), np.uint8)]
+        self.words = C.words(self.data, offsets, C.alnum_words())
+        have = np.bincount(self.words.doc, minlength=len(items))
+        begin = np.cumsum(have) - have
+        self.tables = []
+        for m in np.unique(np.minimum(have[have > 0], size)).tolist():
+            own = np.flatnonzero(np.minimum(have, size) == m)
+            self.tables.append(_Tables(m, C.ragged(begin[own], have[own] - m + 1), self.words.hash))
+
+    def _equal(self, m: int, data: np.ndarray, w: C.Words, a: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Whether the m words from a on are the m words of the items from p on, compared directly."""
+        x, y = (a[:, None] + np.arange(m)).ravel(), (p[:, None] + np.arange(m)).ravel()
+        n = w.end[x] - w.start[x]
+        same = n == self.words.end[y] - self.words.start[y]
+        i = np.flatnonzero(same)
+        if len(i):
+            n = n[i]
+            differ = data[C.ragged(w.start[x[i]], n)] != self.data[C.ragged(self.words.start[y[i]], n)]
+            same[i] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        return same.reshape(-1, m).all(axis=1)
 
     def find(self, data: np.ndarray, w: C.Words, offsets: np.ndarray, hit: np.ndarray, items: list[set]) -> None:
         """Marks the words inside occurrences in hit and adds the items to the documents' sets."""
         n = len(offsets) - 1
         first = np.searchsorted(w.doc, np.arange(n), "left")
         last = np.searchsorted(w.doc, np.arange(n), "right")
-        raw = None
-        for table, owners in self.tables:
-            ends, patterns = table.scan(w.hash, first, last)
-            for end, p in zip(ends.tolist(), patterns.tolist(), strict=True):
-                raw = data.tobytes() if raw is None else raw
-                a = end - table.m + 1
-                if all(raw[w.start[a + i] : w.end[a + i]] == x for i, x in enumerate(table.patterns[p])):
-                    hit[a : end + 1] = True
-                    items[w.doc[a]] |= owners[p]
+        for table in self.tables:
+            at, pattern = table.scan(w.hash, first, last)
+            for part in np.array_split(np.arange(len(at)), max(1, len(at) * table.m >> 17)):
+                a, p = at[part], pattern[part]
+                sure = self._equal(table.m, data, w, a, p)
+                a, p = a[sure], p[sure]
+                hit[(a[:, None] + np.arange(table.m)).ravel()] = True
+                for doc, item in np.unique(np.stack([w.doc[a], self.words.doc[p]]), axis=1).T.tolist():
+                    items[doc].add(self.names[item])
 
 
 def _pass(matcher_of, started: bool):
     """One block of items over the documents: adds to the bits of hit words and to the items found so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*matcher_of.value)
+        matcher = matcher_of.value
         low, inside = C.lower_table(), C.alnum_words()
         for batch in batches:
             for s in C.slices(batch.column("text")):
@@ -184,7 +187,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     spark, out = docs.sparkSession, C.text_of(docs)
     for k, items in enumerate(item_blocks(benchmark)):
         out = C.stored(out, "decontam") if k else out
-        sent = spark.sparkContext.broadcast((items, size))
+        sent = spark.sparkContext.broadcast(Matcher(items, size))
         out = out.mapInArrow(_pass(sent, k > 0), "doc_id long, text string, n_words long, hits binary, items array<string>")
     return out
 
@@ -198,23 +201,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     """The rows of docs, all columns, in which no window of the benchmark occurs; rows with a null doc_id are kept or
     dropped by their own text like any other."""
     spark = docs.sparkSession
-    columns = docs.columns
-    out = docs.withColumn("_text", F.col("text").cast("string"))
+    out = C.beside(docs, text=F.col("text").cast("string"))
     for items in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast((items, size))
+        sent = spark.sparkContext.broadcast(Matcher(items, size))
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(*sent.value)
             low, inside = C.lower_table(), C.alnum_words()
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for s in C.slices(batch.column("_text")):
+                for s in C.slices(batch.column("text")):
                     data = low[s.data]
                     w = C.words(data, s.offsets, inside)
-                    items = [set() for _ in range(s.n)]
-                    matcher.find(data, w, s.offsets, np.zeros(len(w.doc), bool), items)
-                    keep[s.first : s.first + s.n] = [not x for x in items]
+                    found = [set() for _ in range(s.n)]
+                    sent.value.find(data, w, s.offsets, np.zeros(len(w.doc), bool), found)
+                    keep[s.first : s.first + s.n] = [not x for x in found]
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(clean, out.schema)
-    return out.select(columns)
+    return C.rows_of(out, docs.columns)

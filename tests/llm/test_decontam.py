@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -63,3 +65,26 @@ def test_empty_tables(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontam.contamination(odd, none).collect())
     assert decontam.contamination(odd.limit(0), none).collect() == []
+
+
+def test_a_full_block_takes_bounded_memory():
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 9))) for _ in range(50_000)]
+    items, size = [], 0
+    while size < decontam.BLOCK_BYTES:
+        items.append((str(len(items)), " ".join(r.choices(words, k=2000))))
+        size += len(items[-1][1])
+    tracemalloc.start()
+    m = decontam.Matcher(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    held = sum(a.nbytes for t in m.tables for a in (t.shift, t.suffix, t.first, t.prefix)) + m.data.nbytes + sum(a.nbytes for a in m.words)
+    assert held < 20 * decontam.BLOCK_BYTES + (1 << decontam.SHIFT_BITS)
+
+
+def test_clashing_columns_and_null_ids(spark):
+    bench = spark.createDataFrame([(1, "some benchmark words")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "here are some benchmark words", "x", "y"), (None, "clean", "p", "q")], "doc_id long, text string, _text string, items string")
+    assert [tuple(r) for r in decontam.decontaminate(docs, bench).collect()] == [(None, "clean", "p", "q")]
+    assert sorted(r.contaminated for r in decontam.contamination(docs, bench).collect()) == [False, True]
