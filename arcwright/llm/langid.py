@@ -6,11 +6,14 @@ and a softmax; a text's language has the greatest mean log-probability over its
 filter's tap are both linear, a trained network is applied by tables: a filter's value is the sum over its taps of a
 table's row for the byte there.
 
-Training takes a bounded sample of labelled texts, by a hash of doc_id, the same number of each language at most, and
-windows from all parts of these texts.
+Training takes a bounded sample of labelled rows, by a hash of the row, the same number of each language at most, and
+all windows of their texts.  Every labelled language is learned.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; null languages aren't learned from; if
-nothing can be learned every text is ``und``; repeated rows each give a row; other columns aren't looked at.
+nothing can be learned every text is ``und``; a row with a null doc_id gets its language, isn't held out and isn't
+learned from; rows with one doc_id are rows of their own, each with its own label; equal rows are learned from once and
+each give a row; of languages that tie, the first in the order of names is taken; a very long text is read whole; an
+empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Labelled texts of each language, and languages, that training takes at most; windows that it takes of one text.
-SAMPLE, LANGUAGES, WINDOWS = 600, 64, 6
+#: Labelled rows of each language that training takes at most, and of all together if languages are very many (one row
+#: of each language it takes in any case).
+SAMPLE, SAMPLE_ALL = 600, 20_000
 LENGTH, WIDTHS, FILTERS, EMBEDDING = 128, (2, 3, 4), 24, 12
 
 
@@ -64,48 +68,59 @@ def _forward(net: Network, x: np.ndarray) -> tuple[np.ndarray, list[tuple[np.nda
     return np.concatenate(pooled, axis=1), kept
 
 
-def train(texts: list[str], languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 2e-3, seed: int = 7) -> Network:
-    """Cross-entropy by Adam over windows of the texts."""
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of windows, and its gradients: embedding, filters, bias, out, out_bias."""
+    pooled, kept = _forward(net, x)
+    h = np.maximum(pooled, 0)
+    z = h @ net.out + net.out_bias
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    at = np.arange(len(x)), y
+    loss = float(-np.log(z[at]).mean())
+    z[at] -= 1
+    z /= len(x)
+    dh = (z @ net.out.T) * (pooled > 0)
+    embedding, filters = np.zeros_like(net.embedding), []
+    for j, (flt, (unfolded, best)) in enumerate(zip(net.filters, kept, strict=True)):
+        w, d, n = flt.shape
+        g = dh[:, j * n : (j + 1) * n]
+        seen = unfolded[np.arange(len(x))[:, None], best]  # rows, filters, width * embedding
+        filters.append(np.einsum("rf,rfe->ef", g, seen).reshape(w, d, n))
+        back = np.einsum("rf,wdf->rfwd", g, flt)
+        bytes_at = x[np.arange(len(x))[:, None, None], best[:, :, None] + np.arange(w)]
+        np.add.at(embedding, bytes_at.ravel(), back.reshape(-1, d))
+    return loss, [embedding, *filters, dh.sum(axis=0), h.T @ z, z.sum(axis=0)]
+
+
+def start(names: list[str], r: np.random.Generator) -> list[np.ndarray]:
+    """First parameters, in the order of ``gradients``."""
+    k = FILTERS * len(WIDTHS)
+    return [r.normal(0, 0.3, (256, EMBEDDING)), *(r.normal(0, (w * EMBEDDING) ** -0.5, (w, EMBEDDING, FILTERS)) for w in WIDTHS), np.zeros(k), r.normal(0, k**-0.5, (k, len(names))), np.zeros(len(names))]
+
+
+def network(names: list[str], p: list[np.ndarray]) -> Network:
+    f = len(WIDTHS)
+    return Network(names, p[0], p[1 : 1 + f], *p[1 + f :])
+
+
+def train(texts: list[str], languages: list[str], epochs: int = 2, batch: int = 64, rate: float = 2e-3, seed: int = 7) -> Network:
+    """Cross-entropy by Adam over all windows of the texts."""
     r = np.random.default_rng(seed)
     names = sorted(set(languages))
-    xs, ys = [], []
-    for t, lang in zip(texts, languages, strict=True):
-        w = windows(np.frombuffer(t.encode(), np.uint8))
-        own = w[r.choice(len(w), min(WINDOWS, len(w)), replace=False)]
-        xs.append(own)
-        ys += [names.index(lang)] * len(own)
-    x, y = np.concatenate(xs), np.array(ys)
-    k = FILTERS * len(WIDTHS)
-    p = [r.normal(0, 0.3, (256, EMBEDDING)), *(r.normal(0, (w * EMBEDDING) ** -0.5, (w, EMBEDDING, FILTERS)) for w in WIDTHS), np.zeros(k), r.normal(0, k**-0.5, (k, len(names))), np.zeros(len(names))]
-    p = [a.astype(np.float32) for a in p]
+    xs = [windows(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    x, y = np.concatenate(xs), np.repeat([names.index(lang) for lang in languages], [len(w) for w in xs])
+    p = [a.astype(np.float32) for a in start(names, r)]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    f = len(WIDTHS)
-    for _ in range(epochs):
+    # few windows are gone through more often, so that there are some hundred steps in any case
+    for _ in range(max(epochs, -(-400 * batch // len(x)))):
         for rows in np.array_split(r.permutation(len(x)), max(1, len(x) // batch)):
-            net = Network(names, p[0], p[1 : 1 + f], *p[1 + f :])
-            pooled, kept = _forward(net, x[rows])
-            h = np.maximum(pooled, 0)
-            z = h @ net.out + net.out_bias
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(rows)), y[rows]] -= 1
-            z /= len(rows)
-            dh = (z @ net.out.T) * (pooled > 0)
-            grads = [np.zeros_like(p[0]), *(np.zeros_like(a) for a in net.filters), dh.sum(axis=0), h.T @ z, z.sum(axis=0)]
-            for j, (flt, (unfolded, best)) in enumerate(zip(net.filters, kept, strict=True)):
-                w, d, n = flt.shape
-                g = dh[:, j * n : (j + 1) * n]
-                at = unfolded[np.arange(len(rows))[:, None], best]  # rows, filters, width * embedding
-                grads[1 + j] += np.einsum("rf,rfe->ef", g, at).reshape(w, d, n)
-                back = np.einsum("rf,wdf->rfwd", g, flt)
-                bytes_at = x[rows][np.arange(len(rows))[:, None, None], best[:, :, None] + np.arange(w)]
-                np.add.at(grads[0], bytes_at.ravel(), back.reshape(-1, d))
+            _, grads = gradients(network(names, p), x[rows], y[rows])
             step += 1
             for a, g, mm, vv in zip(p, grads, m, v, strict=True):
                 mm += 0.1 * (g - mm)
                 vv += 0.001 * (g * g - vv)
                 a -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
-    return Network(names, p[0], p[1 : 1 + f], *p[1 + f :])
+    return network(names, p)
 
 
 class Applied:
@@ -147,18 +162,19 @@ class Applied:
         return best, (1 / e.sum(axis=1)).clip(0, 1)
 
 
-def sample(docs: DataFrame, rows: str, most: int = SAMPLE) -> DataFrame:
-    """text, lang of at most ``most`` texts of each of at most LANGUAGES languages, from rows that the condition admits.
+def sample(docs: DataFrame, rows: str, most: int = SAMPLE, most_of_all: int = SAMPLE_ALL) -> DataFrame:
+    """text, label of at most ``most`` labelled rows of each language, from rows that the condition admits.
 
-    Ids are chosen first: each task and language passes on its own ``most`` least hashes, so no language's rows meet."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(rows)
-    languages = [r.lang for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    by_hash = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
-    spread = known.where(F.col("lang").isin(languages)).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(256)))
-    share = spread.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(by_hash))).where(F.col("n") <= -(-most // 256) * 2)
-    ids = share.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("n", by_hash))).where(F.col("n") <= most).select("doc_id", "lang")
-    texts = C.text_of(docs).where(F.length("text") > 0)
-    return texts.join(F.broadcast(ids), "doc_id").select("text", F.col("lang").alias("label"))
+    Rows are chosen by their hashes first: each task and language passes on its own least ones, so no language's rows meet."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.where("doc_id is not null and lang is not null and length(text) > 0").where(rows).withColumn("h", F.xxhash64("doc_id", "text"))
+    languages = known.agg(F.approx_count_distinct("lang")).first()[0]
+    most = min(most, max(1, most_of_all // max(1, languages)))
+    spread = known.select("lang", "doc_id", "h").withColumn("part", F.pmod("h", F.lit(256)))
+    key = F.xxhash64("h"), "h", "doc_id"
+    share = spread.withColumn("n", F.dense_rank().over(Window.partitionBy("lang", "part").orderBy(*key))).where(F.col("n") <= -(-most // 256) * 2 + 16).distinct()
+    chosen = share.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("n", *key))).where(F.col("k") <= most).select("lang", "doc_id", "h")
+    return known.join(F.broadcast(chosen), ["lang", "doc_id", "h"]).dropDuplicates(["lang", "doc_id", "h"]).select("text", F.col("lang").alias("label"))
 
 
 def fit(docs: DataFrame, rows: str = "true") -> Network | None:
@@ -182,4 +198,4 @@ def languages(docs: DataFrame, held_out: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.n), pa.array(names, pa.string()), pa.array(np.where(good, score, 0.0))], ["doc_id", "lang_pred", "score"])
 
     found = C.text_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", F.expr(held_out).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "lang_pred", "score")
