@@ -12,7 +12,9 @@ copies in the sample count once, else the words of a copied text would look like
 
 Defined cases: a null or empty text matches nothing and has the base score; null labels aren't learned from; a doc_id
 labelled twice counts as toxic if any of its labels says so; without any toxic label in the sample only the fixed
-words are used.
+words are used; a row with a null doc_id is scored, isn't held out and isn't learned from; repeated rows each give a
+row; a very long text is one text like any other; an empty table gives no rows; other columns aren't looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -315,26 +317,26 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: float = 1.0,
 
 
 def score(texts: DataFrame, model: Model) -> DataFrame:
-    """The rows with a column ``score`` more, from 0 to 1; the text is in ``_text``."""
+    """The rows (a column ``text``, and others to carry along) with a column ``score`` more, from 0 to 1."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(sent.value.lexicon)
         for b in batches:
-            logit = _features(m.counts(b.column("_text"))) @ sent.value.weights
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], [*b.schema.names, "_score"])
+            logit = _features(m.counts(b.column("text"))) @ sent.value.weights
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], [*b.schema.names, "score"])
 
-    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField("_score", DoubleType())]))
+    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField("score", DoubleType())]))
 
 
 def scores(docs: DataFrame, labels: DataFrame, held_out: str, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of each document; rows for which ``held_out`` holds aren't learned from."""
     model = fit(docs, labels, f"not ({held_out})")
-    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
-    return score(of, model).select("doc_id", F.expr(held_out).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return score(C.text_of(docs), model).select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, whose score stays under the threshold."""
     model = fit(docs, labels)
-    return score(docs.withColumn("_text", F.col("text").cast("string")), model).where(F.col("_score") < threshold).select(docs.columns)
+    kept = score(C.beside(docs, text=F.col("text").cast("string")), model).where(F.col("score") < threshold)
+    return C.rows_of(kept, docs.columns)

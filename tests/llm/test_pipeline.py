@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -64,7 +65,7 @@ def test_stages_against_brute_force(spark, sf):
     docs = read(spark, sf, "documents")
     rows = {r.doc_id: r for r in docs.collect()}
     texts = {i: r.text for i, r in rows.items()}
-    bad = {r.doc_id for r in toxicity.score(docs.selectExpr("doc_id", "text as _text"), toxicity.fit(docs, read(spark, sf, "labels"))).where("_score >= 0.7").collect()}
+    bad = {r.doc_id for r in toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, read(spark, sf, "labels"))).where("score >= 0.7").collect()}
     assert 0 < len(bad) < len(texts) / 2
     texts = {i: t for i, t in texts.items() if i not in bad}
     keep = near(texts)
@@ -104,3 +105,13 @@ def test_columns_and_odd_rows(spark, odd, sf):
     empty = docs.limit(0)
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, empty, sf).collect() == []
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_columns_of_any_name_pass_through(spark, sf, k):
+    names = ["_text", "_score", "_gone", "_id", "_b", "_hash", "score", "row", "key", "id", "b", "cluster", "n", "label", "part.of", "label2"]
+    rows = [(i, f"text number {i} with a few words of its own {i * 7919}", *[f"{n}-{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = P.STAGES[k][1](spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == rows
