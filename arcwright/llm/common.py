@@ -167,6 +167,21 @@ def rolling(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
         return mix(x)
 
 
+def order_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Order of hashes of two lanes, in which equal ones follow each other.  The second lane is compared only where the
+    first one collides, that is hardly ever."""
+    order = np.argsort(one, kind="stable")
+    a, b = one[order], two[order]
+    return np.lexsort([two, one]) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+
+def new_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """True where an element of two lanes, ordered, differs from the one before."""
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return new
+
+
 def starts_of(groups: np.ndarray) -> np.ndarray:
     """First positions of the runs of equal values in a sorted or grouped array."""
     if not len(groups):
@@ -202,6 +217,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of text that a bucket holds at least, and entries of a packed row from a bucket to a shard.
+BUCKET_BYTES, ENTRIES = 8 << 20, 64
+
+
+def buckets(spark: SparkSession, size: int, entry: int) -> int:
+    """Number of buckets, and of shards that they send to, for so many bytes of text, of which there is an entry to be
+    sent in about every ``entry`` bytes.  Packed rows from all buckets to all shards hold at least ENTRIES entries on the
+    average: buckets grow with the square root of a very large input, and rows never outgrow it."""
+    return max(tasks(spark), -(-size // max(BUCKET_BYTES, int((size * entry * ENTRIES) ** 0.5))))
+
+
 def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -62,30 +62,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
         if b - a > 1:
             order[a:b] = a + np.argsort(both[0][a:b], kind="stable")
     owner = np.repeat(np.arange(n), np.diff(edges))
-    if (_tied(both[0][order], both[1][order]) & (owner[1:] == owner[:-1])).any():
-        order = np.lexsort([both[1], both[0], owner])
     one, two = both[0][order], both[1][order]
-    new = np.ones(len(one), bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (owner[1:] != owner[:-1])
+    if ((one[1:] == one[:-1]) & (two[1:] != two[:-1]) & (owner[1:] == owner[:-1])).any():
+        order = np.lexsort([both[1], both[0], owner])
+        one, two = both[0][order], both[1][order]
+    new = C.new_of(one, two)
+    new[1:] |= owner[1:] != owner[:-1]
     return one[new], two[new], np.concatenate([[0], np.cumsum(new)])[edges]
 
 
-def _tied(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Where a value of the first lane, sorted, goes on with another one of the second."""
-    return (one[1:] == one[:-1]) & (two[1:] != two[:-1])
-
-
 def numbered(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the distinct elements of two lanes, and how often each occurs."""
-    order = np.argsort(one, kind="stable")
-    if _tied(one[order], two[order]).any():
-        order = np.lexsort([two, one])
-    a, b = one[order], two[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    out = np.empty(len(a), np.int64)
+    order = C.order_of(one, two)
+    new = C.new_of(one[order], two[order])
+    out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new) - 1
-    return out, np.diff(np.append(np.flatnonzero(new), len(a)))
+    return out, np.diff(np.append(np.flatnonzero(new), len(order)))
 
 
 def signatures(elements: np.ndarray, edges: np.ndarray, m: int) -> np.ndarray:

@@ -14,8 +14,7 @@ Removed is each byte covered by a string of ``size`` bytes that also starts in a
 
 All occurrences of a string have one anchor, hence one home.  Equal runs are compared by their bytes.  The three steps
 read one and the same exchange of the texts.  A passage in a third of all documents is an entry for each bucket, not for
-each document.  Packed rows hold at least ``ENTRIES`` anchors on the average at any size, as buckets grow with the
-square root of a very large input: so there are never more of them than in proportion to the input.
+each document.  The number of packed rows grows no faster than the input (``common.buckets``).
 
 Defined cases: a null text counts as empty; texts under ``size`` bytes lose nothing; a very long text is one text like
 any other; rows with one doc_id don't remove from each other; a row with a null doc_id neither loses nor removes anything;
@@ -37,8 +36,8 @@ from . import anchors as A
 from . import common as C
 from .suffixes import repeats
 
-#: Bytes of text in a bucket at least and of runs in a suffix array, as planned; anchors of a packed row.
-BUCKET_BYTES, ARRAY_BYTES, ENTRIES = 8 << 20, 4 << 20, 64
+#: Bytes of runs in a suffix array, as planned.
+ARRAY_BYTES = 4 << 20
 #: Buckets with an anchor beyond which its strings go to a home of its own.
 SPREAD = 16
 OWN_HOME = np.uint32(0xFFFFFFFF)
@@ -378,8 +377,7 @@ def _dealt(docs: DataFrame, more: list) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
-    anchor = 14  # bytes from one anchor to the next, about, at the usual size
-    parts = max(C.tasks(spark), -(-size // max(BUCKET_BYTES, int((size * anchor * ENTRIES) ** 0.5))))
+    parts = C.buckets(spark, size, entry=14)  # bytes from one anchor to the next, about, at the usual size
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), *more)
     return own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts).cast("long"))), parts
 
