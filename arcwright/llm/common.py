@@ -182,6 +182,20 @@ def new_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return new
 
 
+LOW48 = U64((1 << 48) - 1)
+
+
+def six(h: np.ndarray) -> bytes:
+    """The low six bytes of each hash, for what a shard of them needn't tell apart for certain."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def of_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
+
+
 def starts_of(groups: np.ndarray) -> np.ndarray:
     """First positions of the runs of equal values in a sorted or grouped array."""
     if not len(groups):
@@ -221,11 +235,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 BUCKET_BYTES, ENTRIES = 8 << 20, 64
 
 
-def buckets(spark: SparkSession, size: int, entry: int) -> int:
+def buckets(spark: SparkSession, size: int, entry: int, least: int = BUCKET_BYTES) -> int:
     """Number of buckets, and of shards that they send to, for so many bytes of text, of which there is an entry to be
     sent in about every ``entry`` bytes.  Packed rows from all buckets to all shards hold at least ENTRIES entries on the
     average: buckets grow with the square root of a very large input, and rows never outgrow it."""
-    return max(tasks(spark), -(-size // max(BUCKET_BYTES, int((size * entry * ENTRIES) ** 0.5))))
+    return max(tasks(spark), -(-size // max(least, int((size * entry * ENTRIES) ** 0.5))))
 
 
 def tasks(spark: SparkSession) -> int:

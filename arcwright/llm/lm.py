@@ -16,7 +16,8 @@
 
 As C is the mean of its level, the estimates of a context add up to 1 on the average over contexts, not in each: a filter
 can't list the bigrams of a context.  False positives of the filter (about 1 in 85 probes) can raise a level; levels are
-never too low.  Words are told apart by 128 bits, mixed one to one from their bytes.
+never too low.  Words are told apart by 128 bits, mixed one to one from their bytes; a shard of the filter tells its
+bigrams apart by 48.
 
 Defined cases: a null text counts as empty, whose only token is the end; a very long text is one text like any other; a
 row without doc_id isn't held out and is learned from; with no training text, N and V are 0 and scores are those of the
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bytes of grams held before they are sent, and of a filter that is broadcast, at most.
-FLUSH_BYTES, FILTER_BYTES = 64 << 20, 256 << 20
+#: Bytes of text in a bucket at least, of grams held before they are sent, and of a filter that is broadcast, at most.
+BUCKET_BYTES, FLUSH_BYTES, FILTER_BYTES = 16 << 20, 64 << 20, 256 << 20
 #: Bits of the filter for each key, and probes for each membership test.
 BITS, PROBES = 10, 4
 #: Weights of the bigram estimate to choose from, and the least c(h) of each magnitude after the first.
@@ -46,13 +47,11 @@ MAGNITUDES = np.array([2, 4, 16, 64, 256, 4096, 65536])
 #: More levels than a 64-bit count has.
 LEVELS = 64
 END = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B], np.uint64)
-#: The shard of a gram is taken from these bits of its hash, and its place in the shard from others.
-SHARD_SHIFT = np.uint64(32)
 NONE = np.zeros(0, np.uint64)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> SHARD_SHIFT) % np.uint64(shards)).astype(np.int64)
+    return (C.mix(h) % np.uint64(shards)).astype(np.int64)
 
 
 def tokens(s: C.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +92,22 @@ def _packed(h: np.ndarray, n: np.ndarray, shards: int) -> Iterator[tuple[int, by
     h, n, shard = h[:, order], n[order], shard[order]
     start = C.starts_of(shard)
     for a, z in zip(start.tolist(), [*start[1:].tolist(), len(n)], strict=True) if len(n) else ():
-        yield int(shard[a]), h[:, a:z].T.tobytes(), n[a:z][n[a:z] > 1].astype(np.int64).tobytes()
+        yield int(shard[a]), _raw(h[:, a:z]), n[a:z][n[a:z] > 1].astype(np.int64).tobytes()
+
+
+def _raw(h: np.ndarray) -> bytes:
+    """Words (two lanes) in full, bigrams by six bytes."""
+    return h.T.tobytes() if len(h) == 2 else C.six(h[0])
+
+
+def _of_raw(lanes: int, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2).T if lanes == 2 else C.of_six(raw)[None]
 
 
 def _unpacked(lanes: int, h: list[bytes], n: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = [np.zeros((lanes, 0), np.uint64)], [np.zeros(0, np.int64)]
     for a, b in zip(h, n, strict=True):
-        hashes.append(np.frombuffer(a, np.uint64).reshape(-1, lanes).T)
+        hashes.append(_of_raw(lanes, a))
         own = np.ones(hashes[-1].shape[1], np.int64)
         more = np.frombuffer(b, np.int64)
         own[: len(more)] = more
@@ -245,7 +253,7 @@ def _ask(shards: int, asks_levels: bool):
             order, shard = _by_shard(h, shards)
             start = C.starts_of(shard)
             for a, z in zip(start.tolist(), [*start[1:].tolist(), len(shard)] if len(start) else [], strict=True):
-                asked.setdefault(int(shard[a]), [b"", b""])[k] = h[:, order[a:z]].T.tobytes()
+                asked.setdefault(int(shard[a]), [b"", b""])[k] = _raw(h[:, order[a:z]])
         b = table.column("b")[0].as_py()
         return pa.table([pa.array(list(asked), pa.int64()), pa.array([b] * len(asked), pa.int64()), *(pa.array([x[k] for x in asked.values()], pa.binary()) for k in (0, 1))], names=["shard", "b", "words", "grams"])
 
@@ -268,12 +276,12 @@ def _looked_up(known: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _tell(asked: pa.Table, counted: pa.Table) -> pa.Table:
     known, n, kept = np.zeros((2, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
     if counted.num_rows:
-        known, n = np.ascontiguousarray(np.frombuffer(counted.column("words")[0].as_py(), np.uint64).reshape(-1, 2).T), np.frombuffer(counted.column("n")[0].as_py(), np.int64)
+        known, n = np.ascontiguousarray(_of_raw(2, counted.column("words")[0].as_py())), np.frombuffer(counted.column("n")[0].as_py(), np.int64)
         kept = np.frombuffer(counted.column("filter")[0].as_py(), np.uint8)
     out, level = [], []
     for words, grams in zip(asked.column("words").to_pylist(), asked.column("grams").to_pylist(), strict=True):
-        out.append(_looked_up(known, n, np.frombuffer(words, np.uint64).reshape(-1, 2).T).tobytes())
-        level.append(probe(np.frombuffer(grams, np.uint64), kept, 0, 8 * len(kept)).astype(np.uint8).tobytes())
+        out.append(_looked_up(known, n, _of_raw(2, words)).tobytes())
+        level.append(probe(C.of_six(grams), kept, 0, 8 * len(kept)).astype(np.uint8).tobytes())
     return pa.table([asked.column("b"), asked.column("shard"), pa.array(out, pa.binary()), pa.array(level, pa.binary())], names=["b", "shard", "n", "level"])
 
 
@@ -296,7 +304,7 @@ def _score(shards: int, total: int, distinct: int, mean: np.ndarray, filter_: Fi
         pairs, pair_of = _numbered(np.concatenate([NONE, *(bigrams(t) for _, t, _ in own_tokens)])[None])
         level_of = np.empty(pairs.shape[1], np.int64)
         order_, shard = _by_shard(pairs, shards)
-        level_of[order_] = filter_.levels(pairs[0, order_], shard) if filter_ else answer("level", np.uint8)
+        level_of[order_] = filter_.levels(pairs[0, order_] & C.LOW48, shard) if filter_ else answer("level", np.uint8)
         trains = table.column("trains").to_numpy(zero_copy_only=False)
         n_tokens, n_known, base, fixed, sums, kept_out = [], [], [], [], [], []
         end_count, done = of_word[word_of[0]], 0
@@ -362,7 +370,7 @@ def scores(docs: DataFrame, held_out: str, most: int = FILTER_BYTES, bits: int =
     spark = docs.sparkSession
     texts = C.text_of(docs).withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
     size = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts = C.buckets(spark, size, entry=14)
+    parts = C.buckets(spark, size, entry=14, least=BUCKET_BYTES)
     counted = model(texts.where("not held_out"), parts, bits)
     by = [F.coalesce(F.sum(F.col(c)[q]), F.lit(0)).alias(f"{c}{q}") for c in ("level_n", "level_sum") for q in range(LEVELS)]
     total, distinct, bytes_, *by_level = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "size")), *by).first()

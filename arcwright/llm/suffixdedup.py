@@ -48,17 +48,6 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (C.mix(h) % np.uint64(shards)).astype(np.int64)
 
 
-def _six(h: np.ndarray) -> bytes:
-    """The low six bytes of each hash.  That two anchors look alike by them costs a comparison, nothing else."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _of_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _texts(table: pa.Table) -> Iterator[tuple[C.Slice, np.ndarray, np.ndarray]]:
     """Slices of a bucket's texts with their doc_ids and row numbers.  Rows are numbered by doc_id, then text, so that
     the numbers are the same whenever the bucket is read."""
@@ -113,14 +102,14 @@ def _send_anchors(size: int, shards: int):
         h, d = h[order], d[order]
         many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(h) else np.zeros(0, bool)
         h, b = h[first], table.column("b")[0].as_py()
-        return _table(_packed(_shard(h, shards), lambda o: (b, _six(h[o]), np.packbits(many[o]).tobytes())), ["shard", "b"], ["anchors", "many"])
+        return _table(_packed(_shard(h, shards), lambda o: (b, C.six(h[o]), np.packbits(many[o]).tobytes())), ["shard", "b"], ["anchors", "many"])
 
     return run
 
 
 def _shared_anchors(shards: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [_of_six(x) for x in table.column("anchors").to_pylist()]
+        parts = [C.ofC.six(x) for x in table.column("anchors").to_pylist()]
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(table.column("many").to_pylist(), parts, strict=True)])
         h, b = np.concatenate(parts), table.column("b").to_numpy()
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -133,7 +122,7 @@ def _shared_anchors(shards: int):
         shared = (n > 1) | (np.maximum.reduceat(many[order], first) > 0)
         keep = order[np.repeat(shared, n)]
         home = np.repeat(home[shared], n[shared])
-        return _table(_packed(b[row[keep]], lambda o: (_six(h[keep[o]]), home[o].tobytes())), ["b"], ["anchors", "home"])
+        return _table(_packed(b[row[keep]], lambda o: (C.six(h[keep[o]]), home[o].tobytes())), ["b"], ["anchors", "home"])
 
     return run
 
@@ -206,7 +195,7 @@ def _send_runs(size: int, shards: int):
         if not told.num_rows:
             return _table([], ["home", "b"], RUNS)
         b = told.column("b")[0].as_py()
-        known, home_of = np.concatenate([_of_six(x) for x in told.column("anchors").to_pylist()]), _joined(told.column("home"), np.uint32)
+        known, home_of = np.concatenate([C.ofC.six(x) for x in told.column("anchors").to_pylist()]), _joined(told.column("home"), np.uint32)
         order = np.argsort(known)
         known, home_of = known[order], home_of[order]
         parts = []
