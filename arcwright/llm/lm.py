@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Bytes of text in a bucket at least, of grams held before they are sent, and of a filter that is broadcast, at most.
-BUCKET_BYTES, FLUSH_BYTES, FILTER_BYTES = 16 << 20, 64 << 20, 256 << 20
+BUCKET_BYTES, FLUSH_BYTES, FILTER_BYTES = 8 << 20, 64 << 20, 256 << 20
 #: Bits of the filter for each key, and probes for each membership test.
 BITS, PROBES = 10, 4
 #: Weights of the bigram estimate to choose from, and the least c(h) of each magnitude after the first.

@@ -109,7 +109,7 @@ def _send_anchors(size: int, shards: int):
 
 def _shared_anchors(shards: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [C.ofC.six(x) for x in table.column("anchors").to_pylist()]
+        parts = [C.of_six(x) for x in table.column("anchors").to_pylist()]
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(table.column("many").to_pylist(), parts, strict=True)])
         h, b = np.concatenate(parts), table.column("b").to_numpy()
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -195,7 +195,7 @@ def _send_runs(size: int, shards: int):
         if not told.num_rows:
             return _table([], ["home", "b"], RUNS)
         b = told.column("b")[0].as_py()
-        known, home_of = np.concatenate([C.ofC.six(x) for x in told.column("anchors").to_pylist()]), _joined(told.column("home"), np.uint32)
+        known, home_of = np.concatenate([C.of_six(x) for x in told.column("anchors").to_pylist()]), _joined(told.column("home"), np.uint32)
         order = np.argsort(known)
         known, home_of = known[order], home_of[order]
         parts = []
