@@ -7,6 +7,7 @@ Defined cases: a curve without visited points is an error; rows of a stream with
 from __future__ import annotations
 
 import pickle
+from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,23 +29,42 @@ ROWS = 100_000
 TASKS = 4
 
 
+class ExternalDecoder(ABC):
+    """gamma to scaled positions without training: made from an encoder and scaled points, and again when these change."""
+
+    @abstractmethod
+    def update(self, encoder: OrderingNet, ws: np.ndarray) -> ExternalDecoder:
+        """The decoder for this encoder and these points (positions, then velocities)."""
+
+    @abstractmethod
+    def __call__(self, gamma: np.ndarray) -> np.ndarray: ...
+
+
 @dataclass
-class RunningMeanDecoder:
-    """gamma to the mean position of the members around it; beyond the members' gammas it is an error."""
+class RunningMeanDecoder(ExternalDecoder):
+    """gamma to the mean position of the members around it, 0 where there are none; beyond the gammas of all points that it
+    was made from it is an error."""
 
     window_size: float = 0.05
     member_threshold: float = 0.5
     gamma: np.ndarray = field(default_factory=lambda: np.zeros(0))
     q: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    bounds: tuple[float, float] | None = None
+
+    @classmethod
+    def make(cls, encoder: OrderingNet, ws: np.ndarray, window_size: float = 0.05, member_threshold: float = 0.5) -> RunningMeanDecoder:
+        return cls(window_size, member_threshold).update(encoder, ws)
 
     def update(self, encoder: OrderingNet, ws: np.ndarray) -> RunningMeanDecoder:
         gamma, p = encoder(ws)
         use = p >= self.member_threshold
-        return RunningMeanDecoder(self.window_size, self.member_threshold, gamma[use], ws[use, : ws.shape[1] // 2])
+        return RunningMeanDecoder(self.window_size, self.member_threshold, gamma[use], ws[use, : ws.shape[1] // 2], (float(gamma.min()), float(gamma.max())) if len(gamma) else None)
 
     def __call__(self, gamma: np.ndarray) -> np.ndarray:
-        if len(gamma) and (not len(self.gamma) or gamma.min() < self.gamma.min() or gamma.max() > self.gamma.max()):
-            raise ValueError("gamma is outside the range of the members")
+        if self.bounds is None:
+            raise ValueError("the decoder has no points")
+        if len(gamma) and (gamma.min() < self.bounds[0] or gamma.max() > self.bounds[1]):
+            raise ValueError("gamma is outside the range of the points")
         return window_means(gamma, self.gamma, self.q, self.window_size)
 
 
@@ -70,7 +90,7 @@ class PathAutoencoder:
 class EncoderExternalDecoder:
     """A trained encoder with a decoder that isn't trained."""
 
-    decoder: RunningMeanDecoder = field(default_factory=RunningMeanDecoder)
+    decoder: ExternalDecoder = field(default_factory=RunningMeanDecoder)
     gamma_range: tuple[float, float] = (-1.0, 1.0)
     encoder_size: tuple[int, int] = (100, 2)
     seed: int = 0
@@ -106,6 +126,23 @@ def train(df: DataFrame, result: DataFrame, spec: Spec, model: PathAutoencoder |
     return rows.repartition(parts, spec.stream).groupBy(spec.stream).applyInPandas(run, f"`{spec.stream}` {kind}, model binary, losses array<double>")
 
 
+def external_models(df: DataFrame, encoders: DataFrame, spec: Spec, decoder: ExternalDecoder | None = None) -> DataFrame:
+    """stream, model: the encoders of models (stream, model) with a decoder made from the points of df, which one task holds
+    for each stream.  Rows of a stream without a model make none."""
+    decoder = decoder or RunningMeanDecoder()
+
+    def run(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if not len(models) or not len(rows):
+            return pd.DataFrame({spec.stream: pd.Series([], dtype=object), "model": pd.Series([], dtype=object)})
+        rows, q, v = checked(rows, spec)
+        made = pickle.loads(models["model"].iloc[0])
+        made |= {"track": decoder.update(made["encoder"], (np.hstack([q, v]) - made["mean"]) / made["std"]), "width": None}
+        return pd.DataFrame({spec.stream: [rows[spec.stream].iloc[0]], "model": [pickle.dumps(made)]})
+
+    kind = df.schema[spec.stream].dataType.simpleString()
+    return spec.typed(df).groupBy(spec.stream).cogroup(encoders.select(spec.stream, "model").groupBy(spec.stream)).applyInPandas(run, f"`{spec.stream}` {kind}, model binary")
+
+
 def _applied(df: DataFrame, models: DataFrame, spec: Spec, run, schema: str) -> DataFrame:
     """run(model, rows) over groups of about ROWS rows of a stream; each group has a copy of the model."""
     sizes = df.groupBy(spec.stream).agg(F.ceil(F.count("*") / F.lit(ROWS)).cast("long").alias("_n"))
@@ -155,9 +192,10 @@ def posterior(df: DataFrame, models: DataFrame, spec: Spec, background_density:
     return rows.select(spec.stream, spec.idx, "gamma", "prob", membership_responsibility(F.col("prob"), F.col("r2"), F.col("sigma"), bg, len(spec.q)).alias("posterior"))
 
 
-def decode(gammas: DataFrame, models: DataFrame, spec: Spec, gamma_range: tuple[float, float] | None = None) -> DataFrame:
-    """gammas (stream, gamma) with positions; with a range, a gamma outside it is an error."""
-    kind = gammas.schema[spec.stream].dataType.simpleString()
+def decode(gammas: DataFrame, models: DataFrame, spec: Spec, gamma_range: tuple[float, float] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """gammas (stream, columns to keep, gamma) with positions; with a range, a gamma outside it is an error."""
+    keep = keep or []
+    kind = lambda c: f"`{c}` {gammas.schema[c].dataType.simpleString()}, "
 
     def run(m, rows: pd.DataFrame) -> pd.DataFrame:
         g = rows["gamma"].to_numpy(float)
@@ -165,9 +203,9 @@ def decode(gammas: DataFrame, models: DataFrame, spec: Spec, gamma_range: tuple[
             raise ValueError(f"gamma must be in {gamma_range}")
         n = len(spec.q)
         q = m["track"](g) * m["std"][:n] + m["mean"][:n] if m is not None and len(g) else np.zeros((0, n))
-        return pd.DataFrame({spec.stream: rows[spec.stream], "gamma": g, **{c: q[:, i] for i, c in enumerate(spec.q)}})
+        return pd.DataFrame({spec.stream: rows[spec.stream], **{c: rows[c] for c in keep}, "gamma": g, **{c: q[:, i] for i, c in enumerate(spec.q)}})
 
-    return _applied(gammas.select(spec.stream, F.col("gamma").cast("double")), models, spec, run, f"`{spec.stream}` {kind}, gamma double, " + ", ".join(f"`{c}` double" for c in spec.q))
+    return _applied(gammas.select(spec.stream, *keep, F.col("gamma").cast("double")), models, spec, run, "".join(map(kind, [spec.stream, *keep])) + "gamma double, " + ", ".join(f"`{c}` double" for c in spec.q))
 
 
 def fill_gaps(encoded: DataFrame, spec: Spec, prob_threshold: float = 0.5) -> DataFrame:

@@ -16,15 +16,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from arcwright.functions.metrics import lengths
+from arcwright.functions.units import Quantity
 from arcwright.spec import Spec
+from arcwright.tables import stored
 
 from .neighbors import edges
+from .results import Ordering
 from .walk import Orderer, checked, ordered_schema, placed
 
+#: Distances computed at once in a task.
+BLOCK = 1 << 20
 #: A link is cut at twice the median at least; pieces under a hundredth of the points are small.
 MIN_RATIO, SMALL_SHARE = 2.0, 0.01
+#: Curves in pieces that a warning names.
+TOLD = 20
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,11 +109,12 @@ def _from(source: int, n: int, near: list[list[tuple[int, float]]]) -> tuple[np.
 def backbone(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, nodes: np.ndarray, orient: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order, and the rows of the longest path of the tree: each point counts at its nearest vertex of the path."""
     near: list[list[tuple[int, float]]] = [[] for _ in range(len(q))]
-    for i, j, x in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-        near[i].append((j, x))
-        near[j].append((i, x))
     inside = np.full(len(q), False)
     inside[nodes] = True
+    for i, j, x in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+        if inside[i] and inside[j]:
+            near[i].append((j, x))
+            near[j].append((i, x))
     far = lambda d: int(nodes[np.argmax(np.where(np.isfinite(d[nodes]), d[nodes], -1))])
     one = far(_from(int(nodes[0]), len(q), near)[0])
     d, before = _from(one, len(q), near)
@@ -116,15 +125,16 @@ def backbone(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.n
     if orient and len(path) > 1 and (np.diff(q[path], axis=0) * (v[path[1:]] + v[path[:-1]]) / 2).sum() < 0:
         path = path[::-1]
     s = np.concatenate([[0.0], np.cumsum(lengths(np.diff(q[path], axis=0)))]) if len(path) > 1 else np.zeros(1)
-    at = np.array([s[np.argmin(lengths(q[path] - q[i]))] for i in nodes.tolist()])
+    closest = [((q[part, None] - q[path]) ** 2).sum(axis=2).argmin(axis=1) for part in np.array_split(nodes, len(nodes) * len(path) // BLOCK + 1)]
+    at = s[np.concatenate(closest)]
     return nodes[np.argsort(at, kind="stable")], path
 
 
 @dataclass(frozen=True)
 class MSTOrderer(Orderer):
     k: int = 10
-    jump_cap: float = 3.0
-    velocity_weight: float = 0.0
+    jump_cap: float | Quantity = 3.0
+    velocity_weight: float | Quantity = 0.0
     sever_cos_threshold: float | None = None
     orient_by_velocity: bool = False
     on_disconnected: str = "raise"
@@ -134,7 +144,8 @@ class MSTOrderer(Orderer):
     gamma_range = (-1.0, 1.0)
 
     def __post_init__(self) -> None:
-        if self.k < 1 or not self.jump_cap > 0 or self.velocity_weight < 0 or self.edge_clip_max_iters < 1:
+        number = lambda x: x.value if isinstance(x, Quantity) else x
+        if self.k < 1 or not number(self.jump_cap) > 0 or number(self.velocity_weight) < 0 or self.edge_clip_max_iters < 1:
             raise ValueError("k, jump_cap and edge_clip_max_iters must be positive, velocity_weight not negative")
         if self.sever_cos_threshold is not None and not -1 <= self.sever_cos_threshold <= 1:
             raise ValueError("sever_cos_threshold must be in [-1, 1]")
@@ -143,8 +154,11 @@ class MSTOrderer(Orderer):
         if self.edge_clip_sigma is not None and not self.edge_clip_sigma > 0:
             raise ValueError("edge_clip_sigma must be positive")
 
-    def _per_curve(self, df: DataFrame, spec: Spec, finish, schema: str) -> DataFrame:
-        links = edges(df, spec, self.k, self.velocity_weight, self.jump_cap, self.sever_cos_threshold)
+    def links(self, df: DataFrame, spec: Spec) -> DataFrame:
+        return edges(df, spec, self.k, float(self.velocity_weight), float(self.jump_cap), self.sever_cos_threshold)
+
+    def _per_curve(self, df: DataFrame, spec: Spec, finish, schema: str, links: DataFrame | None = None) -> DataFrame:
+        links = self.links(df, spec) if links is None else links
 
         def run(points: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
             pdf, q, v = checked(points, spec)
@@ -167,22 +181,41 @@ class MSTOrderer(Orderer):
             says = f"the links of {n} points fall into {len(kinds)} components; raise k or jump_cap"
             if self.on_disconnected == "raise":
                 raise ValueError(says)
-            if self.on_disconnected == "warn":
-                warnings.warn(says, stacklevel=2)
             nodes = np.flatnonzero(label == kinds[np.argmax(sizes)])
         if self.edge_clip_sigma is not None:
             left = clip(q, a, b, nodes, self.edge_clip_sigma, self.edge_clip_max_iters)
             nodes = left if len(left) else nodes
         return backbone(q, v, a, b, w, nodes, self.orient_by_velocity)
 
+    def settle(self, df: DataFrame, spec: Spec) -> DataFrame:
+        """stream, idx, ord, vertex of all rows: the order, and the place on the backbone of its vertices, of one run.
+
+        With on_disconnected "warn", links are made at once, and curves that fall into pieces are told by a warning."""
+        settled, links = self._settled, None
+        if self.on_disconnected == "warn":
+            links = stored(self.links(df, spec), "mst-links")
+            pieces = self.components(df, spec, links).groupBy(spec.stream).agg(F.countDistinct("component").alias("n")).where("n > 1")
+            if some := pieces.orderBy(F.desc("n")).limit(TOLD).collect():
+                says = ", ".join(f"{r[0]} into {r[1]}" for r in some)
+                warnings.warn(f"links of curves fall into components ({says}); raise k or jump_cap", stacklevel=2)
+
+        def finish(pdf, q, v, a, b, w):
+            order, path = settled(q, v, a, b, w)
+            return placed(pdf, spec, order.tolist()).assign(vertex=placed(pdf, spec, path.tolist())["ord"])
+
+        return self._per_curve(df, spec, finish, ordered_schema(df, spec) + ", vertex long", links)
+
     def order(self, df: DataFrame, spec: Spec) -> DataFrame:
-        settled = self._settled
-        return self._per_curve(df, spec, lambda pdf, q, v, a, b, w: placed(pdf, spec, settled(q, v, a, b, w)[0].tolist()), ordered_schema(df, spec))
+        return self.settle(df, spec).drop("vertex")
 
     def backbone(self, df: DataFrame, spec: Spec) -> DataFrame:
         """stream, idx, ord of the vertices of each curve's backbone."""
-        settled = self._settled
-        return self._per_curve(df, spec, lambda pdf, q, v, a, b, w: placed(pdf, spec, settled(q, v, a, b, w)[1].tolist()), ordered_schema(df, spec)).where("ord is not null")
+        return self.settle(df, spec).where("vertex is not null").select(spec.stream, spec.idx, F.col("vertex").alias("ord"))
+
+    def result(self, df: DataFrame, spec: Spec) -> Ordering:
+        both = stored(self.settle(df, spec), "mst-result")
+        vertices = both.where("vertex is not null").select(spec.stream, spec.idx, F.col("vertex").alias("ord"))
+        return Ordering(df, both.drop("vertex"), spec, self.gamma_range, vertices)
 
     def tree(self, df: DataFrame, spec: Spec) -> DataFrame:
         """stream, a, b, weight of the links of each curve's minimum spanning forest."""
@@ -194,11 +227,11 @@ class MSTOrderer(Orderer):
         kind = df.schema[spec.stream].dataType.simpleString()
         return self._per_curve(df, spec, finish, f"`{spec.stream}` {kind}, a long, b long, weight double")
 
-    def components(self, df: DataFrame, spec: Spec) -> DataFrame:
+    def components(self, df: DataFrame, spec: Spec, links: DataFrame | None = None) -> DataFrame:
         """stream, idx, component: the least idx that links reach."""
 
         def finish(pdf, q, v, a, b, w):
             return pd.DataFrame({spec.stream: pdf[spec.stream], spec.idx: pdf[spec.idx], "component": pdf[spec.idx].to_numpy()[components(len(q), a, b)]})
 
         kind = df.schema[spec.stream].dataType.simpleString()
-        return self._per_curve(df, spec, finish, f"`{spec.stream}` {kind}, `{spec.idx}` long, component long")
+        return self._per_curve(df, spec, finish, f"`{spec.stream}` {kind}, `{spec.idx}` long, component long", links)

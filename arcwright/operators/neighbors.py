@@ -2,48 +2,96 @@
 
 Round j deals points to cells of width w * 2**j, and queries to their own cell and those around it: all points within
 one width of a query are then in one of its cells.  A query whose k-th distance there is at most the width is done; the
-others go to the next round, where cells are twice as wide, until one cell covers the curve.  The first width is such that
-cells hold a few points on average; a curve needs no task that holds all of it, unless most of it lies in one cell.
+others go to the next round, where cells are twice as wide.  The first width is such that cells hold a few points on
+average between the curve's quantiles, so that a few far points don't widen them.  Only cells that are asked get points;
+the points of a dense cell are dealt to several tasks.  Once no more than FEW queries are left (in a small table: at
+once) they are broadcast, compared with all points in blocks, and done: far points cost no round for each doubling.
 
 Defined cases: a curve of n points gives each n - 1 neighbours at most; equal distances are ordered by idx; coinciding
-points are neighbours at distance 0; rows with null or non-finite positions are left out.
+points are neighbours at distance 0; rows with null or non-finite positions are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcwright.functions import phasespace as P
-from arcwright.functions.metrics import lengths
 from arcwright.spec import Spec
 from arcwright.tables import stored
 
 #: Distances computed at once in a task.
 BLOCK = 1 << 20
+#: Queries that are broadcast at most; points of a cell that one task holds, as planned; cells that are dealt, at most.
+FEW, DENSE, HEAVY = 4096, 4096, 1000
 
 
-def _nearest(k: int, dims: int):
-    names = [f"_q{i}" for i in range(dims)]
+def nearest(queries: np.ndarray, rows: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query (position, idx) the k nearest points but itself, the lesser idx among equals: number of the query,
+    idx of the point, distance.  Points are in the order of ids."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, BLOCK // max(1, len(ids)))
+    for a in range(0, len(queries) if len(ids) else 0, step):
+        q = queries[a : a + step]
+        d = np.sqrt(sum((points[:, c] - q[:, c : c + 1]) ** 2 for c in range(points.shape[1])))
+        at = np.minimum(np.searchsorted(ids, rows[a : a + step]), len(ids) - 1)
+        own = np.flatnonzero(ids[at] == rows[a : a + step])
+        d[own, at[own]] = np.inf
+        if len(ids) > k:
+            last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            less, tie = d < last, d == last
+            chosen = less | (tie & (np.cumsum(tie, axis=1) <= k - less.sum(axis=1, keepdims=True)))
+        else:
+            chosen = np.ones(d.shape, bool)
+        i, j = np.nonzero(chosen & np.isfinite(d))
+        found.append((a + i, ids[j], d[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _table(key, queries: pd.DataFrame, points: pd.DataFrame, names: list[str], k: int) -> pd.DataFrame:
+    points = points.sort_values("_i", kind="stable")
+    i, n, d = nearest(queries[names].to_numpy(float), queries["_i"].to_numpy(), points[names].to_numpy(float), points["_i"].to_numpy(), k)
+    return pd.DataFrame({"_s": pd.Series([key] * len(i), dtype=object), "_i": queries["_i"].to_numpy()[i], "_n": n, "_d": d})
+
+
+def _in_cells(left: DataFrame, points: DataFrame, names: list[str], width, k: int, schema: str) -> DataFrame:
+    """Neighbours of the queries left among the points of their cells."""
+    cells = [F.floor(F.col(n) / width) for n in names]
+    asked = left.select("_s", "_i", *names, "_w")
+    for i, c in enumerate(cells):
+        asked = asked.withColumn(f"_c{i}", F.explode(F.sequence(c - 1, c + 1)))
+    asked = asked.withColumn("_c", F.concat_ws(",", *(F.col(f"_c{i}").cast("string") for i in range(len(names))))).select("_s", "_i", *names, "_c")
+    held = points.withColumn("_c", F.concat_ws(",", *(c.cast("string") for c in cells))).select("_s", "_i", *names, "_c")
+    named = asked.select(F.col("_s").alias("_s1"), F.col("_c").alias("_c1")).distinct()
+    cell = F.col("_s").eqNullSafe(F.col("_s1")) & (F.col("_c") == F.col("_c1"))
+    held = held.join(named, cell, "left_semi")
+    sizes = held.groupBy("_s", "_c").agg(F.count("*").alias("_m")).where(F.col("_m") > DENSE).orderBy(F.desc("_m")).limit(HEAVY)
+    dense = F.broadcast(sizes.select(F.col("_s").alias("_s1"), F.col("_c").alias("_c1"), F.ceil(F.col("_m") / F.lit(DENSE)).cast("int").alias("_parts")))
+    part = F.coalesce("_parts", F.lit(1))
+    held = held.join(dense, cell, "left").select("_s", "_i", *names, "_c", F.pmod(F.xxhash64("_i"), part).cast("int").alias("_p"))
+    asked = asked.join(dense, cell, "left").select("_s", "_i", *names, "_c", F.explode(F.sequence(F.lit(0), part - 1)).alias("_p"))
+    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))  # columns of its own: both sides come from one table
+    run = lambda q, p: _table(q["_s"].iloc[0] if len(q) else None, q, p, names, k)
+    return asked.groupBy("_s", "_c", "_p").cogroup(held.groupBy("_s", "_c", "_p")).applyInPandas(run, schema)
+
+
+def _against_all(left: DataFrame, points: DataFrame, names: list[str], k: int, schema: str) -> DataFrame:
+    """Neighbours of at most FEW queries among all points: each task finds the nearest of its own."""
+    rows = left.select("_s", "_i", *names).toPandas()
+    sent = left.sparkSession.sparkContext.broadcast([(key, own.sort_values("_i")) for key, own in rows.groupby("_s", dropna=False, sort=False)])
 
-    def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        points = points.sort_values("_i", kind="stable")
-        at, ids = points[names].to_numpy(float), points["_i"].to_numpy()
-        for a in range(0, len(queries) if len(ids) else 0, max(1, BLOCK // max(1, len(ids)))):
-            part = queries.iloc[a : a + max(1, BLOCK // len(ids))]
-            for key, row, q in zip(part["_s"], part["_i"].to_numpy(), part[names].to_numpy(float), strict=True):
-                d = lengths(at - q)
-                d[ids == row] = np.inf
-                best = np.argsort(d, kind="stable")[:k]
-                best = best[np.isfinite(d[best])]
-                out += [(key, row, int(ids[b]), float(d[b])) for b in best]
-        frame = pd.DataFrame(out, columns=["_s", "_i", "_n", "_d"])
-        return frame.astype({"_i": "int64", "_n": "int64", "_d": "float64"})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, queries in sent.value:
+                own = batch[batch["_s"].isna() if pd.isna(key) else batch["_s"] == key]
+                if len(own):
+                    yield _table(None if pd.isna(key) else key, queries, own, names, k)
 
-    return run
+    return points.select("_s", "_i", *names).mapInPandas(run, schema)
 
 
 def knn(df: DataFrame, spec: Spec, k: int) -> DataFrame:
@@ -52,39 +100,38 @@ def knn(df: DataFrame, spec: Spec, k: int) -> DataFrame:
         raise ValueError("k must be positive")
     dims = len(spec.q)
     names = [f"_q{i}" for i in range(dims)]
-    finite = [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")) for n in names]
     points = df.select(F.col(spec.stream).alias("_s"), F.col(spec.idx).cast("long").alias("_i"), *(F.col(c).cast("double").alias(n) for c, n in zip(spec.q, names, strict=True)))
-    for f in finite:
-        points = points.where(f)
-    extent = F.greatest(*(F.max(n) - F.min(n) for n in names)) if dims > 1 else F.max(names[0]) - F.min(names[0])
-    curves = points.groupBy("_s").agg(F.count("*").alias("_m"), extent.alias("_e"))
-    width = F.when(F.col("_e") > 0, F.col("_e") / F.pow(F.greatest(F.col("_m") / F.lit(k + 1.0), F.lit(1.0)), F.lit(1.0 / dims))).otherwise(F.lit(1.0))
-    curves = curves.select("_s", F.least("_m", F.lit(k + 1)).alias("_want"), F.col("_e"), width.alias("_w"))
-    points = stored(points.join(curves, points["_s"].eqNullSafe(curves["_s"])).drop(curves["_s"]), "knn-points")
+    for n in names:
+        points = points.where(F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")))
+    points = stored(points, "knn-points")
     schema = f"_s {points.schema['_s'].dataType.simpleString()}, _i long, _n long, _d double"
-    left, done, scale = points, None, 1.0
-    while left.limit(1).count():
+    rank = F.row_number().over(Window.partitionBy("_s", "_i").orderBy("_d", "_n"))
+    best = lambda found: found.withColumn("_r", rank).where(F.col("_r") <= k)
+    left, done, scale = points, [], 1.0
+    while n_left := left.limit(FEW + 1).count():
+        if n_left <= FEW:
+            done.append(best(_against_all(left, points, names, k, schema)))
+            break
+        if scale == 1.0:
+            most = lambda parts: F.greatest(*parts) if dims > 1 else parts[0]
+            curves = points.groupBy("_s").agg(F.count("*").alias("_m"), most([F.max(n) - F.min(n) for n in names]).alias("_e"), most([F.expr(f"percentile_approx({n}, 0.95, 1000) - percentile_approx({n}, 0.05, 1000)") for n in names]).alias("_mid"))
+            extent = F.when(F.col("_mid") > 0, F.col("_mid")).otherwise(F.col("_e"))
+            width = F.when(extent > 0, extent / F.pow(F.greatest(F.col("_m") / F.lit(k + 1.0), F.lit(1.0)), F.lit(1.0 / dims))).otherwise(F.lit(1.0))
+            curves = curves.select(F.col("_s").alias("_s1"), F.least("_m", F.lit(k + 1)).alias("_want"), "_e", width.alias("_w"))
+            left = points = stored(points.join(curves, points["_s"].eqNullSafe(F.col("_s1"))).drop("_s1"), "knn-scaled")
         w = F.col("_w") * F.lit(scale)
-        cells = [F.floor(F.col(n) / w) for n in names]
-        held = points.withColumn("_c", F.concat_ws(",", *(c.cast("string") for c in cells)))
-        asked = left
-        for i, c in enumerate(cells):
-            asked = asked.withColumn(f"_c{i}", F.explode(F.sequence(c - 1, c + 1)))
-        asked = asked.withColumn("_c", F.concat_ws(",", *(F.col(f"_c{i}").cast("string") for i in range(dims))))
-        found = asked.select("_s", "_i", *names, "_c").groupBy("_s", "_c").cogroup(held.select("_s", "_i", *names, "_c").groupBy("_s", "_c")).applyInPandas(_nearest(k, dims), schema)
-        rank = F.row_number().over(Window.partitionBy("_s", "_i").orderBy("_d", "_n"))
-        best = stored(found.withColumn("_r", rank).where(F.col("_r") <= k), "knn-found")
-        last = best.groupBy("_s", "_i").agg(F.count("*").alias("_k"), F.max("_d").alias("_far"))
+        found = stored(best(_in_cells(left, points, names, w, k, schema)), "knn-found")
+        last = found.groupBy("_s", "_i").agg(F.count("*").alias("_k"), F.max("_d").alias("_far"))
         state = left.join(last, left["_s"].eqNullSafe(last["_s"]) & (left["_i"] == last["_i"]), "left").select(left["*"], F.coalesce("_k", F.lit(0)).alias("_k"), "_far")
         sure = (F.col("_e") <= w) | ((F.col("_k") >= F.col("_want") - 1) & (F.coalesce("_far", F.lit(0.0)) <= w) & (F.col("_want") > k))
         state = stored(state.withColumn("_sure", sure), "knn-state")
         ready = state.where("_sure").select(F.col("_s").alias("_s1"), F.col("_i").alias("_i1"))
-        kept = best.join(ready, best["_s"].eqNullSafe(F.col("_s1")) & (best["_i"] == F.col("_i1")), "left_semi")
-        done = kept if done is None else done.unionByName(kept)
+        done.append(found.join(ready, found["_s"].eqNullSafe(F.col("_s1")) & (found["_i"] == F.col("_i1")), "left_semi"))
         left, scale = state.where("not _sure").select(points.columns), scale * 2
-    if done is None:
-        done = points.sparkSession.createDataFrame([], schema + ", _r int")
-    return done.select(F.col("_s").alias(spec.stream), F.col("_i").alias(spec.idx), F.col("_n").alias("neighbor"), F.col("_d").alias("distance"), F.col("_r").alias("rank"))
+    out = done[0] if done else points.sparkSession.createDataFrame([], schema + ", _r int")
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("_s").alias(spec.stream), F.col("_i").alias(spec.idx), F.col("_n").alias("neighbor"), F.col("_d").alias("distance"), F.col("_r").alias("rank"))
 
 
 def edges(df: DataFrame, spec: Spec, k: int, velocity_weight: float = 0.0, jump_cap: float = float("inf"), sever_cos_threshold: float | None = None) -> DataFrame:

@@ -120,6 +120,8 @@ def inverse_density_weights(df: DataFrame, spec: Spec, bandwidth: float = 0.02)
 
 def window_means(at: np.ndarray, gamma: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
     """Means of the values whose gamma is nearer than width / 2 to each ``at``; 0 where there are none."""
+    if not len(gamma):
+        return np.zeros((len(at), values.shape[1] if values.ndim > 1 else 0))
     order = np.argsort(gamma, kind="stable")
     g, total = gamma[order], np.vstack([np.zeros(values.shape[1]), np.cumsum(values[order], axis=0)])
     half = width / 2

@@ -12,19 +12,22 @@ Defined cases: null or non-finite components, a repeated idx, an unknown start a
 
 from __future__ import annotations
 
+import heapq
 import warnings
 from abc import ABC, abstractmethod
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcwright.functions.metrics import AlignedMomentum, Metric, lengths
 from arcwright.functions.units import Quantity, UnitSystem, plain, stripped
 from arcwright.spec import Spec
 
+from .results import Ordering
+
 
 class Strategy(ABC):
     """Which points a step of the walk may go to."""
@@ -43,16 +46,56 @@ class BruteForce(Strategy):
         return None
 
 
+class KDTree:
+    """Points of a curve, halved at the median of their widest component until LEAF are left."""
+
+    LEAF = 16
+
+    def __init__(self, q: np.ndarray) -> None:
+        self.q, self.root = q, self._node(q, np.arange(len(q)))
+
+    @classmethod
+    def _node(cls, q: np.ndarray, rows: np.ndarray):
+        low, high = q[rows].min(axis=0), q[rows].max(axis=0)
+        if len(rows) <= cls.LEAF or not (high > low).any():
+            return low, high, rows, None, None
+        by = rows[np.argsort(q[rows, np.argmax(high - low)], kind="stable")]
+        half = len(by) // 2
+        return low, high, None, cls._node(q, by[:half]), cls._node(q, by[half:])
+
+    def query(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The k nearest rows, by distance, the lesser row among equals."""
+        best, far = [(0.0, 0, self.root)], np.inf
+        rows, dist, number = np.zeros(0, np.int64), np.zeros(0), 0
+        while best:
+            reach, _, (_, _, own, left, right) = heapq.heappop(best)
+            if reach > far:
+                break
+            if own is None:
+                for child in (left, right):
+                    number += 1
+                    gap = np.maximum(0.0, np.maximum(child[0] - at, at - child[1]))
+                    heapq.heappush(best, (float(np.sqrt((gap * gap).sum())) * (1 - 1e-12), number, child))
+                continue
+            rows, dist = np.concatenate([rows, own]), np.concatenate([dist, lengths(self.q[own] - at)])
+            keep = np.lexsort((rows, dist))[:k]
+            rows, dist = rows[keep], dist[keep]
+            far = dist[-1] if len(rows) == k else np.inf
+        return rows
+
+
 @dataclass(frozen=True)
 class Nearest(Strategy):
-    """The k nearest other points in position, visited or not."""
+    """The k nearest other points in position, visited or not, by a tree that is built once for a curve."""
 
     k: int = 50
 
+    def start(self, q):
+        return KDTree(q)
+
     def candidates(self, state, current, q):
-        d = lengths(q - q[current])
-        d[current] = np.inf
-        return np.lexsort((np.arange(len(d)), d))[: min(self.k, len(d) - 1)]
+        found = state.query(q[current], min(self.k + 1, len(q)))
+        return found[found != current][: self.k]
 
 
 @dataclass(frozen=True)
@@ -98,6 +141,10 @@ class Orderer(ABC):
     #: Range of the coordinate along the order.
     gamma_range: tuple[float, float] = (0.0, 1.0)
 
+    def result(self, df: DataFrame, spec: Spec) -> Ordering:
+        """The order with its points and its range, as an object that interpolates."""
+        return Ordering(df, self.order(df, spec), spec, self.gamma_range)
+
 
 def checked(pdf: pd.DataFrame, spec: Spec) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     pdf = pdf.sort_values(spec.idx, kind="stable").reset_index(drop=True)
@@ -163,7 +210,8 @@ def order(df: DataFrame, spec: Spec, orderer: Orderer | None = None, *, units: U
     """stream, idx, ord of each row, by the orderer, or by a walk of defaults.
 
     Components with units are converted to the unit system first; then a walk's max_dist must be a Quantity of length, and
-    metric_scale one of length, or of time for the full phase-space metric.
+    metric_scale one of length, or of time for the full phase-space metric; a spanning tree's jump_cap and velocity_weight
+    must be Quantities of length (an infinite cap and a weight of 0 need no unit).
     """
     from arcwright.functions.metrics import FullPhaseSpace
 
@@ -174,7 +222,10 @@ def order(df: DataFrame, spec: Spec, orderer: Orderer | None = None, *, units: U
             scale = units.time if isinstance(orderer.config.metric, FullPhaseSpace) else units.length
             far = orderer.max_dist
             far = far if not isinstance(far, Quantity) and np.isinf(far) else plain(far, units.length)
-            orderer = LocalFlowOrderer(plain(orderer.metric_scale, scale), orderer.config, orderer.start, orderer.direction, far, orderer.terminate, orderer.n_max)
+            orderer = replace(orderer, metric_scale=plain(orderer.metric_scale, scale), max_dist=far)
+        elif hasattr(orderer, "jump_cap"):
+            cap, weight = orderer.jump_cap, orderer.velocity_weight
+            orderer = replace(orderer, jump_cap=cap if not isinstance(cap, Quantity) and np.isinf(cap) else plain(cap, units.length), velocity_weight=0.0 if weight == 0 else plain(weight, units.length))
     return orderer.order(df, spec)
 
 
@@ -185,14 +236,27 @@ def walk_local_flow(df: DataFrame, spec: Spec, **options) -> DataFrame:
 
 
 def combine_results(forward: DataFrame, backward: DataFrame, spec: Spec) -> DataFrame:
-    """stream, idx, ord of two walks from one start over the same rows: the backward one reversed, then the forward one."""
+    """stream, idx, ord of two walks from one start over the same rows: the backward one reversed, then the forward one.
+
+    A row that only one of them has is an error, and so are different components, where both have columns for them."""
     key = [spec.stream, spec.idx]
-    f, b = forward.select(*key, F.col("ord").alias("_f")), backward.select(*key, F.col("ord").alias("_b"))
-    both = f.join(b, key, "full").select(*key, "_f", "_b")
+    carried = [c for c in (*spec.q, *spec.v) if c in forward.columns and c in backward.columns]
+    f = forward.select(*(F.col(c).alias(f"_f{i}") for i, c in enumerate([*key, "ord", *carried])), F.lit(1).alias("_f"))
+    b = backward.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate([*key, "ord", *carried])), F.lit(1).alias("_b"))
+    both = f.join(b, F.col("_f0").eqNullSafe(F.col("_b0")) & F.col("_f1").eqNullSafe(F.col("_b1")), "full")
+    same = F.col("_f").isNotNull() & F.col("_b").isNotNull()
+    for i in range(3, 3 + len(carried)):
+        same &= F.col(f"_f{i}").eqNullSafe(F.col(f"_b{i}"))
     # the backward walk but its start, reversed, comes first: places below 0
-    place = F.when(F.col("_b") > 0, -F.col("_b")).otherwise(F.col("_f"))
-    from pyspark.sql import Window
-
-    rows = both.withColumn("_p", place)
-    ranked = rows.withColumn("ord", F.when(F.col("_p").isNotNull(), F.row_number().over(Window.partitionBy(spec.stream).orderBy(F.col("_p").asc_nulls_last(), spec.idx)).cast("long") - 1))
-    return ranked.select(*key, "ord")
+    place = F.when(~same, F.raise_error(F.lit("both walks must have the same rows and components")).cast("long")).when(F.col("_b2") > 0, -F.col("_b2")).otherwise(F.col("_f2"))
+    rows = both.select(F.col("_f0").alias(spec.stream), F.col("_f1").alias(spec.idx), place.alias("_p"))
+    rank = F.row_number().over(Window.partitionBy(spec.stream).orderBy(F.col("_p").asc_nulls_last(), spec.idx)).cast("long") - 1
+    return rows.withColumn("ord", F.when(F.col("_p").isNotNull(), rank)).select(*key, "ord")
+
+
+def combine(forward: Ordering, backward: Ordering) -> Ordering:
+    """Two results from one start over the same points, as one; the range goes from the backward one's to the forward one's."""
+    spec = forward.spec
+    with_points = lambda r: r.order.join(spec.typed(r.points).withColumnsRenamed({spec.stream: "_s", spec.idx: "_i"}), F.col(spec.stream).eqNullSafe(F.col("_s")) & (F.col(spec.idx) == F.col("_i")), "left").drop("_s", "_i")
+    order = combine_results(with_points(forward), with_points(backward), spec)
+    return Ordering(forward.points, order, spec, (backward.gamma_range[0], forward.gamma_range[1]))

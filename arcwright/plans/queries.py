@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +80,12 @@ def _pairs_sql(*columns: tuple[str, str]) -> str:
     return f"WITH {_T}, {_START} SELECT b.stream_id, b.idx, " + ", ".join(f"round({x}, {DIGITS}) AS {n}" for n, x in columns) + " FROM t b JOIN s a ON a.stream_id = b.stream_id"
 
 
-def _walk_ctes(kind: str, name: str = "w", sign: int = 1, max_dist: float | None = None, n_max: int | None = None, stop: int | None = None) -> str:
+def _walk_ctes(kind: str, name: str = "w", sign: int = 1, max_dist: float | None = None, n_max: int | None = None, stop: int | None = None, near: str = "") -> str:
     far = "" if max_dist is None else f"HAVING min({_norm(_between('a', 'b', S.q))}) <= {max_dist} AND arg_min({_norm(_between('a', 'b', S.q))}, row({_metric(kind, 'a', 'b', SCALE, sign)}, b.idx)) <= {max_dist}"
     more = ("" if n_max is None else f" AND ord + 1 < {n_max}") + ("" if stop is None else f" AND {name}.cur <> {stop}")
     return f"""{name}(stream_id, ord, cur, seen) AS (SELECT stream_id, 0, min(idx), [min(idx)] FROM t GROUP BY stream_id
 UNION ALL SELECT {name}.stream_id, {name}.ord + 1, arg_min(b.idx, row({_metric(kind, 'a', 'b', SCALE, sign)}, b.idx)), list_append({name}.seen, arg_min(b.idx, row({_metric(kind, 'a', 'b', SCALE, sign)}, b.idx)))
-FROM {name} JOIN t a ON a.stream_id = {name}.stream_id AND a.idx = {name}.cur JOIN t b ON b.stream_id = {name}.stream_id AND NOT list_contains({name}.seen, b.idx)
+FROM {name} JOIN t a ON a.stream_id = {name}.stream_id AND a.idx = {name}.cur JOIN t b ON b.stream_id = {name}.stream_id AND NOT list_contains({name}.seen, b.idx) {near}
 WHERE TRUE{more} GROUP BY {name}.stream_id, {name}.ord, {name}.cur, {name}.seen {far})"""
 
 
@@ -224,7 +226,7 @@ def combine_results(spark, sf_dir):
     return results.visited(walk.combine_results(one, two, S))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_T}, {_KNN.replace('n AS (', 'n AS MATERIALIZED (', 1)}, {_walk_ctes('aligned', near='JOIN n ON n.stream_id = w.stream_id AND n.idx = w.cur AND n.neighbor = b.idx')} SELECT stream_id, cur AS idx, CAST(ord AS BIGINT) AS ord FROM w")
 def walk_nearest(spark, sf_dir):
     return results.visited(walk.order(tracers(spark, sf_dir), S, walk.LocalFlowOrderer(SCALE, walk.WalkConfig(M.AlignedMomentum(), walk.Nearest(10)))))
 
@@ -367,30 +369,73 @@ def fourier_features(spark, sf_dir):
 _TREE = MSTOrderer(k=10, jump_cap=10.0, on_disconnected="largest")
 
 
-@_query()
+#: A tree grown by the least link to a point outside it, over links of nearest neighbours (here every curve is one piece).
+_PRIM = f"""{_EDGES}, u AS MATERIALIZED (SELECT stream_id, a, b, distance FROM e UNION ALL SELECT stream_id, b, a, distance FROM e),
+g(stream_id, seen, total, a, b, w) AS (SELECT stream_id, [min(idx)], CAST(0 AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM t GROUP BY stream_id
+UNION ALL SELECT g.stream_id, list_append(g.seen, arg_min(u.b, row(u.distance, u.b))), g.total + min(u.distance), arg_min(u.a, row(u.distance, u.b)), arg_min(u.b, row(u.distance, u.b)), min(u.distance) FROM g JOIN u ON u.stream_id = g.stream_id AND list_contains(g.seen, u.a) AND NOT list_contains(g.seen, u.b) GROUP BY g.stream_id, g.seen, g.total)"""
+_TREE_SQL = f"{_PRIM}, m AS MATERIALIZED (SELECT stream_id, a, b, w FROM g WHERE a IS NOT NULL)"
+
+
+def _path_sql(nodes: str = "SELECT stream_id, idx FROM t", oriented: bool = False) -> str:
+    """The backbone of the tree over the nodes: the farthest node from the first, the farthest from that, the way between;
+    then all nodes in the order of their nearest vertices."""
+    near = " AND ".join("z.stream_id = p.stream_id AND z.idx = p.node".split(" AND "))
+    sweep = lambda name, first: f"{name}(stream_id, node, prev, d) AS ({first} UNION ALL SELECT y.stream_id, y.b, y.a, x.d + y.w FROM {name} x JOIN y ON y.stream_id = x.stream_id AND y.a = x.node AND y.b IS DISTINCT FROM x.prev)"
+    turn = "sum(" + " + ".join(f"({c} - before_{c}) * (v{c} + before_v{c}) / 2" for c in S.q) + ")"
+    lag = ", ".join(f"lag(z.{c}) OVER o AS before_{c}" for c in [*S.q, *S.v])
+    return f"""k AS MATERIALIZED ({nodes}),
+y AS MATERIALIZED (SELECT m.stream_id, m.a, m.b, m.w FROM (SELECT stream_id, a, b, w FROM m UNION ALL SELECT stream_id, b, a, w FROM m) m JOIN k i ON i.stream_id = m.stream_id AND i.idx = m.a JOIN k j ON j.stream_id = m.stream_id AND j.idx = m.b),
+{sweep("d1", "SELECT stream_id, min(idx), CAST(NULL AS BIGINT), CAST(0 AS DOUBLE) FROM k GROUP BY stream_id")},
+{sweep("d2", "SELECT stream_id, arg_max(node, row(d, -node)), CAST(NULL AS BIGINT), CAST(0 AS DOUBLE) FROM d1 GROUP BY stream_id")},
+p0(stream_id, node, back) AS (SELECT stream_id, arg_max(node, row(d, -node)), 0 FROM d2 GROUP BY stream_id
+UNION ALL SELECT p0.stream_id, d2.prev, p0.back + 1 FROM p0 JOIN d2 ON d2.stream_id = p0.stream_id AND d2.node = p0.node WHERE d2.prev IS NOT NULL),
+p1 AS (SELECT stream_id, node, max(back) OVER (PARTITION BY stream_id) - back AS place, back FROM p0),
+p2 AS (SELECT p.stream_id, p.place, z.*EXCLUDE (stream_id, idx), {lag} FROM p1 p JOIN t z ON {near} WINDOW o AS (PARTITION BY p.stream_id ORDER BY p.place)),
+p3 AS (SELECT stream_id, {turn if oriented else "1.0"} AS way FROM p2 GROUP BY stream_id),
+p AS MATERIALIZED (SELECT p1.stream_id, p1.node, CASE WHEN coalesce(way, 0) < 0 THEN back ELSE place END AS ord FROM p1 JOIN p3 ON p3.stream_id = p1.stream_id),
+l AS (SELECT p.stream_id, p.ord, {", ".join(f"z.{c}" for c in S.q)}, coalesce({_norm([f"z.{c} - lag(z.{c}) OVER (PARTITION BY p.stream_id ORDER BY p.ord)" for c in S.q])}, 0) AS step FROM p JOIN t z ON {near}),
+c AS MATERIALIZED (SELECT *, sum(step) OVER (PARTITION BY stream_id ORDER BY ord) AS along FROM l),
+f AS (SELECT a.stream_id, a.idx, arg_min(b.along, row({_norm(_between("a", "b", S.q))}, b.ord)) AS along FROM t a JOIN k ON k.stream_id = a.stream_id AND k.idx = a.idx JOIN c b ON b.stream_id = a.stream_id GROUP BY a.stream_id, a.idx),
+o AS (SELECT stream_id, idx, row_number() OVER (PARTITION BY stream_id ORDER BY along, idx) - 1 AS ord FROM f)"""
+
+
+@_query(f"WITH RECURSIVE {_T}, {_TREE_SQL} SELECT stream_id, least(a, b) AS a, greatest(a, b) AS b, round(w, {DIGITS}) AS weight FROM m")
 def mst_edges(spark, sf_dir):
     return _TREE.tree(tracers(spark, sf_dir), S).withColumn("weight", F.round("weight", DIGITS))
 
 
-#: A tree grown by the least link to a point outside it, over links of nearest neighbours.
-_PRIM = f"""{_EDGES}, u AS MATERIALIZED (SELECT stream_id, a, b, distance FROM e UNION ALL SELECT stream_id, b, a, distance FROM e),
-g(stream_id, seen, total) AS (SELECT stream_id, [min(idx)], CAST(0 AS DOUBLE) FROM t GROUP BY stream_id
-UNION ALL SELECT g.stream_id, list_append(g.seen, arg_min(u.b, row(u.distance, u.b))), g.total + min(u.distance) FROM g JOIN u ON u.stream_id = g.stream_id AND list_contains(g.seen, u.a) AND NOT list_contains(g.seen, u.b) GROUP BY g.stream_id, g.seen, g.total)"""
-
-
 @_query(f"WITH RECURSIVE {_T}, {_PRIM} SELECT stream_id, max(len(seen)) - 1 AS n_edges, round(max(total), {DIGITS}) AS total FROM g GROUP BY stream_id")
 def mst_total_weight(spark, sf_dir):
     return _TREE.tree(tracers(spark, sf_dir), S).groupBy("stream_id").agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), DIGITS).alias("total"))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_T}, {_TREE_SQL}, {_path_sql()} SELECT stream_id, idx, ord FROM o")
 def mst_order(spark, sf_dir):
     return results.visited(_TREE.order(tracers(spark, sf_dir), S))
 
 
-@_query()
+#: Options of the clipping, stated once for the query and for its SQL.
+CLIP_SIGMA, CLIP_ROUNDS = 2.0, 5
+
+
+def _clip_sql() -> str:
+    """Nodes k0, k1, ..: those left after each round of cutting long links and taking off small pieces."""
+    out = ["k0 AS MATERIALIZED (SELECT stream_id, idx FROM t)", f"h AS MATERIALIZED (SELECT m.stream_id, m.a, m.b, ln({_norm(_between('i', 'j', S.q))}) AS x FROM m JOIN t i ON i.stream_id = m.stream_id AND i.idx = m.a JOIN t j ON j.stream_id = m.stream_id AND j.idx = m.b)"]
+    for r in range(CLIP_ROUNDS):
+        out += [
+            f"h{r} AS MATERIALIZED (SELECT h.*, median(x) OVER (PARTITION BY h.stream_id) AS mid FROM h JOIN k{r} i ON i.stream_id = h.stream_id AND i.idx = h.a JOIN k{r} j ON j.stream_id = h.stream_id AND j.idx = h.b)",
+            f"s{r} AS (SELECT stream_id, mid + greatest({CLIP_SIGMA} * 1.4826 * median(abs(x - mid)), ln(2.0)) AS most FROM h{r} GROUP BY stream_id, mid)",
+            f"u{r} AS MATERIALIZED (SELECT h{r}.stream_id, a, b FROM h{r} JOIN s{r} ON s{r}.stream_id = h{r}.stream_id WHERE x <= most UNION ALL SELECT h{r}.stream_id, b, a FROM h{r} JOIN s{r} ON s{r}.stream_id = h{r}.stream_id WHERE x <= most)",
+            f"r{r}(stream_id, idx, reached) AS (SELECT stream_id, idx, idx FROM k{r} UNION SELECT q.stream_id, q.idx, u.b FROM r{r} q JOIN u{r} u ON u.stream_id = q.stream_id AND u.a = q.reached)",
+            f"z{r} AS (SELECT stream_id, idx, count(*) AS size FROM r{r} GROUP BY stream_id, idx)",
+            f"k{r + 1} AS MATERIALIZED (SELECT stream_id, idx FROM (SELECT *, count(*) OVER (PARTITION BY stream_id) AS n FROM z{r}) WHERE size >= greatest(2, ceil(0.01 * n)))",
+        ]
+    return ", ".join(out)
+
+
+@_query(f"WITH RECURSIVE {_T}, {_TREE_SQL}, {_clip_sql()}, {_path_sql(f'SELECT stream_id, idx FROM k{CLIP_ROUNDS}', oriented=True)} SELECT t.stream_id, t.idx, o.ord FROM t LEFT JOIN o ON o.stream_id = t.stream_id AND o.idx = t.idx")
 def mst_edge_clip(spark, sf_dir):
-    return MSTOrderer(k=10, jump_cap=10.0, on_disconnected="largest", edge_clip_sigma=2.0, orient_by_velocity=True).order(tracers(spark, sf_dir), S)
+    return MSTOrderer(k=10, jump_cap=10.0, on_disconnected="largest", edge_clip_sigma=CLIP_SIGMA, edge_clip_max_iters=CLIP_ROUNDS, orient_by_velocity=True).order(tracers(spark, sf_dir), S)
 
 
 @_query(f"""WITH RECURSIVE {_T}, {_EDGES}, l AS MATERIALIZED (SELECT stream_id, a, b FROM e WHERE distance <= 0.12 UNION ALL SELECT stream_id, b, a FROM e WHERE distance <= 0.12),
@@ -400,11 +445,20 @@ def mst_components(spark, sf_dir):
     return MSTOrderer(k=10, jump_cap=0.12).components(tracers(spark, sf_dir), S)
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_T}, {_TREE_SQL}, {_path_sql()} SELECT stream_id, node AS idx, CAST(ord AS BIGINT) AS ord FROM p")
 def backbone_project(spark, sf_dir):
     return _TREE.backbone(tracers(spark, sf_dir), S)
 
 
+@_query(f"""WITH RECURSIVE {_T}, {_TREE_SQL}, {_path_sql()},
+v AS (SELECT *, (gamma + 1) / 2 * (max(ord) OVER (PARTITION BY stream_id)) AS f FROM c, (VALUES {", ".join(f"({2 * x - 1})" for x in GAMMAS)}) v(gamma))
+SELECT a.stream_id, CAST(a.gamma AS DOUBLE) AS gamma, """ + ", ".join(f"round((1 - (a.f - floor(a.f))) * a.{c} + (a.f - floor(a.f)) * b.{c}, {DIGITS}) AS {c}" for c in S.q) + " FROM v a JOIN c b ON b.stream_id = a.stream_id AND b.ord = ceil(a.f) WHERE a.ord = floor(a.f)")
+def interp_backbone(spark, sf_dir):
+    r = _TREE.result(tracers(spark, sf_dir), S)
+    gammas = r.order.select("stream_id").distinct().withColumn("gamma", F.explode(F.array(*(F.lit(2 * x - 1) for x in GAMMAS))))
+    return r(gammas).select("stream_id", "gamma", *_rounded(*((c, F.col(c)) for c in S.q)))
+
+
 # -- models -------------------------------------------------------------------------------------------------------
 
 #: The default training and networks, with the mixture that posterior_membership needs.
@@ -442,3 +496,100 @@ def fill_gaps(spark, sf_dir):
 @_query()
 def posterior_membership(spark, sf_dir):
     return nn.posterior(tracers(spark, sf_dir), _models(spark, sf_dir), S)
+
+
+# -- networks of stated weights: what is applied to rows, against SQL ---------------------------------------------
+
+STATED_SEED, MEAN, STD, BACKGROUND, WINDOW = 11, 0.05, 0.2, 0.01, 0.4
+_HALF = len(S.q)
+
+
+def _stated(track: str = "path") -> dict:
+    """A small model with weights of a fixed seed, the same for every stream."""
+    rng = np.random.default_rng(STATED_SEED)
+    encoder, width = nn.OrderingNet(2 * _HALF, rng, 4, 1), nn.WidthNet(rng, 3, 1)
+    width.mlp.w[-1][:] = rng.uniform(-1, 1, width.mlp.w[-1].shape)
+    made = nn.FourierTrackNet(_HALF, rng, 2, 4, 2) if track == "fourier" else nn.TrackNet(_HALF, rng, 5, 2)
+    return {"encoder": encoder, "track": made, "width": width, "mean": np.full(2 * _HALF, MEAN), "std": np.full(2 * _HALF, STD), "background": BACKGROUND}
+
+
+def _stated_models(spark, sf_dir, track: str = "path") -> DataFrame:
+    return tracers(spark, sf_dir).select("stream_id").distinct().withColumn("model", F.lit(bytearray(pickle.dumps(_stated(track)))))
+
+
+def _mlp_sql(name: str, source: str, inputs: list[str], mlp: nn.Perceptron) -> tuple[str, str, list[str]]:
+    """CTEs of the layers over the rows of source, the last one's name, and the columns of its outputs."""
+    ctes = []
+    for i, (w, b) in enumerate(zip(mlp.w, mlp.b, strict=True)):
+        z = [" + ".join([repr(float(b[j])), *(f"{x} * ({float(w[k, j])!r})" for k, x in enumerate(inputs))]) for j in range(w.shape[1])]
+        z = [f"tanh({x})" if mlp.bounded or i < len(mlp.w) - 1 else x for x in z]
+        out = [f"{name}_{i}_{j}" for j in range(len(z))]
+        ctes.append(f"{name}{i} AS MATERIALIZED (SELECT *, " + ", ".join(f"{x} AS {o}" for x, o in zip(z, out, strict=True)) + f" FROM {source})")
+        source, inputs = f"{name}{i}", out
+    return ", ".join(ctes), source, inputs
+
+
+def _encoded_sql() -> str:
+    """Rows e: stream_id, idx, scaled components, gamma, prob."""
+    net = _stated()["encoder"]
+    scaled = f"n0 AS (SELECT stream_id, idx, " + ", ".join(f"({c} - {MEAN}) / {STD} AS {c}" for c in [*S.q, *S.v]) + " FROM t)"
+    body, source, out = _mlp_sql("b", "n0", [*S.q, *S.v], net.body)
+    heads, source, (g, p) = _mlp_sql("h", source, out, net.heads)
+    low, high = net.gamma_range
+    return f"{scaled}, {body}, {heads}, e AS MATERIALIZED (SELECT stream_id, idx, {', '.join([*S.q, *S.v])}, {low} + ({high - low}) * (tanh({g}) + 1) / 2 AS gamma, 0.5 * (1 + tanh(0.5 * {p})) AS prob FROM {source})"
+
+
+def _track_sql(source: str, kind: str = "path") -> tuple[str, str, list[str]]:
+    net = _stated(kind)["track"]
+    inputs = ["gamma"] if kind == "path" else ["gamma", *(f"{f}({float(k)!r} * gamma)" for f in ("sin", "cos") for k in net.k)]
+    return _mlp_sql("q", source, inputs, net.mlp)
+
+
+@_query(f"WITH {_T}, {_encoded_sql()} SELECT stream_id, idx, round(gamma, {DIGITS}) AS gamma, round(prob, {DIGITS}) AS prob FROM e")
+def encode_stated(spark, sf_dir):
+    return nn.encode(tracers(spark, sf_dir), _stated_models(spark, sf_dir), S).select("stream_id", "idx", *_rounded(("gamma", F.col("gamma")), ("prob", F.col("prob"))))
+
+
+def _decoded_sql(kind: str) -> str:
+    ctes, source, out = _track_sql("a", kind)
+    return f"WITH {_T}, a AS (SELECT DISTINCT stream_id, (k - 4) / 4.0 AS gamma FROM t, range(9) r(k)), {ctes} SELECT stream_id, CAST(gamma AS DOUBLE) AS gamma, " + ", ".join(f"round({x} * {STD} + {MEAN}, {DIGITS}) AS {c}" for x, c in zip(out, S.q, strict=True)) + f" FROM {source}"
+
+
+def _decoded(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = _stated_models(spark, sf_dir, kind)
+        gammas = m.select("stream_id", F.explode(F.array(*(F.lit(x / 4) for x in range(-4, 5)))).alias("gamma"))
+        return nn.decode(gammas, m, S, (-1.0, 1.0)).select("stream_id", "gamma", *_rounded(*((c, F.col(c)) for c in S.q)))
+
+    return run
+
+
+for _k in ("path", "fourier"):
+    QUERIES[f"decode_{_k}_stated"], ORACLE_SQL[f"decode_{_k}_stated"] = _decoded(_k), _decoded_sql(_k)
+
+
+def _posterior_sql() -> str:
+    path, source, q = _track_sql("e")
+    width, source, (raw,) = _mlp_sql("s", source, ["gamma"], _stated()["width"].mlp)
+    r2 = " + ".join(f"({c} - {x}) * ({c} - {x})" for c, x in zip(S.q, q, strict=True))
+    rows = f"y0 AS (SELECT stream_id, idx, gamma, prob, least(greatest(prob, 1e-6), 1 - 1e-6) AS p, {r2} AS r2, 0.001 + exp({raw}) AS s FROM {source})"
+    return f"WITH {_T}, {_encoded_sql()}, {path}, {width}, {rows}, y1 AS (SELECT *, {_FG} AS fg, ln(1 - p) + ln({BACKGROUND}) AS bg FROM y0) SELECT stream_id, idx, round(gamma, {DIGITS}) AS gamma, round(prob, {DIGITS}) AS prob, round(1 / (1 + exp(bg - fg)), {DIGITS}) AS posterior FROM y1"
+
+
+@_query(_posterior_sql())
+def posterior_stated(spark, sf_dir):
+    return nn.posterior(tracers(spark, sf_dir), _stated_models(spark, sf_dir), S).select("stream_id", "idx", *_rounded(*((c, F.col(c)) for c in ("gamma", "prob", "posterior"))))
+
+
+@_query(f"WITH {_T}, {_encoded_sql()} SELECT stream_id, idx, row_number() OVER (PARTITION BY stream_id ORDER BY gamma, idx) - 1 AS ord FROM e WHERE prob >= 0.5")
+def fill_gaps_stated(spark, sf_dir):
+    return nn.fill_gaps(nn.encode(tracers(spark, sf_dir), _stated_models(spark, sf_dir), S), S)
+
+
+@_query(f"WITH {_T}, {_encoded_sql()} SELECT a.stream_id, a.idx, " + ", ".join(f"round(coalesce(sum(b.{c}) / (count(b.idx) + 1e-10), 0) * {STD} + {MEAN}, {DIGITS}) AS {c}" for c in S.q) + f" FROM e a LEFT JOIN e b ON a.stream_id = b.stream_id AND b.prob >= 0.5 AND abs(b.gamma - a.gamma) < {WINDOW / 2} GROUP BY a.stream_id, a.idx")
+def external_decode(spark, sf_dir):
+    """Each row's gamma by the stated encoder, decoded by the running mean of the members around it."""
+    t = tracers(spark, sf_dir)
+    m = nn.external_models(t, _stated_models(spark, sf_dir), S, nn.RunningMeanDecoder(WINDOW))
+    encoded = nn.encode(t, m, S)
+    return nn.decode(encoded, m, S, keep=["idx"]).select("stream_id", "idx", *_rounded(*((c, F.col(c)) for c in S.q)))
