@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from .common import discard, stored
 
 #: A key is heavy where it holds at least one in so many of the rows: there are never more heavy keys than that.
 HEAVY = 1000
+#: Edges up to which one task joins them all: 16 bytes each.  The edges are counted first.
+AT_ONCE = 1 << 20
 
 
 def join_heavy(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
@@ -36,14 +42,38 @@ def _small(e: DataFrame, total: int) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected(edges: DataFrame, name: str) -> DataFrame:
+def least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of edges, and the least id that each reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = np.split(at, 2)
+    of = np.arange(len(ids))
+    while True:
+        x, y = of[a], of[b]
+        differ = x != y
+        if not differ.any():
+            return ids, ids[of]
+        np.minimum.at(of, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
+        while (of[of] != of).any():
+            of = of[of]
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, np.int64)
+    parts = [(none, none), *((x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches)]
+    ids, least = least_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], ["id", "component"])
+
+
+def connected(edges: DataFrame, name: str, at_once: int = AT_ONCE) -> DataFrame:
     """id, component: the smallest id reachable, for each id that an edge (a, b) between different ids names.
 
-    Nulls and loops are no edges.  A round halves paths, so rounds grow with the logarithm of the longest path; each
-    step is written to the shared folder.
+    Nulls and loops are no edges.  Up to ``at_once`` edges go through one task.  More are contracted in the cluster: a
+    round halves paths, so rounds grow with the logarithm of the longest path; each step is written to the shared folder.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct()
     e = stored(e, name)
+    if e.count() <= at_once:
+        return e.repartition(1).mapInArrow(_at_once, "id long, component long")
     mark = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a")).first()

@@ -151,6 +151,7 @@ def _pass(matcher_of, started: bool):
                     ],
                     ["doc_id", "text", "n_words", "hits", "items"],
                 )
+        C.release()
 
     return run
 
@@ -216,6 +217,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
                     sent.value.find(data, w, s.offsets, np.zeros(len(w.doc), bool), found)
                     keep[s.first : s.first + s.n] = [not x for x in found]
                 yield batch.filter(pa.array(keep))
+            C.release()
 
         out = out.mapInArrow(clean, out.schema)
     return C.rows_of(out, docs.columns)

@@ -134,6 +134,7 @@ def _sets(size: int, bands: int, rows: int):
                     [batch.column("doc_id").slice(s.first, s.n), pa.array(np.diff(edges)), pa.array(digest, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())],
                     ["doc_id", "n_shingles", "digest", "bands"],
                 )
+        C.release()
 
     return run
 
@@ -279,6 +280,7 @@ def _by_key(size: int, per_key, names: list[str]):
                     ids.append(i)
                     sets.append(x)
         yield from done()
+        C.release()
 
     return run
 

@@ -189,8 +189,8 @@ class Matcher:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Matched clauses of each kind of each text."""
-        out = []
-        for s in C.slices(pc.utf8_lower(texts)):
+        out, slices = [], (s for own in C.slices(texts) for s in C.slices(pc.utf8_lower(texts.slice(own.first, own.n)), 1 << 62))
+        for s in slices:
             found = np.zeros((s.n, len(KINDS)))
             w = C.words(s.data, s.offsets, self.inside)
             if len(w.doc):
@@ -325,6 +325,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             logit = _features(m.counts(b.column("text"))) @ sent.value.weights
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], [*b.schema.names, "score"])
+        C.release()
 
     return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField("score", DoubleType())]))
 
