@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcwright.functions import phasespace as P
 from arcwright.spec import Spec
 
 #: Metres, and seconds, of each unit.
@@ -87,3 +89,53 @@ def plain(x: Quantity | float, unit: str) -> float:
     if not isinstance(x, Quantity):
         raise TypeError(f"expected a Quantity in {unit}")
     return x.to(unit)
+
+
+def _vector(df: DataFrame, names: Sequence[str], unit: str | None) -> tuple[list[Column], str]:
+    """Components in the unit, or in that of the first; TypeError where one has none, ValueError for another kind."""
+    for c in names:
+        if not unit_of(df, c):
+            raise TypeError(f"column {c} has no unit")
+    unit = unit or unit_of(df, names[0])
+    return [converted(F.col(c).cast("double"), unit_of(df, c), unit) for c in names], unit
+
+
+def _kind(unit: str, powers: list[tuple[int, int]]) -> None:
+    if factor(unit)[1:] not in powers:
+        raise ValueError(f"{unit!r} is of the wrong kind")
+
+
+LENGTH, SPEED = (1, 0), (1, -1)
+
+
+def with_distance(df: DataFrame, name: str, a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """A column of Euclidean distances of positions, in the unit of the first component."""
+    x, unit = _vector(df, a, None)
+    _kind(unit, [LENGTH])
+    return with_unit(df.withColumn(name, P.euclidean_distance(x, _vector(df, b, unit)[0])), **{name: unit})
+
+
+def with_velocity_norm(df: DataFrame, name: str, v: Sequence[str]) -> DataFrame:
+    """A column of speeds, in the unit of the first component."""
+    x, unit = _vector(df, v, None)
+    _kind(unit, [SPEED])
+    return with_unit(df.withColumn(name, P.velocity_norm(x)), **{name: unit})
+
+
+def with_unit_direction(df: DataFrame, names: Sequence[str], a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """Columns of the direction from a to b: plain numbers."""
+    x, unit = _vector(df, a, None)
+    _kind(unit, [LENGTH])
+    return df.withColumns(dict(zip(names, P.unit_direction(x, _vector(df, b, unit)[0]), strict=True)))
+
+
+def with_unit_velocity(df: DataFrame, names: Sequence[str], v: Sequence[str]) -> DataFrame:
+    """Columns of the direction of a velocity: plain numbers."""
+    x, unit = _vector(df, v, None)
+    _kind(unit, [SPEED])
+    return df.withColumns(dict(zip(names, P.unit_velocity(x), strict=True)))
+
+
+def with_cosine(df: DataFrame, name: str, a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """A column of cosines of angles between two vectors, each in units of its own kind: plain numbers."""
+    return df.withColumn(name, P.cosine_similarity(_vector(df, a, None)[0], _vector(df, b, None)[0]))
