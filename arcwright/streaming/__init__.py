@@ -26,8 +26,8 @@ def encode_stream(points: DataFrame, models: DataFrame, spec: Spec) -> DataFrame
     def run(parts):
         known = {k: pickle.loads(m) for k, m in sent.value.items()}
         for pdf in parts:
-            for key, rows in pdf.groupby(spec.stream):
-                if (m := known.get(key)) is not None:
+            for key, rows in pdf.groupby(spec.stream, dropna=False):
+                if (m := known.get(None if pd.isna(key) else key)) is not None:
                     ws = (rows[[*spec.q, *spec.v]].to_numpy(float) - m["mean"]) / m["std"]
                     gamma, p = m["encoder"](np.asarray(ws))
                     yield pd.DataFrame({spec.stream: rows[spec.stream], spec.idx: rows[spec.idx], "gamma": gamma, "prob": p})
