@@ -6,11 +6,25 @@ import time
 
 from pyspark.sql import SparkSession
 
+from arcwright import nn
+from arcwright.operators.walk import order
 from arcwright.plans.queries import QUERIES
+from arcwright.spec import Spec
 
 NAMES = ["metric_full", "knn", "severed_edges", "walk_spatial", "walk_aligned", "walk_full", "walk_both", "interp_ordered", "standard_scaler_transform", "kde_weights", "running_mean", "mst_order", "fill_gaps"]
 
 
+#: Points of a sine curve to train on, and epochs of the three phases.
+POINTS, EPOCHS = 50, (50, 100, 50)
+
+
+def training(spark):
+    x = "10.0D * id / 49"
+    points = spark.range(POINTS).selectExpr("'0' as stream_id", "id as idx", f"{x} as x", f"0.5D * sin({x}) as y", "1.0D as vx", f"0.5D * cos({x}) as vy")
+    config = nn.TrainingConfig(nn.EncoderConfig(n_epochs=EPOCHS[0]), nn.DecoderConfig(n_epochs=EPOCHS[1]), n_epochs_both=EPOCHS[2])
+    return nn.train(points, order(points, Spec()), Spec(), config=config)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -18,9 +32,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
-    for name in NAMES:
+    for name in [*NAMES, "train_50_points"]:
         begin = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        (training(spark) if name == "train_50_points" else QUERIES[name](spark, sf_dir)).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - begin, 3)
     print(json.dumps({"metric": "curve_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1]}))
     spark.stop()
