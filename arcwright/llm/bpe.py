@@ -6,8 +6,9 @@ gives the two back).  So each node of a trie of words has one last token: the to
 the last token of the node len(t) higher.  Distinct words in sorted order are the trie in depth-first order; states of
 a shared prefix stay on the stack and are computed once.  A word's encoding is read backwards from its node.
 
-Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows each give a row; other
-columns aren't looked at.
+Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows each give a row, as does one
+with a null doc_id; a very long text is one text like any other; an empty table gives no rows; other columns aren't
+looked at.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ lines.  What it finds ``scan`` finds too; ``scan`` also finds the rest.
 
 Defined cases: a null or empty text has no license and no notices; a canonical form that is empty matches nothing; rows
 of the same doc_id (or of none) give one row, in which the notices of all of them count; of several known licenses
-with an equal canonical form the least id counts; other columns aren't looked at.
+with an equal canonical form the least id counts; a very long text is one text like any other; an empty table gives no
+rows, and an empty known table no licenses; other columns aren't looked at.
 """
 
 from __future__ import annotations

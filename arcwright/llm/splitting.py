@@ -2,6 +2,9 @@
 
 Words come from the vocabulary's own pattern by the regex module.  Characters that this Python's Unicode tables don't
 know yet may fall into other classes there than in the library; texts that hold any are split by the library itself.
+
+Known are two kinds of vocabulary file: byte-level words by BYTE_LEVEL_PATTERN without a normalizer, and words that match
+a stated pattern, of texts in NFC, lower-cased, whose runs of white space are one space.  Any other raises an error.
 """
 
 from __future__ import annotations
@@ -36,6 +39,21 @@ def _unknown() -> re.Pattern:
     return re.compile(f"[{''.join(ranges)}]")
 
 
+def _word_pattern(spec: dict) -> str | None:
+    """The pattern that a vocabulary file states for words; None if it is the byte-level one.  Raises for unknown kinds."""
+    normalizer, pre = spec["normalizer"], spec["pre_tokenizer"] or {"type": "none"}
+    levels = {"type": "ByteLevel", "add_prefix_space": False}
+    has = lambda part, want: all(part.get(k) == v for k, v in want.items())
+    if normalizer is None and has(pre, levels | {"use_regex": True}):
+        return None
+    parts, steps = pre.get("pretokenizers", []), (normalizer or {}).get("normalizers", [])
+    spaces = [x for x in steps if x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " "]
+    kinds = [x["type"] for x in steps if x not in spaces]
+    if len(parts) == 2 and has(parts[0], {"type": "Split", "behavior": "Removed", "invert": True}) and "Regex" in parts[0]["pattern"] and has(parts[1], levels | {"use_regex": False}) and kinds == ["NFC", "Lowercase"]:
+        return parts[0]["pattern"]["Regex"]
+    raise ValueError(f"unknown normalizer or pre-tokenizer: {normalizer}, {spec['pre_tokenizer']}")
+
+
 class Splitter:
     """Segments between special tokens and the words of a segment, for the vocabulary file at path."""
 
@@ -47,10 +65,9 @@ class Splitter:
         self.tokenizer.no_padding()
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        pre = self.spec["pre_tokenizer"]
-        own = next((p["pattern"]["Regex"] for p in pre.get("pretokenizers", []) if p["type"] == "Split"), None)
+        own = _word_pattern(self.spec)
         self.words = regex.compile(own or BYTE_LEVEL_PATTERN).findall
-        self.lower = any(n["type"] == "Lowercase" for n in (self.spec["normalizer"] or {}).get("normalizers", []))
+        self.lower = own is not None
         self.late, self.unknown = re.compile("[^\x00-ͷ]").search, _unknown().search
         self.bytes_of = {c: b for b, c in enumerate(byte_characters())}
 

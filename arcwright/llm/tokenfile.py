@@ -10,7 +10,8 @@ move them when complete, so a task can be run again anywhere.  Each task's numbe
 each partition); prefix sums of these are the partitions' bases.  A second pass writes the offsets and reads all back.
 
 Defined cases: a null or empty text is a document of the end id alone; documents with one doc_id follow each other in
-the order of their texts; a null doc_id comes first and is written as the least int64; other columns aren't looked at.
+the order of their texts; a null doc_id comes first and is written as the least int64; a very long text is one document
+like any other; an empty table gives a dataset without files and no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +32,8 @@ from . import common as C
 from .splitting import Splitter, byte_characters
 
 KEEP_WORDS = 300_000
+#: Documents, and ids beyond the first document's, that are read back at once.
+READ_DOCS, READ_IDS = 4096, 4 << 20
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -103,6 +107,20 @@ def _get(uri: str, name: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
+def _ranges(uri: str, name: str, kind: str, edges: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, last, ids) of ranges of documents whose ids lie between edges; only a range is in memory at a time."""
+    fs, folder = _place(uri)
+    local, step = isinstance(fs, pafs.LocalFileSystem), np.dtype(kind).itemsize
+    with nullcontext() if local else fs.open_input_file(f"{folder}/{name}") as f:
+        mapped, first = _get(uri, name, kind) if local else None, 0
+        while first < len(edges) - 1:
+            last = int(np.searchsorted(edges, edges[first] + READ_IDS, "right")) - 1
+            last = min(max(last, first + 1), first + READ_DOCS, len(edges) - 1)
+            a, b = int(edges[first]), int(edges[last])
+            yield first, last, mapped[a:b] if f is None else np.frombuffer(f.read_at((b - a) * step, a * step), kind)
+            first = last
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> Dataset:
     """Encodes the texts, each followed by end_id, and writes them in ascending order of doc_id."""
     spark = docs.sparkSession
@@ -151,11 +169,12 @@ def read_back(spark: SparkSession, dataset: Dataset) -> DataFrame:
                 offsets = np.zeros(len(lengths) + 1, "<u8")
                 np.cumsum(lengths, out=offsets[1:])
                 _put(folder, f"{name}.offsets", offsets + np.uint64(base))
-                docs, offsets, tokens = _get(folder, f"{name}.docs", "<i8"), _get(folder, f"{name}.offsets", "<u8").astype(np.int64), _get(folder, f"{name}.tokens", kind)
-                for i in range(0, len(docs), 4096):
-                    at = offsets[i : i + 4097]
-                    crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip((at[:-1] - base).tolist(), (at[1:] - base).tolist(), strict=True)]
-                    own = docs[i : i + 4096].astype(np.int64)
+                docs, offsets = _get(folder, f"{name}.docs", "<i8"), _get(folder, f"{name}.offsets", "<u8").astype(np.int64)
+                for i, j, tokens in _ranges(folder, f"{name}.tokens", kind, offsets - base):
+                    at = offsets[i : j + 1]
+                    edges = (at - at[0]).tolist()
+                    crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    own = docs[i:j].astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(own, mask=own == NULL_ID), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],

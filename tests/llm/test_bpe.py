@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -53,3 +54,12 @@ def test_random_texts(library):
     for t, ids in zip(texts, e.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
         assert e.decode(ids) == t
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}])
+def test_unknown_kinds_of_vocabulary_are_errors(change, tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f) | change
+    (tmp_path / "v.json").write_text(json.dumps(spec), "utf-8")
+    with pytest.raises(ValueError, match="pre-tokenizer"):
+        bpe.Vocabulary(str(tmp_path / "v.json"))

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyarrow import fs
 from tokenizers import Tokenizer
 
 from arcwright.llm import tokenfile
@@ -51,3 +52,17 @@ def test_random_texts(library):
     e = tokenfile.LibraryEncoder(PATH)
     for t, ids in zip(texts, e.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_ranges_of_a_store_without_mapping(monkeypatch, tmp_path):
+    lengths = [3, 1, 50, 2, 2, 2, 2]
+    edges, ids = np.concatenate([[0], np.cumsum(lengths)]), np.arange(62, dtype="<u2")
+    ids.tofile(tmp_path / "x.tokens")
+    monkeypatch.setattr(tokenfile, "READ_DOCS", 3)
+    monkeypatch.setattr(tokenfile, "READ_IDS", 10)
+    mapped = [(i, j, t.tolist()) for i, j, t in tokenfile._ranges(str(tmp_path), "x.tokens", "<u2", edges)]
+    assert [m[:2] for m in mapped] == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert [x for m in mapped for x in m[2]] == ids.tolist()
+    other = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(tokenfile, "_place", lambda uri: (other, ""))
+    assert [(i, j, t.tolist()) for i, j, t in tokenfile._ranges("any", "x.tokens", "<u2", edges)] == mapped
