@@ -7,7 +7,8 @@
 5. encoding: doc_id, n_tokens and digests of the ids and of the text that they decode to.
 
 Rows with a null doc_id pass through near_duplicates and repeated_passages as they are.  All but the last stage return
-the columns of documents.
+the columns of documents.  Null and empty texts are kept as the stages' operators state it, and an empty table of
+documents gives no rows.
 """
 
 from __future__ import annotations
