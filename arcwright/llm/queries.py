@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, embedding, hostrep, langid, licenses, lm, minhash, quantize, suffixdedup, tokenfile, toxicity
+from . import bpe, decontam, embedding, hostrep, langid, licenses, lm, minhash, quantize, search, suffixdedup, tokenfile, toxicity
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantize.codes(read(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding": op8_embedding,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op11_lexical_search": op11_lexical_search,
     "op12_vector_codes": op12_vector_codes,
     "op13_url_filter": op13_url_filter,
 }
@@ -126,4 +131,4 @@ SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
 FROM d LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_license_scan": licenses.oracle_sql(), "op6_suffix_array": OP6_SQL, "op7_minhash": OP7_SQL, "op8_embedding": OP8_SQL, "op12_vector_codes": quantize.oracle_sql(), "op13_url_filter": hostrep.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_license_scan": licenses.oracle_sql(), "op6_suffix_array": OP6_SQL, "op7_minhash": OP7_SQL, "op8_embedding": OP8_SQL, "op11_lexical_search": search.oracle_sql(), "op12_vector_codes": quantize.oracle_sql(), "op13_url_filter": hostrep.oracle_sql()}

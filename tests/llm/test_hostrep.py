@@ -84,7 +84,7 @@ def test_hosts_paths_and_rules(spark):
 def test_rates_against_a_plain_computation(spark):
     hosts = ["a.x.org", "b.x.org", "c.y.org", "y.org", "z.co.uk", "w.z.co.uk", "bad.net", "good.net", "", "one"]
     pages = [(i, f"http://{hosts[i % len(hosts)]}/p") for i in range(400)] + [(None, "http://bad.net/q"), (3, "http://new.org/")]
-    bad = {i: hosts[i % len(hosts)] == "bad.net" and i % 7 > 0 or i % 5 == 0 for i in range(0, 400) if i % 3}
+    bad = {i: hosts[i % len(hosts)] == "bad.net" and i % 7 > 0 or i % 11 == 0 for i in range(0, 400) if i % 3}
     labels = spark.createDataFrame([(i, b) for i, b in bad.items()] + [(1, None), (None, True)], "page_id long, bad boolean")
     df = spark.createDataFrame(pages, "page_id long, url string")
     expected = rates(pages, bad)
