@@ -31,18 +31,49 @@ def brute(q, k):
     return out
 
 
-def found(df, k):
-    return {(r.idx, r.neighbor, round(r.distance, 9), r["rank"]) for r in neighbors.knn(df, S, k).collect()}
+def found(df, k, leaf=None):
+    return {(r.idx, r.neighbor, round(r.distance, 9), r["rank"]) for r in neighbors.knn(df, S, k, leaf).collect()}
 
 
-@pytest.mark.parametrize("few", [neighbors.FEW, 0, 40], ids=["at once", "by rounds", "rounds, then at once"])
-def test_knn_against_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(neighbors, "FEW", few)
+@pytest.mark.parametrize("leaf", [None, 20], ids=["at once", "in leaves"])
+def test_knn_against_brute_force(spark, leaf):
     r = np.random.default_rng(2)
-    q = np.concatenate([r.normal(0, 1, (150, 2)), r.normal(5, 0.01, (80, 2)), np.zeros((30, 2)), [[1e6, 1e6], [-3e5, 2.0]]])
-    assert found(table(spark, q), 5) == brute(q, 5)
-    assert found(table(spark, q[:3]), 5) == brute(q[:3], 5)
-    assert found(table(spark, q[:1]), 5) == set()
+    q = np.concatenate([r.normal(0, 1, (150, 2)), r.normal(5, 0.01, (80, 2)), np.zeros((30, 2)), r.integers(0, 4, (40, 2)), [[1e6, 1e6], [-3e5, 2.0]]])
+    assert found(table(spark, q), 5, leaf) == brute(q, 5)
+    assert found(table(spark, q[:3]), 5, 1) == brute(q[:3], 5)
+    assert found(table(spark, q[:1]), 5, leaf) == set()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cells_against_sorting(seed):
+    r = np.random.default_rng(seed)
+    p = np.concatenate([r.normal(0, 1, (400, 3)), r.normal(0, 1e-4, (300, 3)), r.integers(0, 3, (200, 3))]).astype(float)
+    ids = r.permutation(len(p)) * 3
+    q = np.concatenate([p[:100], r.normal(0, 3, (150, 3)), r.integers(0, 3, (40, 3))])
+    d = neighbors.distances(q, p)
+    for k in (1, 4, 1000):
+        n, got = neighbors.nearest(q, None, p, ids, k)
+        for i in range(len(q)):
+            want = np.lexsort((ids, d[i]))[:k]
+            assert n[i][: len(want)].tolist() == ids[want].tolist() and got[i][: len(want)].tolist() == d[i][want].tolist()
+            assert not np.isfinite(got[i][len(want) :]).any()
+    far, last = np.full(len(q), 1.0), np.full(len(q), 300)
+    n, got = neighbors.nearest(q, None, p, ids, 5, far, last)
+    for i in range(len(q)):
+        want = [j for j in np.lexsort((ids, d[i])) if (d[i][j], ids[j]) < (1.0, 300)][:5]
+        assert n[i][np.isfinite(got[i])].tolist() == ids[want].tolist()
+
+
+@pytest.mark.parametrize("leaf", [None, 16])
+def test_nearest_vertices(spark, leaf):
+    r = np.random.default_rng(8)
+    v = np.concatenate([np.stack([np.linspace(0, 9, 60), np.zeros(60)], axis=1), [[3.0, 3.0]] * 4])
+    q = np.concatenate([r.normal(4, 3, (300, 2)), [[1.0, 1.0]] * 50, [[500.0, 1.0]], v[:5]])
+    points = spark.createDataFrame([("=s", i, *map(float, x)) for i, x in enumerate(q)] + [("=none", 0, 1.0, 1.0)], "_k string, _i long, x double, y double")
+    vertices = spark.createDataFrame([("=s", i, *map(float, x)) for i, x in enumerate(v)], "_k string, _n long, x double, y double")
+    got = {r._i: (r._n, r._d) for r in neighbors.nearest_vertex(points, vertices, ["x", "y"], leaf).collect()}
+    d = neighbors.distances(q, v)
+    assert got == {i: (int(d[i].argmin()), float(d[i].min())) for i in range(len(q))}
 
 
 def test_many_coinciding_points_and_a_far_one(spark):
@@ -55,14 +86,6 @@ def test_many_coinciding_points_and_a_far_one(spark):
     assert all(first[i] == [j for j in range(4) if j != i][:3] for i in range(n + 1))
 
 
-def test_dense_cells_are_dealt_to_several_tasks(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "FEW", 0)
-    monkeypatch.setattr(neighbors, "DENSE", 16)
-    r = np.random.default_rng(4)
-    q = np.concatenate([np.zeros((60, 2)), r.normal(0, 1, (60, 2))])
-    assert found(table(spark, q), 4) == brute(q, 4)
-
-
 def test_null_streams_and_missing_positions(spark):
     rows = [(None, 0, 0.0, 0.0), (None, 1, 1.0, 0.0), ("a", 0, 0.0, 0.0), ("a", 1, 0.5, 0.0), ("a", 2, None, 0.0), ("a", 3, math.nan, 0.0)]
     df = spark.createDataFrame([(*r, 1.0, 1.0) for r in rows], "stream_id string, idx long, x double, y double, vx double, vy double")
