@@ -1,7 +1,8 @@
 """Ordering along the backbone of a minimum spanning tree of nearest-neighbour links.
 
-Links, their weights and the cuts are made in the cluster (``neighbors.edges``); the tree of one curve, whose links are k
-for each point at most, is walked in one task.
+Links, their weights and the cuts are made in the cluster (``neighbors.edges``).  The tree of a curve of up to ``at_once``
+points is walked in one task; those of larger curves go through ``backbone``, whose every step is a join or an aggregate.
+Both give the same trees, pieces, paths and orders.
 
 Defined cases: a curve under two points is its own order; links between coinciding points have weight 0 and count; among
 equal weights the lesser (a, b) goes first into the tree; the direction of the order is arbitrary unless
@@ -17,13 +18,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from arcwright.functions.metrics import lengths
 from arcwright.functions.units import Quantity
 from arcwright.spec import Spec
 from arcwright.tables import stored
 
-from .neighbors import edges
+from . import backbone as spread
+from .keyed import key_of, stream_of
+from .neighbors import distances, edges
 from .results import Ordering
 from .walk import Orderer, checked, ordered_schema, placed
 
@@ -125,7 +129,7 @@ def backbone(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.n
     if orient and len(path) > 1 and (np.diff(q[path], axis=0) * (v[path[1:]] + v[path[:-1]]) / 2).sum() < 0:
         path = path[::-1]
     s = np.concatenate([[0.0], np.cumsum(lengths(np.diff(q[path], axis=0)))]) if len(path) > 1 else np.zeros(1)
-    closest = [((q[part, None] - q[path]) ** 2).sum(axis=2).argmin(axis=1) for part in np.array_split(nodes, len(nodes) * len(path) // BLOCK + 1)]
+    closest = [distances(q[part], q[path]).argmin(axis=1) for part in np.array_split(nodes, len(nodes) * len(path) // BLOCK + 1)]
     at = s[np.concatenate(closest)]
     return nodes[np.argsort(at, kind="stable")], path
 
@@ -140,6 +144,8 @@ class MSTOrderer(Orderer):
     on_disconnected: str = "raise"
     edge_clip_sigma: float | None = None
     edge_clip_max_iters: int = 5
+    #: Points of a curve that one task takes.
+    at_once: int = 200_000
 
     gamma_range = (-1.0, 1.0)
 
@@ -157,10 +163,36 @@ class MSTOrderer(Orderer):
     def links(self, df: DataFrame, spec: Spec) -> DataFrame:
         return edges(df, spec, self.k, float(self.velocity_weight), float(self.jump_cap), self.sever_cos_threshold)
 
+    def _split(self, df: DataFrame, spec: Spec) -> tuple[DataFrame | None, DataFrame | None]:
+        """The rows of curves that a task takes, and those of larger ones; None where there are none."""
+        if df.count() <= self.at_once:
+            return df, None
+        sizes = stored(df.groupBy(key_of(F.col(spec.stream)).alias("_k")).agg((F.count("*") > self.at_once).alias("_large")), "curve-sizes")
+        kinds = {r[0] for r in sizes.select("_large").distinct().collect()}
+        if len(kinds) < 2:
+            return (None, df) if kinds == {True} else (df, None)
+        own = df.withColumn("_k", key_of(F.col(spec.stream))).join(sizes, "_k")
+        return tuple(own.where(F.col("_large") == large).select(df.columns) for large in (False, True))
+
+    def _both(self, df: DataFrame, spec: Spec, per_curve, spread_out) -> DataFrame:
+        """What per_curve gives for small curves, and spread_out for large ones."""
+        small, large = self._split(df, spec)
+        if large is None:
+            return per_curve(small)
+        return spread_out(large) if small is None else per_curve(small).unionByName(spread_out(large))
+
+    def _placed(self, rows: DataFrame, df: DataFrame, spec: Spec, *columns) -> DataFrame:
+        """Rows of keys (_k, _i) as rows of streams."""
+        return rows.select(stream_of(F.col("_k"), df.schema[spec.stream].dataType).alias(spec.stream), *columns)
+
     def _per_curve(self, df: DataFrame, spec: Spec, finish, schema: str, links: DataFrame | None = None) -> DataFrame:
         links = self.links(df, spec) if links is None else links
 
+        names = StructType.fromDDL(schema).names
+
         def run(points: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
+            if not len(points):  # links of a curve that isn't asked for
+                return pd.DataFrame(columns=names, dtype=object)
             pdf, q, v = checked(points, spec)
             ids = pdf[spec.idx].to_numpy()
             a, b = np.searchsorted(ids, linked["a"].to_numpy()), np.searchsorted(ids, linked["b"].to_numpy())
@@ -191,19 +223,28 @@ class MSTOrderer(Orderer):
         """stream, idx, ord, vertex of all rows: the order, and the place on the backbone of its vertices, of one run.
 
         With on_disconnected "warn", links are made at once, and curves that fall into pieces are told by a warning."""
-        settled, links = self._settled, None
+        links = None
         if self.on_disconnected == "warn":
             links = stored(self.links(df, spec), "mst-links")
             pieces = self.components(df, spec, links).groupBy(spec.stream).agg(F.countDistinct("component").alias("n")).where("n > 1")
             if some := pieces.orderBy(F.desc("n")).limit(TOLD).collect():
                 says = ", ".join(f"{r[0]} into {r[1]}" for r in some)
                 warnings.warn(f"links of curves fall into components ({says}); raise k or jump_cap", stacklevel=2)
+        settled = self._settled
 
         def finish(pdf, q, v, a, b, w):
             order, path = settled(q, v, a, b, w)
             return placed(pdf, spec, order.tolist()).assign(vertex=placed(pdf, spec, path.tolist())["ord"])
 
-        return self._per_curve(df, spec, finish, ordered_schema(df, spec) + ", vertex long", links)
+        def spread_out(rows: DataFrame) -> DataFrame:
+            own = spread.keyed_links(self.links(rows, spec) if links is None else links, spec)
+            points = spread.keyed_points(rows, spec)
+            own = own if links is None else own.join(points.select("_k").distinct(), "_k", "left_semi")
+            found = spread.settle(points, len(spec.q), own, on_disconnected=self.on_disconnected, sigma=self.edge_clip_sigma, rounds=self.edge_clip_max_iters, orient=self.orient_by_velocity, least_ratio=MIN_RATIO, small_share=SMALL_SHARE)
+            return self._placed(found, df, spec, F.col("_i").alias(spec.idx), "ord", "vertex")
+
+        per_curve = lambda rows: self._per_curve(rows, spec, finish, ordered_schema(df, spec) + ", vertex long", links)
+        return self._both(df, spec, per_curve, spread_out)
 
     def order(self, df: DataFrame, spec: Spec) -> DataFrame:
         return self.settle(df, spec).drop("vertex")
@@ -222,10 +263,14 @@ class MSTOrderer(Orderer):
 
         def finish(pdf, q, v, a, b, w):
             tree, ids = spanning_tree(len(q), a, b, w), pdf[spec.idx].to_numpy()
-            return pd.DataFrame({spec.stream: [pdf[spec.stream].iloc[0]] * len(tree), "a": ids[a[tree]].astype("int64"), "b": ids[b[tree]].astype("int64"), "weight": w[tree].astype(float)})
+            return pd.DataFrame({spec.stream: pdf[spec.stream].iloc[np.zeros(len(tree), int)].reset_index(drop=True), "a": ids[a[tree]].astype("int64"), "b": ids[b[tree]].astype("int64"), "weight": w[tree].astype(float)})
+
+        def spread_out(rows: DataFrame) -> DataFrame:
+            found = spread.forest(spread.keyed_links(self.links(rows, spec), spec))
+            return self._placed(found, df, spec, F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("w").alias("weight"))
 
         kind = df.schema[spec.stream].dataType.simpleString()
-        return self._per_curve(df, spec, finish, f"`{spec.stream}` {kind}, a long, b long, weight double")
+        return self._both(df, spec, lambda rows: self._per_curve(rows, spec, finish, f"`{spec.stream}` {kind}, a long, b long, weight double"), spread_out)
 
     def components(self, df: DataFrame, spec: Spec, links: DataFrame | None = None) -> DataFrame:
         """stream, idx, component: the least idx that links reach."""
@@ -233,5 +278,10 @@ class MSTOrderer(Orderer):
         def finish(pdf, q, v, a, b, w):
             return pd.DataFrame({spec.stream: pdf[spec.stream], spec.idx: pdf[spec.idx], "component": pdf[spec.idx].to_numpy()[components(len(q), a, b)]})
 
+        def spread_out(rows: DataFrame) -> DataFrame:
+            own = spread.keyed_links(self.links(rows, spec) if links is None else links, spec)
+            found = spread.labels(spread.keyed_points(rows, spec), own, "a", "b")
+            return self._placed(found, df, spec, F.col("_i").alias(spec.idx), F.col("c").alias("component"))
+
         kind = df.schema[spec.stream].dataType.simpleString()
-        return self._per_curve(df, spec, finish, f"`{spec.stream}` {kind}, `{spec.idx}` long, component long", links)
+        return self._both(df, spec, lambda rows: self._per_curve(rows, spec, finish, f"`{spec.stream}` {kind}, `{spec.idx}` long, component long", links), spread_out)

@@ -459,6 +459,28 @@ def interp_backbone(spark, sf_dir):
     return r(gammas).select("stream_id", "gamma", *_rounded(*((c, F.col(c)) for c in S.q)))
 
 
+#: The same queries with curves that count as larger than a task: by joins and aggregates alone.
+_SPREAD = {"mst_edges": "tree", "mst_components": "components", "mst_order": "order", "mst_edge_clip": "order", "backbone_project": "backbone"}
+
+
+def _spread(name: str, method: str) -> Query:
+    made = {
+        "mst_components": MSTOrderer(k=10, jump_cap=0.12, at_once=0),
+        "mst_edge_clip": MSTOrderer(k=10, jump_cap=10.0, on_disconnected="largest", edge_clip_sigma=CLIP_SIGMA, edge_clip_max_iters=CLIP_ROUNDS, orient_by_velocity=True, at_once=0),
+    }.get(name, MSTOrderer(k=10, jump_cap=10.0, on_disconnected="largest", at_once=0))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = getattr(made, method)(tracers(spark, sf_dir), S)
+        found = results.visited(found) if name == "mst_order" else found
+        return found.withColumn("weight", F.round("weight", DIGITS)) if "weight" in found.columns else found
+
+    return run
+
+
+for _name, _method in _SPREAD.items():
+    QUERIES[f"{_name}_spread"], ORACLE_SQL[f"{_name}_spread"] = _spread(_name, _method), ORACLE_SQL[_name]
+
+
 # -- models -------------------------------------------------------------------------------------------------------
 
 #: The default training and networks, with the mixture that posterior_membership needs.
