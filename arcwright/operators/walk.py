@@ -6,7 +6,9 @@ From the start, the walk goes to the unvisited point of least metric distance, t
 - when the nearest unvisited point, or the chosen one, is farther than ``max_dist`` in position;
 - when no candidate is left.
 
-A curve's walk is sequential by nature, so one task walks one curve; curves are spread over the cluster.
+A curve's walk is sequential by nature, so one task walks one curve; curves are spread over the cluster.  A step is a
+best-first search of a tree of the points that are left: boxes whose bound of the metric is beyond the best so far aren't
+opened, and visited points leave the tree.
 Defined cases: null or non-finite components, a repeated idx, an unknown start and max_dist <= 0 are errors.
 """
 
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcwright.functions.metrics import AlignedMomentum, Metric, lengths
+from arcwright.functions.metrics import AlignedMomentum, Bound, FullPhaseSpace, Metric, lengths
 from arcwright.functions.units import Quantity, UnitSystem, plain, stripped
 from arcwright.spec import Spec
 
@@ -84,6 +86,68 @@ class KDTree:
         return rows
 
 
+class Left:
+    """A tree of the points that a walk has not visited, with boxes in position and velocity.
+
+    Points are halved at the median of the component of widest extent, in position or in scaled velocity."""
+
+    LEAF = 24
+
+    def __init__(self, q: np.ndarray, v: np.ndarray, speed: float = 0.0) -> None:
+        self.q, self.v = q, v
+        self.box, self.child, self.rows, self.n, self.up = [], [], [], [], []
+        self.leaf_of = np.zeros(len(q), np.int64)
+        w = np.concatenate([q, speed * v], axis=1)
+        todo = [(np.arange(len(q)), -1)]
+        while todo:
+            rows, up = todo.pop()
+            node = len(self.n)
+            if up >= 0:
+                self.child[up] = (*self.child[up], node)
+            corner = lambda x, f: tuple(f(x[rows], axis=0).tolist())
+            self.box.append((corner(q, np.min), corner(q, np.max), corner(v, np.min), corner(v, np.max)))
+            self.child.append(())
+            self.rows.append(None)
+            self.n.append(len(rows))
+            self.up.append(up)
+            spread = w[rows].max(axis=0) - w[rows].min(axis=0)
+            if len(rows) > self.LEAF and spread.any():
+                by = rows[np.argsort(w[rows, np.argmax(spread)], kind="stable")]
+                todo += [(np.sort(by[len(by) // 2 :]), node), (np.sort(by[: len(by) // 2]), node)]
+            else:
+                self.rows[node] = rows
+                self.leaf_of[rows] = node
+
+    def remove(self, row: int) -> None:
+        node = int(self.leaf_of[row])
+        rows = self.rows[node]
+        self.rows[node] = rows[rows != row]
+        while node >= 0:
+            self.n[node] -= 1
+            node = self.up[node]
+
+    def nearest(self, metric: Metric, bound: Bound, current: int, scale: float) -> tuple[float, int]:
+        """Least metric distance from a row to those that are left, and the least row that has it; -1 without one."""
+        q, v, box, child, count = self.q, self.v, self.box, self.child, self.n
+        best, found = np.inf, -1
+        heap = [(bound(*box[0]), 0)] if count[0] else []
+        while heap:
+            low, node = heapq.heappop(heap)
+            if low > best:
+                break
+            rows = self.rows[node]
+            if rows is None:
+                for c in child[node]:
+                    if count[c] and (low := bound(*box[c])) <= best:
+                        heapq.heappush(heap, (low, c))
+                continue
+            cost = metric.array(q[current], v[current], q[rows], v[rows], scale)
+            i = int(np.argmin(cost))
+            if cost[i] < best or (cost[i] == best and rows[i] < found):
+                best, found = float(cost[i]), int(rows[i])
+        return best, found
+
+
 @dataclass(frozen=True)
 class Nearest(Strategy):
     """The k nearest other points in position, visited or not, by a tree that is built once for a curve."""
@@ -105,25 +169,33 @@ class WalkConfig:
 
 
 def steps(q, v, start: int, config: WalkConfig, scale: float, max_dist: float, terminate: set[int], n_max: int) -> list[int]:
-    """Rows in the order in which one walk visits them."""
+    """Rows in the order in which one walk visits them.
+
+    The chosen point is never nearer than the nearest one that is left, so its distance alone decides by max_dist."""
+    metric, strategy = config.metric, config.strategy
+    state = strategy.start(q)
     left = np.ones(len(q), bool)
-    state = config.strategy.start(q)
+    searched = isinstance(strategy, BruteForce) and metric.bound(q[start], v[start], scale) is not None
+    tree = Left(q, v, abs(scale) if isinstance(metric, FullPhaseSpace) else 0.0) if searched else None
     path, current = [start], start
     left[start] = False
+    if tree:
+        tree.remove(start)
     while len(path) < n_max and current not in terminate:
-        spatial = lengths(q - q[current])
-        if not left.any() or spatial[left].min() > max_dist:
-            break
-        cost = np.where(left, config.metric.array(q[current], v[current], q, v, scale), np.inf)
-        if (some := config.strategy.candidates(state, current, q)) is not None:
-            allowed = np.zeros(len(q), bool)
-            allowed[some] = True
-            cost = np.where(allowed, cost, np.inf)
-        best = int(np.argmin(cost))
-        if not np.isfinite(cost[best]) or spatial[best] > max_dist:
+        if tree:
+            cost, best = tree.nearest(metric, metric.bound(q[current], v[current], scale), current, scale)
+        else:
+            some = strategy.candidates(state, current, q)
+            rows = np.flatnonzero(left) if some is None else np.sort(some[left[some]])
+            each = metric.array(q[current], v[current], q[rows], v[rows], scale)
+            i = int(np.argmin(each)) if len(rows) else -1
+            cost, best = (float(each[i]), int(rows[i])) if len(rows) else (np.inf, -1)
+        if best < 0 or not np.isfinite(cost) or lengths(q[best : best + 1] - q[current])[0] > max_dist:
             break
         path.append(best)
         left[best] = False
+        if tree:
+            tree.remove(best)
         current = best
     return path
 
@@ -213,8 +285,6 @@ def order(df: DataFrame, spec: Spec, orderer: Orderer | None = None, *, units: U
     metric_scale one of length, or of time for the full phase-space metric; a spanning tree's jump_cap and velocity_weight
     must be Quantities of length (an infinite cap and a weight of 0 need no unit).
     """
-    from arcwright.functions.metrics import FullPhaseSpace
-
     orderer = LocalFlowOrderer() if orderer is None else orderer
     if any("unit" in df.schema[c].metadata for c in (*spec.q, *spec.v)) or units is not None:
         df = stripped(df, spec, units)
