@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwright.functions.mixture import MixtureMembershipConfig, membership_responsibility
+from arcwright.operators.keyed import key_of, stream_of
+from arcwright.operators.ranges import ranked
+from arcwright.operators.results import Curve
 from arcwright.operators.statistics import window_means
 from arcwright.operators.walk import checked
 from arcwright.spec import Spec
+from arcwright.tables import stored
 
 from .networks import FourierTrackNet, OrderingNet, TrackNet, WidthNet
 from .training import TrainingConfig, background_density, train_all
@@ -209,8 +213,49 @@ def decode(gammas: DataFrame, models: DataFrame, spec: Spec, gamma_range: tuple[
 
 
 def fill_gaps(encoded: DataFrame, spec: Spec, prob_threshold: float = 0.5) -> DataFrame:
-    """stream, idx, ord of the rows that are likely members, by gamma: points that a walk has skipped take their places."""
-    from pyspark.sql import Window
+    """stream, idx, ord of the rows that are likely members, by gamma: points that a walk has skipped take their places.
 
-    rank = F.row_number().over(Window.partitionBy(spec.stream).orderBy("gamma", spec.idx)).cast("long") - 1
-    return encoded.where(F.col("prob") >= prob_threshold).select(spec.stream, spec.idx, rank.alias("ord"))
+    Places are counted over ranges of gamma, so a curve may be of any length."""
+    members = encoded.where(F.col("prob") >= prob_threshold).select(key_of(F.col(spec.stream)).alias("_k"), F.col("gamma").alias("_g"), F.col(spec.idx).alias("_i"))
+    kind = encoded.schema[spec.stream].dataType
+    return ranked(members, "_k", ["_g", "_i"], "ord").select(stream_of(F.col("_k"), kind).alias(spec.stream), F.col("_i").alias(spec.idx), "ord")
+
+
+@dataclass(frozen=True)
+class AutoencoderResult(Curve):
+    """What training gives: models (stream, model, losses), gamma and membership of all rows (stream, idx, gamma, prob), and
+    the order of those that count (stream, idx, ord).
+
+    Called with gammas (stream, gamma), it decodes them; a gamma outside the range is an error.  With a path model the order
+    is by gamma, of the rows whose membership is at least the threshold; with an external decoder it is the order given."""
+
+    points: DataFrame
+    models: DataFrame
+    encoded: DataFrame
+    order: DataFrame
+    spec: Spec
+    gamma_range: tuple[float, float] = (-1.0, 1.0)
+
+    @classmethod
+    def fit(cls, df: DataFrame, order: DataFrame, spec: Spec, model: PathAutoencoder | EncoderExternalDecoder | None = None, config: TrainingConfig | None = None) -> AutoencoderResult:
+        """Trains a model for each stream from its points and their order, once, and encodes all rows."""
+        model, config = model or PathAutoencoder(), config or TrainingConfig()
+        models = stored(train(df, order, spec, model, config), "models")
+        encoded = stored(encode(df, models, spec), "encoded")
+        own = order if isinstance(model, EncoderExternalDecoder) else fill_gaps(encoded, spec, config.member_threshold)
+        return cls(df, models, encoded, own, spec, model.gamma_range)
+
+    def __call__(self, gammas: DataFrame) -> DataFrame:
+        return decode(gammas, self.models, self.spec, self.gamma_range)
+
+    @property
+    def membership(self) -> DataFrame:
+        """stream, idx, prob of each row."""
+        return self.encoded.select(self.spec.stream, self.spec.idx, "prob")
+
+    def filled(self, prob_threshold: float = 0.5) -> DataFrame:
+        """stream, idx, ord of all likely members, skipped ones included, by gamma."""
+        return fill_gaps(self.encoded, self.spec, prob_threshold)
+
+    def posterior(self, background_density: float | None = None) -> DataFrame:
+        return posterior(self.points, self.models, self.spec, background_density)

@@ -163,11 +163,17 @@ def density_weights(gamma: np.ndarray, bandwidth: float = 0.02) -> np.ndarray:
     return np.array([1 / np.exp(-0.5 * ((gamma - g) / bandwidth) ** 2).mean() for g in gamma])
 
 
+def compute_uniform_weights(gamma: np.ndarray) -> np.ndarray:
+    """A weight of one for each sample."""
+    return np.ones(len(gamma))
+
+
 def train_both(encoder, track, width, ws, mask, config: TrainingConfig, rng) -> list[float]:
     mixture, n, dims = config.membership, config.n_epochs_both, ws.shape[1] // 2
     nets = [track] if config.freeze_encoder else [encoder, track]
     adam = AdamW([p for net in nets for p in net.parameters] + (width.parameters if mixture else []))
-    weights = density_weights(encoder(ws)[0]) if config.weight_by_density else np.ones(len(ws))
+    gamma = encoder(ws)[0]
+    weights = density_weights(gamma) if config.weight_by_density else compute_uniform_weights(gamma)
     log_bg = 0.0
     if mixture:
         log_bg = np.log(background_density(ws[:, :dims])) if mixture.log_background_density is None else mixture.log_background_density

@@ -9,12 +9,16 @@ from operator import mul
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcwright.functions import phasespace as P
 from arcwright.functions import units as U
 from arcwright.spec import Spec
+from arcwright.tables import stored
+
+from .keyed import join_common, key_of, stream_of
+from .ranges import Ranges
 
 
 class Normalizer(ABC):
@@ -72,17 +76,22 @@ class StandardScaler(Normalizer):
 
 
 def gamma_targets(ordered: DataFrame, spec: Spec, gamma_range: tuple[float, float] = (0.0, 1.0), alpha: float = 0.8) -> DataFrame:
-    """stream, idx, gamma: the rank along the order, blended by alpha with the arc length; by rank alone where that is 0."""
+    """stream, idx, gamma: the rank along the order, blended by alpha with the arc length; by rank alone where that is 0.
+
+    Arc lengths are running sums over ranges of the order, so a curve may be of any length."""
     low, high = gamma_range
     alpha = min(1.0, max(0.0, alpha))
-    by = Window.partitionBy(spec.stream).orderBy("ord")
-    whole = Window.partitionBy(spec.stream)
-    step = P.euclidean_distance([F.lag(c).over(by) for c in spec.q], spec.position())
-    rows = ordered.withColumn("_ds", F.coalesce(step, F.lit(0.0)))
-    rows = rows.withColumns({"_arc": F.sum("_ds").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.count("*").over(whole), "_all": F.sum("_ds").over(whole)})
-    rank = F.lit(low) + F.lit(high - low) * F.when(F.col("_n") > 1, F.col("ord") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
+    kind = ordered.schema[spec.stream].dataType
+    names = [f"_q{i}" for i in range(len(spec.q))]
+    rows = ordered.select(key_of(F.col(spec.stream)).alias("_k"), F.col(spec.idx).alias("_i"), F.col("ord").alias("_o"), *(F.col(c).cast("double").alias(n) for c, n in zip(spec.q, names, strict=True)))
+    line = Ranges(rows, "_k", ["_o"]).previous({f"_b{n}": n for n in names})
+    step = P.euclidean_distance([F.col(f"_b{n}") for n in names], [F.col(n) for n in names])
+    rows = stored(line.running({"_arc": F.coalesce(step, F.lit(0.0))}).rows().select("_k", "_i", "_o", "_arc"), "gamma-arcs")
+    whole = stored(rows.groupBy("_k").agg(F.count("*").alias("n"), F.count("*").alias("_n"), F.max("_arc").alias("_all")), "gamma-curves")
+    rows = join_common(rows, whole, "_k", rows.count())
+    rank = F.lit(low) + F.lit(high - low) * F.when(F.col("_n") > 1, F.col("_o") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     arc = F.when(F.col("_all") > 0, F.lit(low) + F.lit(high - low) * (F.col("_arc") / F.col("_all"))).otherwise(rank)
-    return rows.select(spec.stream, spec.idx, (F.lit(1 - alpha) * rank + F.lit(alpha) * arc).alias("gamma"))
+    return rows.select(stream_of(F.col("_k"), kind).alias(spec.stream), F.col("_i").alias(spec.idx), (F.lit(1 - alpha) * rank + F.lit(alpha) * arc).alias("gamma"))
 
 
 def bounding_box(df: DataFrame, spec: Spec) -> DataFrame:

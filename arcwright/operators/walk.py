@@ -21,13 +21,16 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwright.functions.metrics import AlignedMomentum, Bound, FullPhaseSpace, Metric, lengths
 from arcwright.functions.units import Quantity, UnitSystem, plain, stripped
 from arcwright.spec import Spec
+from arcwright.tables import stored
 
+from .keyed import key_of, stream_of
+from .ranges import ranked
 from .results import Ordering
 
 
@@ -319,9 +322,11 @@ def combine_results(forward: DataFrame, backward: DataFrame, spec: Spec) -> Data
         same &= F.col(f"_f{i}").eqNullSafe(F.col(f"_b{i}"))
     # the backward walk but its start, reversed, comes first: places below 0
     place = F.when(~same, F.raise_error(F.lit("both walks must have the same rows and components")).cast("long")).when(F.col("_b2") > 0, -F.col("_b2")).otherwise(F.col("_f2"))
-    rows = both.select(F.col("_f0").alias(spec.stream), F.col("_f1").alias(spec.idx), place.alias("_p"))
-    rank = F.row_number().over(Window.partitionBy(spec.stream).orderBy(F.col("_p").asc_nulls_last(), spec.idx)).cast("long") - 1
-    return rows.withColumn("ord", F.when(F.col("_p").isNotNull(), rank)).select(*key, "ord")
+    kind = forward.schema[spec.stream].dataType
+    rows = stored(both.select(key_of(F.col("_f0")).alias("_k"), F.col("_f1").alias("_i"), place.alias("_p")), "walks-combined")
+    placed_rows = ranked(rows.where("_p is not null"), "_k", ["_p", "_i"], "ord").select("_k", "_i", "ord")
+    out = placed_rows.unionByName(rows.where("_p is null").select("_k", "_i", F.lit(None).cast("long").alias("ord")))
+    return out.select(stream_of(F.col("_k"), kind).alias(spec.stream), F.col("_i").alias(spec.idx), "ord")
 
 
 def combine(forward: Ordering, backward: Ordering) -> Ordering:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 from collections.abc import Callable
@@ -10,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwright import nn
+from arcwright import nn, sql
 from arcwright.functions import metrics as M
 from arcwright.functions import mixture
 from arcwright.functions import phasespace as P
@@ -18,6 +19,7 @@ from arcwright.operators import neighbors, results, statistics, walk
 from arcwright.operators.mst import MSTOrderer
 from arcwright.sources import TRACERS as S
 from arcwright.sources import tracers
+from arcwright.tables import stored
 
 DIGITS = 6
 #: Options of the walks, each stated once for the query and for its SQL.
@@ -348,14 +350,32 @@ def mixture_nll(spark, sf_dir):
     return mixture.mixture_loss(tracers(spark, sf_dir), ["stream_id"], mixture.log_likelihood(*_mixture_columns(), 3), F.lit(True)).withColumn("loss", F.round("loss", DIGITS))
 
 
-@_query(f"SELECT epoch, round(0.5 * power(0.1 / 0.5, epoch / 19), {DIGITS}) AS sigma FROM range(20) r(epoch)")
+#: A rampup below 1, and a mask that holds for some rows of even streams and for none of odd ones.
+RAMPUP, _MASK = 0.4, "stream_id % 2 = 0 AND vy > 0"
+_RAMPED = f"""x AS (SELECT stream_id, {_MASK} AS kept, least(greatest(1 - {RAMPUP} * (1 - {_PRIOR}), 1e-6), 1 - 1e-6) AS p, {_R2} AS r2, {_SIGMA} AS s FROM t),
+y AS (SELECT stream_id, kept, {_FG} AS fg, ln(1 - p) + ln(0.5) AS bg FROM x)"""
+
+
+@_query(f"WITH {_T}, {_RAMPED} SELECT stream_id, round(coalesce(-avg(greatest(fg, bg) + ln(1 + exp(-abs(fg - bg)))) FILTER (WHERE kept), 0), {DIGITS}) AS loss FROM y GROUP BY stream_id")
+def mixture_nll_ramped(spark, sf_dir):
+    rows = mixture.mixture_loss(tracers(spark, sf_dir), ["stream_id"], mixture.log_likelihood(*_mixture_columns(), 3, RAMPUP), F.expr(_MASK))
+    return rows.withColumn("loss", F.round("loss", DIGITS))
+
+
+#: Epochs of the schedules, which go round with idx.
+EPOCHS = 20
+
+
+@_query(f"WITH {_T} SELECT stream_id, idx, idx % {EPOCHS} AS epoch, round(0.5 * power(0.1 / 0.5, (idx % {EPOCHS}) / {EPOCHS - 1}), {DIGITS}) AS sigma FROM t")
 def sigma_ceiling(spark, sf_dir):
-    return spark.range(20).select(F.col("id").alias("epoch"), *_rounded(("sigma", mixture.sigma_ceiling_column(F.col("id"), 20))))
+    epoch = F.col("idx") % EPOCHS
+    return tracers(spark, sf_dir).select("stream_id", "idx", epoch.alias("epoch"), *_rounded(("sigma", mixture.sigma_ceiling_column(epoch, EPOCHS))))
 
 
-@_query(f"SELECT epoch, round(least(1.0, epoch / (0.3 * 19)), {DIGITS})::DOUBLE AS ramp FROM range(20) r(epoch)")
+@_query(f"WITH {_T} SELECT stream_id, idx, idx % {EPOCHS} AS epoch, round(least(1.0, (idx % {EPOCHS}) / (0.3 * {EPOCHS - 1})), {DIGITS})::DOUBLE AS ramp FROM t")
 def membership_rampup(spark, sf_dir):
-    return spark.range(20).select(F.col("id").alias("epoch"), *_rounded(("ramp", mixture.membership_rampup_column(F.col("id"), 20))))
+    epoch = F.col("idx") % EPOCHS
+    return tracers(spark, sf_dir).select("stream_id", "idx", epoch.alias("epoch"), *_rounded(("ramp", mixture.membership_rampup_column(epoch, EPOCHS))))
 
 
 @_query(f"WITH {_T} SELECT stream_id, idx, round(x, {DIGITS}) AS gamma, " + ", ".join(f"round({f}(pi() * {k} * x), {DIGITS}) AS {f}_{k}" for k in range(1, 4) for f in ("sin", "cos")) + " FROM t")
@@ -481,6 +501,31 @@ for _name, _method in _SPREAD.items():
     QUERIES[f"{_name}_spread"], ORACLE_SQL[f"{_name}_spread"] = _spread(_name, _method), ORACLE_SQL[_name]
 
 
+# -- SQL functions and table functions ----------------------------------------------------------------------------
+
+
+def _sql_view(spark: SparkSession, sf_dir: str) -> str:
+    sql.register(spark, S)
+    name = "curve_points_" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
+    tracers(spark, sf_dir).createOrReplaceTempView(name)
+    return name
+
+
+@_query(_walk_sql("aligned"))
+def sql_walk(spark, sf_dir):
+    return spark.sql(f"SELECT stream_id, idx, ord FROM walk_order(TABLE({_sql_view(spark, sf_dir)}) PARTITION BY (stream_id), 'aligned', {SCALE}D) WHERE ord IS NOT NULL")
+
+
+@_query(_pairs_sql(*((k, _metric(k, "a", "b", SCALE)) for k in _METRICS), ("cosine", " + ".join(f"{x} * {y}" for x, y in zip(_unit([f"a.{c}" for c in S.v]), _unit([f"b.{c}" for c in S.v]), strict=True)))))
+def sql_metrics(spark, sf_dir):
+    v = _sql_view(spark, sf_dir)
+    q, w = (lambda t, names: "array(" + ", ".join(f"{t}.{c}" for c in names) + ")"), f"{SCALE}D"
+    arguments = f"{q('a', S.q)}, {q('a', S.v)}, {q('b', S.q)}, {q('b', S.v)}, {w}"
+    metrics = ", ".join(f"round(metric_{k}({arguments}), {DIGITS}) AS {k}" for k in _METRICS)
+    return spark.sql(f"""WITH a AS (SELECT stream_id, p.* FROM (SELECT stream_id, min_by(struct({", ".join([*S.q, *S.v])}), idx) AS p FROM {v} GROUP BY stream_id))
+SELECT b.stream_id, b.idx, {metrics}, round(phase_cosine({q("a", S.v)}, {q("b", S.v)}), {DIGITS}) AS cosine FROM {v} b JOIN a ON a.stream_id <=> b.stream_id""")
+
+
 # -- models -------------------------------------------------------------------------------------------------------
 
 #: The default training and networks, with the mixture that posterior_membership needs.
@@ -488,10 +533,12 @@ _CONFIG = nn.TrainingConfig(membership=mixture.MixtureMembershipConfig())
 
 
 def _models(spark, sf_dir) -> DataFrame:
-    from arcwright.tables import stored
-
-    t = tracers(spark, sf_dir)
-    return stored(nn.train(t, walk.order(t, S, _orderer("aligned")), S, nn.PathAutoencoder(), _CONFIG), "models")
+    """The table of models, trained once for a session and a folder of tables: five queries read it."""
+    made = spark.__dict__.setdefault("_curve_models", {})
+    if sf_dir not in made:
+        t = tracers(spark, sf_dir)
+        made[sf_dir] = stored(nn.train(t, walk.order(t, S, _orderer("aligned")), S, nn.PathAutoencoder(), _CONFIG), "models")
+    return made[sf_dir]
 
 
 @_query()
