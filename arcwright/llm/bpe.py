@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from . import common as C
 from .splitting import Splitter
 
-#: Words whose encodings a worker keeps; beyond that it starts anew.
-KEEP_WORDS = 300_000
+#: Words, and bytes of words, whose encodings are kept at most, beside those of the texts at hand.
+KEEP_WORDS, KEEP_BYTES = 300_000, 32 << 20
 
 
 class Vocabulary:
@@ -33,6 +33,8 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         self.splitter = Splitter(path)
         raw, model = self.splitter.bytes_of, self.splitter.spec["model"]
+        if any(model.get(k) for k in ("ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+            raise ValueError("models that ignore merges, fall back to bytes, or mark parts of words aren't known")
         decode = lambda s: bytes(raw[c] for c in s)
         self.id = {decode(t): i for t, i in model["vocab"].items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -107,18 +109,21 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         splitter = self.vocabulary.splitter
         parts = [[s if isinstance(s, int) else splitter.split(s) for s in splitter.segments(t)] if t else [] for t in texts]
-        if len(self.known) > KEEP_WORDS:
+        if len(self.known) > KEEP_WORDS or self.held > KEEP_BYTES:
             self.known.clear()
+            self.held = 0
         known, new = self.known, set()
         for part in parts:
             for p in part:
                 if not isinstance(p, int):
                     new.update(p)
         new -= known.keys()
+        self.held += 2 * sum(map(len, new))
         by_bytes = sorted((w.encode(), w) for w in new)
         for (_, w), ids in zip(by_bytes, self.vocabulary.encode([b for b, _ in by_bytes]), strict=True):
             known[w] = np.array(ids, "<u4").tobytes()

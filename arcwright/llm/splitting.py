@@ -66,6 +66,8 @@ class Splitter:
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         own = _word_pattern(self.spec)
+        if self.spec["model"].get("dropout") or any(t.get(k) for t in self.spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("vocabularies with dropout, or with added tokens that are single words, stripped or normalized, aren't known")
         self.words = regex.compile(own or BYTE_LEVEL_PATTERN).findall
         self.lower = own is not None
         self.late, self.unknown = re.compile("[^\x00-ͷ]").search, _unknown().search

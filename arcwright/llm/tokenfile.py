@@ -2,7 +2,8 @@
 
 Format of a dataset folder, all little-endian, one set of files per partition of the doc_id range, in order:
 ``part-NNNNNN.tokens`` ids, uint16 if every id of the vocabulary fits, else uint32;
-``part-NNNNNN.docs``   int64 doc_id of each document;
+``part-NNNNNN.docs``   int64 doc_id of each document, 0 for those without one;
+``part-NNNNNN.nulls``  int64, how many of its first documents have no doc_id;
 ``part-NNNNNN.offsets`` uint64, one more than documents: where each begins in the whole dataset, counted in ids.
 
 Documents are dealt by ranges of doc_id and sorted within them; tasks write their files under a temporary name and
@@ -10,8 +11,8 @@ move them when complete, so a task can be run again anywhere.  Each task's numbe
 each partition); prefix sums of these are the partitions' bases.  A second pass writes the offsets and reads all back.
 
 Defined cases: a null or empty text is a document of the end id alone; documents with one doc_id follow each other in
-the order of their texts; a null doc_id comes first and is written as the least int64; a very long text is one document
-like any other; an empty table gives a dataset without files and no rows; other columns aren't looked at.
+the order of their texts, and their ranges are cut by the texts' beginnings too; documents without doc_id come first;
+a very long text is one document like any other; an empty table gives a dataset without files and no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -27,14 +28,17 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 from .splitting import Splitter, byte_characters
 
-KEEP_WORDS = 300_000
+#: Words, and bytes of words, whose ids an encoder keeps at most, beside those of the texts at hand.
+KEEP_WORDS, KEEP_BYTES = 300_000, 32 << 20
 #: Documents, and ids beyond the first document's, that are read back at once.
 READ_DOCS, READ_IDS = 4096, 4 << 20
-NULL_ID = np.iinfo(np.int64).min
+#: Characters of a text by which rows of one doc_id are dealt.
+BEGINS = 64
 
 
 class LibraryEncoder:
@@ -45,14 +49,16 @@ class LibraryEncoder:
         self.model, self.chars = self.splitter.tokenizer.model, byte_characters()
         self.n = max([*self.splitter.spec["model"]["vocab"].values(), *self.splitter.special.values()]) + 1
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _word(self, word: str) -> bytes:
         mapped = "".join(map(self.chars.__getitem__, word.encode()))
         return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > KEEP_WORDS:
+        if len(self.known) > KEEP_WORDS or self.held > KEEP_BYTES:
             self.known.clear()
+            self.held = 0
         known, split, out = self.known, self.splitter.split, []
         for text in texts:
             parts = []
@@ -63,6 +69,7 @@ class LibraryEncoder:
                 found = split(s)
                 for w in set(found).difference(known):
                     known[w] = self._word(w)
+                    self.held += 2 * len(w)
                 parts.append(b"".join(map(known.__getitem__, found)))
             out.append(b"".join(parts))
         return out
@@ -134,10 +141,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         fs, path = _place(folder)
         end, name = end_id.to_bytes(4, "little"), f"part-{k:06d}"
         temporary = f"{path}/.{name}-{uuid.uuid4().hex}"
-        ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, lengths, nulls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         with fs.open_output_stream(temporary) as f:
             for batch in batches:
-                ids.append(batch.column("doc_id").fill_null(NULL_ID).to_numpy())
+                ids.append(batch.column("doc_id").fill_null(0).to_numpy())
+                nulls += batch.column("doc_id").null_count
                 for s in C.slices(batch.column("text")):
                     blobs = own.encode(batch.column("text").slice(s.first, s.n).to_pylist())
                     lengths.append(np.array([len(b) // 4 + 1 for b in blobs], np.int64))
@@ -146,12 +154,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         if len(n):
             fs.move(temporary, f"{path}/{name}.tokens")
             _put(folder, f"{name}.docs", np.concatenate(ids).astype("<i8"))
+            _put(folder, f"{name}.nulls", np.array([nulls], "<i8"))  # they sort first
             _put(folder, f"{name}.lengths", n.astype("<i8"))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "n_docs", "n_tokens"])
         else:
             fs.delete_file(temporary)
 
-    dealt = C.text_of(docs).repartitionByRange(C.tasks(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    begins = F.substring("text", 1, BEGINS)
+    dealt = C.text_of(docs).repartitionByRange(C.tasks(spark), F.col("doc_id"), begins).sortWithinPartitions("doc_id", "text")
     rows = sorted(tuple(r) for r in dealt.mapInArrow(run, "part long, n_docs long, n_tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).tolist() if rows else [0]
     return Dataset(folder, width, [(*r, b) for r, b in zip(rows, bases, strict=False)])
@@ -169,6 +179,7 @@ def read_back(spark: SparkSession, dataset: Dataset) -> DataFrame:
                 offsets = np.zeros(len(lengths) + 1, "<u8")
                 np.cumsum(lengths, out=offsets[1:])
                 _put(folder, f"{name}.offsets", offsets + np.uint64(base))
+                nulls = int(_get(folder, f"{name}.nulls", "<i8")[0])
                 docs, offsets = _get(folder, f"{name}.docs", "<i8"), _get(folder, f"{name}.offsets", "<u8").astype(np.int64)
                 for i, j, tokens in _ranges(folder, f"{name}.tokens", kind, offsets - base):
                     at = offsets[i : j + 1]
@@ -176,7 +187,7 @@ def read_back(spark: SparkSession, dataset: Dataset) -> DataFrame:
                     crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                     own = docs[i:j].astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, mask=own == NULL_ID), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
+                        [pa.array(own, mask=np.arange(i, j) < nulls), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 

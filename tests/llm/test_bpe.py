@@ -63,3 +63,14 @@ def test_unknown_kinds_of_vocabulary_are_errors(change, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps(spec), "utf-8")
     with pytest.raises(ValueError, match="pre-tokenizer"):
         bpe.Vocabulary(str(tmp_path / "v.json"))
+
+
+@pytest.mark.parametrize("change", [{"ignore_merges": True}, {"byte_fallback": True}, {"end_of_word_suffix": "</w>"}, {"dropout": 0.1}, {"lstrip": True}])
+def test_vocabularies_of_other_kinds_are_refused(tmp_path, change):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for k, v in change.items():
+        (spec["added_tokens"][0] if k == "lstrip" else spec["model"])[k] = v
+    (tmp_path / "v.json").write_text(json.dumps(spec), "utf-8")
+    with pytest.raises(ValueError, match="known"):
+        bpe.Vocabulary(str(tmp_path / "v.json"))

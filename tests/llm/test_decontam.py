@@ -1,10 +1,13 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 
+import numpy as np
 import pytest
 
+from arcwright.llm import common as C
 from arcwright.llm import decontam
 from arcwright.llm.common import read
 
@@ -79,7 +82,8 @@ def test_a_full_block_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1 << 30
-    held = sum(a.nbytes for t in m.tables for a in (t.shift, t.suffix, t.first, t.prefix)) + m.data.nbytes + sum(a.nbytes for a in m.words)
+    held = sum(a.nbytes for t, of in zip(m.tables, m.of_window, strict=True) for a in (t.shift, t.suffixes, t.whole, t.first, t.order, of)) + m.data.nbytes + sum(a.nbytes for a in m.words)
+    held += sum(x.nbytes for lists in m.lists for x in lists)
     assert held < 20 * decontam.BLOCK_BYTES + (1 << decontam.SHIFT_BITS)
 
 
@@ -88,3 +92,40 @@ def test_clashing_columns_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "here are some benchmark words", "x", "y"), (None, "clean", "p", "q")], "doc_id long, text string, _text string, items string")
     assert [tuple(r) for r in decontam.decontaminate(docs, bench).collect()] == [(None, "clean", "p", "q")]
     assert sorted(r.contaminated for r in decontam.contamination(docs, bench).collect()) == [False, True]
+
+
+def test_blocks_of_items_that_share_windows(spark, monkeypatch):
+    """Items of several blocks found in one document, also by the same words, are told together."""
+    r = random.Random(4)
+    words = ["w%d" % i for i in range(30)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([2, 12, 14])))) for i in range(60)]
+    items += [(100 + i, items[i % 7][1]) for i in range(20)] + [(200, items[0][1] + " tail"), (3, items[5][1])]
+    docs = [(i, " ".join(items[r.randrange(len(items))][1] for _ in range(r.choice([0, 1, 4])))) for i in range(80)] + [(None, items[0][1]), (7, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute(docs, items)
+    assert result(decontam.contamination(table, bench)) == want
+    monkeypatch.setattr(decontam.item_blocks, "__defaults__", (1000,))
+    monkeypatch.setattr(decontam, "ITEMS", 3)
+    assert len(list(decontam.item_blocks(bench))) > 2
+    assert result(decontam.contamination(table, bench)) == want
+    found = decontam.matches(table, bench).collect()
+    assert sorted(r.n_words for r in found) == sorted(d[1] for d in want) and all(len(r.hits) == -(-r.n_words // 8) for r in found)
+
+
+def test_very_many_items_with_one_window():
+    """20,000 items that share their only window against 2 MB of text full of it: candidates grow with places alone."""
+    window = "one two three four five six seven eight nine ten"
+    tracemalloc.start()
+    begin = time.process_time()
+    m = decontam.Matcher([(str(i), window) for i in range(20_000)], 10)
+    data = C.lower_table()[np.frombuffer((" ".join([window, "x"] * 40_000)).encode(), np.uint8)]
+    assert len(data) > 2_000_000
+    offsets = np.array([0, len(data)])
+    w = C.words(data, offsets, C.alnum_words())
+    hit = np.zeros(len(w.doc), bool)
+    (found,) = m.find(data, w, offsets, hit)
+    took, peak = time.process_time() - begin, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit.sum() == 400_000 and len(m.items(found)) == 20_000 and len(found) == 1
+    assert took < 10 and peak < 1 << 30, (took, peak)

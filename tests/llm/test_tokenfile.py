@@ -45,6 +45,30 @@ def test_odd_texts_and_files(spark, odd, library, tmp_path):
     assert sorted((str(r[0]), r[1], r[2]) for r in tokenfile.written(null, PATH, 2).collect()) == [("1", 3, 1), ("None", 0, 3)]
 
 
+def test_least_ids_and_nulls(spark, library, tmp_path):
+    rows = [(-(2**63), "least"), (None, "a b"), (5, "c"), (None, None), (2**63 - 1, "d"), (0, "zero")]
+    data = tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, 2, str(tmp_path / "d"))
+    got = [tuple(r) for r in tokenfile.read_back(spark, data).collect()]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert sorted(got, key=lambda r: r[1]) == want(library, ordered)
+
+
+def test_one_id_of_many_texts_is_dealt_to_several_files(spark, library, tmp_path):
+    rows = [(7, f"{i:05d} text") for i in range(2000)]
+    data = tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), PATH, 2, str(tmp_path / "d"))
+    assert len(data.parts) > 3
+    assert sorted((tuple(r) for r in tokenfile.read_back(spark, data).collect()), key=lambda r: r[1]) == want(library, rows)
+
+
+def test_words_are_kept_up_to_a_bound_of_bytes(library, monkeypatch):
+    monkeypatch.setattr(tokenfile, "KEEP_BYTES", 1000)
+    e = tokenfile.LibraryEncoder(PATH)
+    for i in range(20):
+        text = " ".join(chr(97 + i) * 40 + chr(97 + j) for j in range(10))
+        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, e.known)) < 2000
+
+
 def test_random_texts(library):
     r = random.Random(5)
     pools = ["abcDEFgh THE ing", "  \n\t x", "0123456789,.;'!", "ÉÜñÇßøаБ数字😀İΣςÅ̀́", "՘Ɤ\U00010950 aA", "'s'T're'VE'm'll'd ", "<|endoftext|>"]
