@@ -8,8 +8,8 @@ entire line, is looked up among the digests of known licenses by a hash join; th
 (each license with its published titles and without, with its appendix and without), and is broadcast only if its size
 is under a bound.
 
-``oracle_sql`` states four untitled texts, the notices and the form without the additions for punctuation and copyright
-lines.  What it finds ``scan`` finds too; ``scan`` also finds the rest.
+``oracle_sql`` looks up the same digests: those of all stated texts, which Python computes by the same rules, and both
+forms of documents and lines in DuckDB's functions.
 
 Defined cases: a null or empty text has no license and no notices; a canonical form that is empty matches nothing; rows
 of the same doc_id (or of none) give one row, in which the notices of all of them count; of several known licenses
@@ -19,6 +19,7 @@ rows, and an empty known table no licenses; other columns aren't looked at.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from importlib import resources
 
@@ -166,8 +167,11 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     digests = F.broadcast(digests) if size <= BROADCAST_BYTES else digests.hint("shuffle_hash")
 
     units = F.concat(F.array("text"), F.split("text", "\n", -1))
-    forms = F.concat(F.array(F.sha2(_undated(F.col("text")), 256)), F.transform(units, lambda x: F.sha2(canonical(x), 256)))
+    digest = lambda form: F.sha2(F.nullif(form, F.lit("")), 256)
+    forms = F.concat(F.array(digest(_undated(F.col("text")))), F.transform(units, lambda x: digest(canonical(x))))
     each = text_of(docs).select("doc_id", F.posexplode_outer(forms).alias("at", "digest"))
+    if size > BROADCAST_BYTES:  # what has no form matches nothing, and mustn't meet in one task
+        each = each.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id", "at", F.rand()).cast("string"))))
     found = each.join(digests, "digest", "left").groupBy("doc_id", "license_id").agg(
         F.max((F.col("at") <= 1) & F.col("license_id").isNotNull()).alias("whole"),
         F.count(F.when((F.col("at") > 1) & F.col("license_id").isNotNull(), 1)).alias("n"),
@@ -179,24 +183,66 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
 
 
+#: OTHER_WIDE without a class within a class.
+_OTHER_FLAT = r"[\p{P}\p{Z}\x{FEFF}\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _undated_conditions() -> tuple[str, str]:
+    """UNDATED_LINE of one line, without looking ahead: what it must match, and what it mustn't."""
+    begin = r"^[^a-z0-9\n]*copyright[^a-z0-9\n\x{80}-\x{10FFFF}]+"
+    return begin + r"[a-z0-9\x{80}-\x{10FFFF}]", rf"{begin}(?:{_SENTENCE})\b"
+
+
+def _plain_forms(text: str) -> set[str]:
+    """Both canonical forms of a stated text, in Python."""
+    import regex
+
+    in_python = lambda p: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: rf"\U{int(m[1], 16):08x}", p)
+    low = text.translate(str.maketrans(_UPPER, _LOWER))
+    must, mustnt = map(in_python, _undated_conditions())
+    forms = set()
+    for undated in (False, True) if "copyright" in low else (False,):
+        out = low
+        for p in (COPYRIGHT_LINE, RESERVED_LINE):
+            out = regex.sub(in_python(p), "", out)
+        if undated:
+            out = "\n".join(x for x in out.split("\n") if not regex.search(must, x) or regex.search(mustnt, x))
+        out = regex.sub(in_python(_OTHER_FLAT), " ", out).strip(" ")
+        for a, b in [*SPELLINGS, ("https ", "http ")]:
+            out = out.replace(a, b)
+        forms.add(out)
+    return forms - {""}
+
+
 def oracle_sql() -> str:
     """DuckDB SQL for the rows of ``scan`` over the table documents and the licenses stated here."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    low = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    must, mustnt = _undated_conditions()
 
-    def form(x: str) -> str:
-        out = f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    def form(x: str, undated: bool = False) -> str:
+        out = low(x)
         for pattern in (COPYRIGHT_LINE, RESERVED_LINE):
             out = f"regexp_replace({out}, {quoted(pattern)}, '', 'g')"
-        out = f"trim(regexp_replace({out}, {quoted(OTHER)}, ' ', 'g'))"
-        for a, b in SPELLINGS:
+        if undated:
+            out = f"array_to_string(list_filter(string_split({out}, chr(10)), lambda l: NOT regexp_matches(l, {quoted(must)}) OR regexp_matches(l, {quoted(mustnt)})), chr(10))"
+        out = f"trim(regexp_replace({out}, {quoted(_OTHER_FLAT)}, ' ', 'g'))"
+        for a, b in [*SPELLINGS, ("https ", "http ")]:
             out = f"replace({out}, {quoted(a)}, {quoted(b)})"
         return out
 
-    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in [*TEXTS, *NOTICES])
+    known: dict[str, str] = {}
+    for i, text in stated_licenses():
+        for f in _plain_forms(text):
+            digest = hashlib.sha256(f.encode()).hexdigest()
+            known[digest] = min(i, known.get(digest, i))
+    rows = ", ".join(f"({quoted(d)}, {quoted(i)})" for d, i in sorted(known.items()))
     return f"""
-WITH k AS (SELECT sha256(f) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {form("text")} AS f FROM (VALUES {rows}) v(license_id, text)) WHERE f <> '' GROUP BY 1),
-u AS (SELECT doc_id, 0 AS part, text AS x FROM documents UNION ALL SELECT doc_id, 1, unnest(string_split(text, chr(10))) FROM documents),
-g AS (SELECT doc_id, part, license_id FROM (SELECT doc_id, part, sha256({form("x")}) AS digest FROM u) JOIN k USING (digest)),
-m AS (SELECT doc_id, min(license_id) FILTER (part = 0) AS license_id, count(*) FILTER (part = 1) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses FROM g GROUP BY doc_id)
+WITH k AS (SELECT * FROM (VALUES {rows}) v(digest, license_id)),
+u AS (SELECT doc_id, true AS entire, {form("text")} AS f FROM documents
+UNION ALL SELECT doc_id, true, {form("text", True)} FROM documents WHERE contains({low("text")}, 'copyright')
+UNION ALL SELECT doc_id, false, {form("x")} FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)),
+g AS (SELECT doc_id, entire, license_id FROM u JOIN k ON sha256(u.f) = k.digest WHERE f <> ''),
+m AS (SELECT doc_id, min(license_id) FILTER (entire) AS license_id, count(*) FILTER (NOT entire) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses FROM g GROUP BY doc_id)
 SELECT d.doc_id, m.license_id, coalesce(m.n, 0) AS n_notices, coalesce(m.licenses, '') AS licenses FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN m ON d.doc_id IS NOT DISTINCT FROM m.doc_id
 """

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from arcwright.llm import embedding
+from arcwright.llm import components, embedding
 from arcwright.llm.common import read
 
 
@@ -59,3 +59,19 @@ def test_odd_cases(spark):
     assert all(got[i] == (0, i, True) for i in (1, 2, 3, 4, 5, 6, 10, 11)) and got[None] == (0, None, True)
     assert embedding.links(df.limit(0)).collect() == []
     assert embedding.links(df.where("vec_id < 4")).count() == 3
+
+
+def test_components_in_the_cluster(spark, monkeypatch):
+    monkeypatch.setattr(components.connected, "__defaults__", (0,))
+    rows = clustered(300, 4, 6)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert result(embedding.links(df, cell=64, block=32)) == brute(rows)
+
+
+def test_one_vector_many_times(spark):
+    """Its rows stay where they are: none of them is dealt by the vector."""
+    n = 100_000
+    df = spark.range(n).selectExpr("id as vec_id", "array(1.0D, 2.0D, 3.0D) as embedding").unionByName(spark.createDataFrame([(n, [1.0, 2.0, 3.01]), (n + 1, [-1.0, 0.0, 0.0])], "vec_id long, embedding array<double>"))
+    got = embedding.links(df)
+    assert got.where(f"n_links = {n} and component_id = 0 and kept = (vec_id = 0)").count() == n + 1
+    assert [tuple(r) for r in got.where("n_links = 0").collect()] == [(n + 1, 0, n + 1, True)]

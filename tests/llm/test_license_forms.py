@@ -1,8 +1,11 @@
 """Whole texts in the forms in which they are published."""
 
-import hashlib
 import re
 from importlib import resources
+from pathlib import Path
+
+import duckdb
+import pyarrow as pa
 
 from arcwright.llm import licenses
 
@@ -42,5 +45,21 @@ def test_each_form_has_one_license(spark):
     assert len({r.form for r in forms}) == len(forms)
 
 
-def test_sql_is_as_it_was():
-    assert hashlib.sha256(licenses.oracle_sql().encode()).hexdigest() == "b1caacb7c551853c2ecbfaaee98960b85d7f8d01e175f23e01805ec6b14b4dad"
+def test_sql_and_scan_name_the_same_files(spark):
+    """All stated texts, and published files as they lie on this machine, through both."""
+    found = [p for root in ("/opt", "/usr/share") for p in sorted(Path(root).rglob("*")) if re.match(r"(?i)(licen[sc]e|copying|copyright|notice)", p.name) and p.is_file() and p.stat().st_size < 200_000]
+    texts = {p.read_bytes().decode("utf-8", "replace").replace("\r", "") for p in found[:1500]} | {t for _, t in licenses.stated_licenses()}
+    rows = list(enumerate(sorted(texts)))
+    got = sorted((tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id", "license_id", "n_notices", "licenses").collect()))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    want = sorted(con.execute(licenses.oracle_sql()).fetchall())
+    assert got == want
+    assert sum(r[1] is not None for r in got) > 200
+
+
+def test_a_shuffled_table_of_licenses_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, licenses.TEXTS[2][1]), (2, "\n\n\n"), (3, None), (4, "x\n\nReleased under the MIT License.\n\n"), (None, "")], "doc_id long, text string")
+    plain = sorted(map(repr, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_BYTES", 0)
+    assert sorted(map(repr, licenses.scan(docs).collect())) == plain and len(plain) == 5

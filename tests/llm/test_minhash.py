@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from arcwright.llm import minhash
+from arcwright.llm import components, minhash
 from arcwright.llm.common import read
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,3 +116,18 @@ def test_elements_are_told_apart_by_both_lanes():
     assert number[0] == number[3] != number[1] and number[2] == number[4] and sorted(count.tolist()) == [1, 2, 2]
     sets = [np.array([[1, 2, 3], [9, 9, 9]], np.uint64), np.array([[1, 2, 3], [8, 8, 8]], np.uint64), np.array([[1, 2, 3], [9, 9, 9]], np.uint64)]
     assert minhash.linked(sets, 80).tolist() == [0, 1, 0]
+
+
+def test_components_in_the_cluster(spark, monkeypatch):
+    monkeypatch.setattr(components.connected, "__defaults__", (0,))
+    rows = family(60, seed=3) + [(100 + i, t) for i, t in family(20, seed=4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(minhash.groups(df, percent=85, block=16)) == brute(rows, 85)
+
+
+def test_one_text_many_times(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("id as doc_id", "'one two three four five six seven' as text").unionByName(spark.createDataFrame([(n, "other words that nobody else has here")], "doc_id long, text string"))
+    got = minhash.groups(df)
+    assert got.where("component_id = 0 and n_shingles = 3 and kept = (doc_id = 0)").count() == n
+    assert got.where("kept").count() == 2
