@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from arcwright.functions.metrics import lengths
 from arcwright.functions.units import Quantity
 from arcwright.spec import Spec
-from arcwright.tables import stored
+from arcwright.tables import discard, scratch, stored
 
 from . import backbone as spread
 from .keyed import key_of, stream_of
@@ -170,6 +170,7 @@ class MSTOrderer(Orderer):
         sizes = stored(df.groupBy(key_of(F.col(spec.stream)).alias("_k")).agg((F.count("*") > self.at_once).alias("_large")), "curve-sizes")
         kinds = {r[0] for r in sizes.select("_large").distinct().collect()}
         if len(kinds) < 2:
+            discard(sizes)
             return (None, df) if kinds == {True} else (df, None)
         own = df.withColumn("_k", key_of(F.col(spec.stream))).join(sizes, "_k")
         return tuple(own.where(F.col("_large") == large).select(df.columns) for large in (False, True))
@@ -237,11 +238,12 @@ class MSTOrderer(Orderer):
             return placed(pdf, spec, order.tolist()).assign(vertex=placed(pdf, spec, path.tolist())["ord"])
 
         def spread_out(rows: DataFrame) -> DataFrame:
-            own = spread.keyed_links(self.links(rows, spec) if links is None else links, spec)
-            points = spread.keyed_points(rows, spec)
-            own = own if links is None else own.join(points.select("_k").distinct(), "_k", "left_semi")
-            found = spread.settle(points, len(spec.q), own, on_disconnected=self.on_disconnected, sigma=self.edge_clip_sigma, rounds=self.edge_clip_max_iters, orient=self.orient_by_velocity, least_ratio=MIN_RATIO, small_share=SMALL_SHARE)
-            return self._placed(found, df, spec, F.col("_i").alias(spec.idx), "ord", "vertex")
+            with scratch(df.sparkSession) as keep:
+                own = spread.keyed_links(self.links(rows, spec) if links is None else links, spec)
+                points = spread.keyed_points(rows, spec)
+                own = own if links is None else own.join(points.select("_k").distinct(), "_k", "left_semi")
+                found = spread.settle(points, len(spec.q), own, on_disconnected=self.on_disconnected, sigma=self.edge_clip_sigma, rounds=self.edge_clip_max_iters, orient=self.orient_by_velocity, least_ratio=MIN_RATIO, small_share=SMALL_SHARE)
+                return keep(self._placed(found, df, spec, F.col("_i").alias(spec.idx), "ord", "vertex"), "mst-settled")
 
         per_curve = lambda rows: self._per_curve(rows, spec, finish, ordered_schema(df, spec) + ", vertex long", links)
         return self._both(df, spec, per_curve, spread_out)
@@ -266,8 +268,9 @@ class MSTOrderer(Orderer):
             return pd.DataFrame({spec.stream: pdf[spec.stream].iloc[np.zeros(len(tree), int)].reset_index(drop=True), "a": ids[a[tree]].astype("int64"), "b": ids[b[tree]].astype("int64"), "weight": w[tree].astype(float)})
 
         def spread_out(rows: DataFrame) -> DataFrame:
-            found = spread.forest(spread.keyed_links(self.links(rows, spec), spec))
-            return self._placed(found, df, spec, F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("w").alias("weight"))
+            with scratch(df.sparkSession) as keep:
+                found = spread.forest(spread.keyed_links(self.links(rows, spec), spec))
+                return keep(self._placed(found, df, spec, F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("w").alias("weight")), "mst-tree")
 
         kind = df.schema[spec.stream].dataType.simpleString()
         return self._both(df, spec, lambda rows: self._per_curve(rows, spec, finish, f"`{spec.stream}` {kind}, a long, b long, weight double"), spread_out)
@@ -279,9 +282,10 @@ class MSTOrderer(Orderer):
             return pd.DataFrame({spec.stream: pdf[spec.stream], spec.idx: pdf[spec.idx], "component": pdf[spec.idx].to_numpy()[components(len(q), a, b)]})
 
         def spread_out(rows: DataFrame) -> DataFrame:
-            own = spread.keyed_links(self.links(rows, spec) if links is None else links, spec)
-            found = spread.labels(spread.keyed_points(rows, spec), own, "a", "b")
-            return self._placed(found, df, spec, F.col("_i").alias(spec.idx), F.col("c").alias("component"))
+            with scratch(df.sparkSession) as keep:
+                own = spread.keyed_links(self.links(rows, spec) if links is None else links, spec)
+                found = spread.labels(spread.keyed_points(rows, spec), own, "a", "b")
+                return keep(self._placed(found, df, spec, F.col("_i").alias(spec.idx), F.col("c").alias("component")), "mst-components")
 
         kind = df.schema[spec.stream].dataType.simpleString()
         return self._both(df, spec, lambda rows: self._per_curve(rows, spec, finish, f"`{spec.stream}` {kind}, `{spec.idx}` long, component long", links), spread_out)

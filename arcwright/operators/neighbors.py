@@ -214,12 +214,15 @@ def _lists(n: np.ndarray, d: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.ListArray.from_arrays(edges, pa.array(n[real], pa.int64())), pa.ListArray.from_arrays(edges, pa.array(d[real]))
 
 
-def _trees(rows: DataFrame, names: list[str], leaf: int) -> dict[str, Tree]:
+def _trees(rows: DataFrame, names: list[str], leaf: int | None) -> dict[str, Tree]:
     """Trees of the curves of more rows than a leaf takes, by a sample that the bound of leaves bounds."""
-    large = rows.groupBy("_k").count().where(F.col("count") > leaf).collect()
-    depth = {r["_k"]: max(1, int(np.ceil(np.log2(r["count"] / leaf)))) for r in large}
-    if not depth:
+    sizes = rows.groupBy("_k").count()
+    total, most = sizes.agg(F.sum("count"), F.max("count")).first()
+    leaf = leaf or min(LEAF, max(LEAST_LEAF, (total or 0) // (4 * tasks(rows))))
+    if (most or 0) <= leaf:
         return {}
+    large = sizes.where(F.col("count") > leaf).collect()
+    depth = {r["_k"]: max(1, int(np.ceil(np.log2(r["count"] / leaf)))) for r in large}
     spark = rows.sparkSession
     share = spark.createDataFrame([(r["_k"], int(2**32 * min(1.0, SAMPLED * 2 ** depth[r["_k"]] / r["count"]))) for r in large], "_k string, _share long")
     sample = rows.join(F.broadcast(share), "_k").where(F.pmod(F.xxhash64("_i", *names), F.lit(2**32)) < F.col("_share")).select("_k", *names).toPandas()
@@ -233,7 +236,6 @@ def search(rows: DataFrame, names: list[str], k: int, leaf: int | None = None) -
     rows: _k, _i, components, _role: 0 is only asked about, 1 only asks, 2 does both and isn't its own neighbour.  No more
     than a few asked rows have one position."""
     spark, kinds = rows.sparkSession, ", ".join(f"{n} double" for n in names)
-    leaf = leaf or min(LEAF, max(LEAST_LEAF, rows.count() // (4 * tasks(rows))))
     trees = _trees(rows, names, leaf)
     if trees:
         sent = spark.sparkContext.broadcast(trees)
@@ -309,9 +311,10 @@ def finite(df: DataFrame, stream: str, idx: str, q, names: list[str]) -> DataFra
 def _crowded(points: DataFrame, names: list[str], k: int) -> tuple[DataFrame, DataFrame | None]:
     """The points that can be neighbours, and the others with theirs (_k, _i, _near), if more than k + 1 share a position."""
     place = F.struct("_k", *names)
-    crowds = stored(points.groupBy(place.alias("_p")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1), "neighbour-crowds")
+    crowds = points.groupBy(place.alias("_p")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
     if crowds.isEmpty():
         return points, None
+    crowds = stored(crowds, "neighbour-crowds")
     total = points.count()
     rows = points.withColumn("_p", place)
     inside = stored(join_common(rows, crowds, "_p", total), "neighbour-crowd")

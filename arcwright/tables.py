@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._path = path
+    if scopes := getattr(df.sparkSession, "_table_scopes", None):
+        scopes[-1].append(path)
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables that are stored within, but those that the yielded function stores, when it ends: what is left
+    of a step of many tables is its result."""
+    scopes = spark.__dict__.setdefault("_table_scopes", [])
+    own: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        own.remove(out._path)
+        if len(scopes) > 1:
+            scopes[-2].append(out._path)
+        return out
+
+    scopes.append(own)
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        for path in own:
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

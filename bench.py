@@ -5,8 +5,10 @@ import os
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from arcwright import nn
+from arcwright.operators.neighbors import knn
 from arcwright.operators.walk import order
 from arcwright.plans.queries import QUERIES
 from arcwright.spec import Spec
@@ -25,6 +27,20 @@ def training(spark):
     return nn.train(points, order(points, Spec()), Spec(), config=config)
 
 
+#: Points of which half lie in a millionth of the extent: neighbours over leaves.
+DENSE_POINTS = 80_000
+
+
+def dense_neighbours(spark):
+    at = lambda seed: F.rand(seed) * F.when(F.col("id") % 2 == 0, 1e-6).otherwise(1.0)
+    points = spark.range(DENSE_POINTS).select(F.lit("s").alias("stream_id"), F.col("id").alias("idx"), at(1).alias("x"), at(2).alias("y"), F.lit(1.0).alias("vx"), F.lit(1.0).alias("vy"))
+    return knn(points, Spec(), 10)
+
+
+#: What isn't a registered query.
+OTHERS = {"train_50_points": training, "knn_80000_half_dense": dense_neighbours}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -32,9 +48,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
-    for name in [*NAMES, "train_50_points"]:
+    for name in [*NAMES, *OTHERS]:
         begin = time.perf_counter()
-        (training(spark) if name == "train_50_points" else QUERIES[name](spark, sf_dir)).write.format("noop").mode("overwrite").save()
+        (OTHERS[name](spark) if name in OTHERS else QUERIES[name](spark, sf_dir)).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - begin, 3)
     print(json.dumps({"metric": "curve_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1]}))
     spark.stop()

@@ -1,5 +1,7 @@
 """Trees, components and backbones by joins against those of a task."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from arcwright.operators import backbone, graphs, mst
 from arcwright.operators.ranges import Ranges, medians
 from arcwright.spec import Spec
+from arcwright.tables import fresh_path
 
 S = Spec()
 
@@ -122,3 +125,11 @@ def test_ranges_against_lists(spark):
     assert got.count() == len(rows)
     want = {k: float(np.median([t[1] for t in v])) for k, v in by.items()}
     assert {m._k: m.mid for m in medians(df, "_k", "x", "mid").collect()} == want
+
+
+def test_tables_of_a_step_are_deleted(spark):
+    here = Path(fresh_path(spark, "x").removeprefix("file://")).parent
+    before = set(here.iterdir()) if here.exists() else set()
+    settled = mst.MSTOrderer(k=6, at_once=0, on_disconnected="largest").settle(_curves(spark), S)
+    assert settled.count() == 253
+    assert [p.name.rsplit("-", 1)[0] for p in set(here.iterdir()) - before] == ["mst-settled"]
