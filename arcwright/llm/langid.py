@@ -7,7 +7,8 @@ filter's tap are both linear, a trained network is applied by tables: a filter's
 table's row for the byte there.
 
 Training takes a bounded sample of labelled rows, by a hash of the row, the same number of each language at most, and
-all windows of their texts.  Every labelled language is learned.
+all windows of their texts, or a bounded sample of these, by a hash, if they are very many.  Tasks cut the texts into
+windows; only windows reach the driver, which trains.  Every labelled language is learned.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; null languages aren't learned from; if
 nothing can be learned every text is ``und``; a row with a null doc_id gets its language, isn't held out and isn't
@@ -18,6 +19,7 @@ empty table gives no rows; other columns aren't looked at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,6 +34,8 @@ from . import common as C
 #: Labelled rows of each language that training takes at most, and of all together if languages are very many (one row
 #: of each language it takes in any case).
 SAMPLE, SAMPLE_ALL = 600, 20_000
+#: Windows of all sampled rows that training takes at most.
+SAMPLE_WINDOWS = 400_000
 LENGTH, WIDTHS, FILTERS, EMBEDDING = 128, (2, 3, 4), 24, 12
 
 
@@ -103,12 +107,18 @@ def network(names: list[str], p: list[np.ndarray]) -> Network:
     return Network(names, p[0], p[1 : 1 + f], *p[1 + f :])
 
 
-def train(texts: list[str], languages: list[str], epochs: int = 2, batch: int = 64, rate: float = 2e-3, seed: int = 7) -> Network:
-    """Cross-entropy by Adam over all windows of the texts."""
+def train(texts: list[str], languages: list[str], **options) -> Network:
+    """A network from all windows of the texts."""
+    xs = [windows(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    return train_windows(np.concatenate(xs), np.repeat(languages, [len(w) for w in xs]).tolist(), **options)
+
+
+def train_windows(x: np.ndarray, languages: list[str], epochs: int = 2, batch: int = 64, rate: float = 2e-3, seed: int = 7) -> Network:
+    """Cross-entropy by Adam over the windows, each with its language."""
     r = np.random.default_rng(seed)
     names = sorted(set(languages))
-    xs = [windows(np.frombuffer(t.encode(), np.uint8)) for t in texts]
-    x, y = np.concatenate(xs), np.repeat([names.index(lang) for lang in languages], [len(w) for w in xs])
+    number = {n: i for i, n in enumerate(names)}
+    y = np.array([number[lang] for lang in languages])
     p = [a.astype(np.float32) for a in start(names, r)]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     # few windows are gone through more often, so that there are some hundred steps in any case
@@ -177,9 +187,24 @@ def sample(docs: DataFrame, rows: str, most: int = SAMPLE, most_of_all: int = SA
     return known.join(F.broadcast(chosen), ["lang", "doc_id", "h"]).dropDuplicates(["lang", "doc_id", "h"]).select("text", F.col("lang").alias("label"))
 
 
-def fit(docs: DataFrame, rows: str = "true") -> Network | None:
-    got = sorted((r.label, r.text) for r in sample(docs, rows).collect())
-    return train([t for _, t in got], [lang for lang, _ in got]) if got else None
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, text (a digest), place and bytes of each window."""
+    for batch in batches:
+        for s in C.slices(batch.column("text")):
+            for i in range(s.n):
+                own = s.data[s.offsets[i] : s.offsets[i + 1]]
+                w = windows(own)
+                digest = hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest()
+                label = batch.column("label").slice(s.first + i, 1).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(label * len(w), pa.string()), pa.array([digest] * len(w)), pa.array(np.arange(len(w))), pa.array([x.tobytes() for x in w], pa.binary())], ["label", "digest", "place", "bytes"])
+
+
+def fit(docs: DataFrame, rows: str = "true", most: int = SAMPLE_WINDOWS) -> Network | None:
+    cut = C.stored(sample(docs, rows).mapInArrow(_cut, "label string, digest string, place long, bytes binary"), "language-windows")
+    key = F.xxhash64("digest", "place")
+    chosen = cut if cut.count() <= most else cut.orderBy(key, "digest", "place", "label").limit(most)
+    got = sorted((r.label, r.digest, r.place, bytes(r.bytes)) for r in chosen.collect())
+    return train_windows(np.frombuffer(b"".join(r[3] for r in got), np.uint8).reshape(-1, LENGTH), [r[0] for r in got]) if got else None
 
 
 def languages(docs: DataFrame, held_out: str) -> DataFrame:

@@ -73,3 +73,18 @@ def test_gradients_against_differences():
             down, _ = langid.gradients(langid.network(names, p), x, y)
             a.flat[i] = old
             assert abs((up - down) / (2 * step) - g.flat[i]) < 1e-5
+
+
+def test_windows_are_bounded(spark):
+    """Very long sampled texts: as many windows as stated, of all places, still tell the languages apart."""
+    docs = spark.createDataFrame([(i, ("abc abd " if i % 2 else "xyz xyy ") * 4000, "ab"[i % 2]) for i in range(12)], "doc_id long, text string, lang string")
+    seen = []
+    plain = langid.train_windows
+    langid.train_windows = lambda x, y: seen.append((x, y)) or plain(x, y)
+    try:
+        net = langid.fit(docs, most=500)
+    finally:
+        langid.train_windows = plain
+    assert seen[0][0].shape == (500, langid.LENGTH) and set(seen[0][1]) == {"a", "b"}
+    best, _ = langid.Applied(net).predict(np.frombuffer(b"xyz xyy " * 20 + b"abc abd " * 20, np.uint8), np.array([0, 160, 320]))
+    assert [net.languages[k] for k in best] == ["a", "b"]
