@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
 from functools import reduce
 from operator import mul
 
@@ -124,6 +123,8 @@ def fourier_features(gamma: Column, n: int = 8) -> list[Column]:
 #: Powers of a series, and bins on each side of a row's own that can matter: of half a bandwidth each, so that what is left
 #: out of a kernel is under 1e-13 by the series and under 1e-17 by the distance.
 TERMS, REACH = 14, 18
+#: Bins whose moments one task moves: what they add to the bins around them is summed before it is dealt.
+CHUNK = 256
 
 
 def _translations() -> np.ndarray:
@@ -161,14 +162,19 @@ def inverse_density_weights(df: DataFrame, spec: Spec, bandwidth: float = 0.02)
     bins = rows.groupBy("_s", "_bin").agg(*moments)
     names = [f"_m{k}" for k in range(TERMS)]
 
-    def moved(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = _translations()
-        for pdf in parts:
-            own = pdf[names].to_numpy(float)
-            for offset in range(-REACH, REACH + 1):
-                yield pd.DataFrame({"_s": pdf["_s"], "_bin": pdf["_bin"] + offset, **dict(zip(names, (own @ table[offset + REACH]).T, strict=True))})
-
-    spread = bins.mapInPandas(moved, f"_s {kind}, _bin long, " + ", ".join(f"{n} double" for n in names))
+    def moved(own: pd.DataFrame) -> pd.DataFrame:
+        """What the bins of a chunk add to those of the chunk and around it."""
+        first = int(own["_bin"].min())
+        at = own["_bin"].to_numpy() - first
+        out = np.zeros((int(at.max()) + 1 + 2 * REACH, TERMS))
+        table, moments = _translations(), own[names].to_numpy(float)
+        for offset in range(-REACH, REACH + 1):
+            out[at + REACH + offset] += moments @ table[offset + REACH]  # bins are distinct
+        some = np.flatnonzero(out.any(axis=1))
+        return pd.DataFrame({"_s": own["_s"].iloc[np.zeros(len(some), int)].reset_index(drop=True), "_bin": some + first - REACH, **dict(zip(names, out[some].T, strict=True))})
+
+    chunks = bins.withColumn("_chunk", F.floor(F.col("_bin") / CHUNK))
+    spread = chunks.groupBy("_s", "_chunk").applyInPandas(moved, f"_s {kind}, _bin long, " + ", ".join(f"{n} double" for n in names))
     series = spread.groupBy("_s", "_bin").agg(*(F.sum(n).alias(n) for n in names)).withColumnsRenamed({"_s": "_t", "_bin": "_to"})
     totals = bins.groupBy("_s").agg(F.sum("_m0").alias("_n")).withColumnRenamed("_s", "_u")
     total = F.lit(0.0)
