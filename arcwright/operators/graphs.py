@@ -135,7 +135,7 @@ def rooted(walked: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def distances(hung: DataFrame) -> DataFrame:
-    """_k, child, down, up, d: the distance of each node from the root, but the root.
+    """_k, child, down, up, d: the distance of each node from the root, but the root, over a power of two of its stream's.
 
     Sums over the walk, down with the weight and back without it, in decimals of weights over a power of two of the
     largest, so that what comes back is exactly what went, and equal sums are equal."""
@@ -144,6 +144,6 @@ def distances(hung: DataFrame) -> DataFrame:
     e = join_common(hung, top.select("_k", unit.alias("_unit"), "n"), "_k", hung.count())
     e = e.withColumn("_w", (F.col("w") / F.col("_unit")).cast("decimal(38,25)"))
     step = F.explode(F.array(F.struct(F.col("down").alias("at"), F.col("_w").alias("by"), F.lit(True).alias("goes")), F.struct(F.col("up").alias("at"), (-F.col("_w")).alias("by"), F.lit(False).alias("goes"))))
-    steps = e.select("_k", "child", "down", "up", "_unit", step.alias("s")).select("_k", "child", "down", "up", "_unit", "s.*")
+    steps = e.select("_k", "child", "down", "up", step.alias("s")).select("_k", "child", "down", "up", "s.*")
     summed = Ranges(steps, "_k", ["at"]).running({"d": F.col("by")}).rows().where("goes")
-    return summed.select("_k", "child", "down", "up", F.col("d"), "_unit")
+    return summed.select("_k", "child", "down", "up", "d")
