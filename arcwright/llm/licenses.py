@@ -115,6 +115,8 @@ OTHER_WIDE = r"[\p{P}\p{Z}\x{FEFF}[^a-z0-9\x{80}-\x{10FFFF}]]+"
 _SENTENCE = "also|and|are|disclaimers?|doctrines?|holders?|if|interests?|laws?|licenses?|like|lines?|notices?|of|on|or|owners?|ownership|patents?|permissions?|protection|resulting|rights?|statements?|the library|the software|those|treaty"
 UNDATED_LINE = rf"(?m)^[^a-z0-9\n]*copyright[^a-z0-9\n\x{{80}}-\x{{10FFFF}}]++(?!(?:{_SENTENCE})\b)[^\n]+$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The digest of an empty form, which matches nothing.
+EMPTY = hashlib.sha256(b"").hexdigest()
 #: A known table over this size is joined by shuffling digests instead.
 BROADCAST_BYTES = 16 << 20
 
@@ -167,8 +169,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     digests = F.broadcast(digests) if size <= BROADCAST_BYTES else digests.hint("shuffle_hash")
 
     units = F.concat(F.array("text"), F.split("text", "\n", -1))
-    digest = lambda form: F.sha2(F.nullif(form, F.lit("")), 256)
-    forms = F.concat(F.array(digest(_undated(F.col("text")))), F.transform(units, lambda x: digest(canonical(x))))
+    forms = F.concat(F.array(F.sha2(_undated(F.col("text")), 256)), F.transform(units, lambda x: F.sha2(canonical(x), 256)))
+    forms = F.transform(forms, lambda d: F.when(d != EMPTY, d))  # of digests: a form isn't made twice
     each = text_of(docs).select("doc_id", F.posexplode_outer(forms).alias("at", "digest"))
     if size > BROADCAST_BYTES:  # what has no form matches nothing, and mustn't meet in one task
         each = each.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id", "at", F.rand()).cast("string"))))
