@@ -74,8 +74,8 @@ def _shrunk(of: DataFrame, name: str) -> DataFrame:
     over = F.sum(F.pow(F.col("bad") - F.col("n") * F.col("up"), 2) - F.col("n") * spread)
     rho = F.coalesce(over / F.nullif(F.sum(F.col("n") * (F.col("n") - 1) * spread), F.lit(0.0)), F.lit(LEAST_RHO))
     rho = F.greatest(F.lit(LEAST_RHO), F.least(F.lit(MOST_RHO), rho))
-    weight = of.agg((1 / rho - 1).alias("weight"))
-    out = of.crossJoin(F.broadcast(weight))  # one row
+    weight = of.agg((1 / rho - 1).alias("weight")).first()[0]
+    out = of.withColumn("weight", F.lit(weight))
     return C.stored(out.withColumn("rate", (F.col("weight") * F.col("up") + F.col("bad")) / (F.col("weight") + F.col("n"))), name)
 
 
@@ -85,14 +85,14 @@ def reputations(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES, sigmas: fl
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("below")]
     domains = C.stored(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
     of_suffix = C.stored(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("below")), "suffixes")
-    top = of_suffix.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("up"))
+    top = of_suffix.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("up")).first()[0]
     up = lambda t, key: t.select(key, F.col("rate").alias("up"), F.col("below").alias("n"))
 
     def under(rows: DataFrame, parents: DataFrame, key: str, name: str) -> DataFrame:
         named = rows.withColumnsRenamed({"n": "own"})
         return _shrunk(join_heavy(named, up(parents, key), key, rows.count()).withColumnRenamed("own", "n"), name)
 
-    ranked = _shrunk(of_suffix.crossJoin(F.broadcast(top)), "suffix-rates")
+    ranked = _shrunk(of_suffix.withColumn("up", F.lit(top)), "suffix-rates")
     ranked = under(domains, ranked, "suffix", "domain-rates")
     ranked = under(hosts, ranked, "domain", "host-rates")
     good = F.col("weight") * (1 - F.col("up")) + F.col("n") - F.col("bad")
