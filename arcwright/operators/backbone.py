@@ -1,7 +1,9 @@
 """Backbones of curves that are larger than a task: the tree, its pieces, its clipping, its longest path and the order
 along it, all of it joins and aggregates.  Results are those of ``mst.backbone``, which takes a curve in a task.
 
-Tables have _k (the stream's key) and _i (idx); points also have _q0, .. and _v0, ..
+Tables have _k (the stream's key) and _i (idx); points also have _q0, .. and _v0, ..  Tables of a row for each curve are
+joined by the key with what has many rows for it; such joins are left to Spark, which broadcasts small tables and splits
+the partitions of common keys.
 """
 
 from __future__ import annotations
@@ -90,9 +92,9 @@ def clipped(points: DataFrame, dims: int, tree: DataFrame, nodes: DataFrame, sig
     for _ in range(most):
         own = stored(_within(measured, left), "clip-links")
         mid = medians(own, "_k", "x", "mid")
-        away = own.join(F.broadcast(mid), "_k").select("_k", "lo", "hi", "x", "mid", F.abs(F.col("x") - F.col("mid")).alias("dev"))
+        away = own.join(mid, "_k").select("_k", "lo", "hi", "x", "mid", F.abs(F.col("x") - F.col("mid")).alias("dev"))
         cut = medians(away, "_k", "dev", "mad").join(mid, "_k").select("_k", (F.col("mid") + F.greatest(F.lit(sigma * 1.4826) * F.col("mad"), F.lit(math.log(least_ratio)))).alias("cut"))
-        judged = stored(own.join(F.broadcast(cut), "_k").select("_k", "lo", "hi", (F.col("x") > F.col("cut")).alias("long")), "clip-judged")
+        judged = stored(own.join(cut, "_k").select("_k", "lo", "hi", (F.col("x") > F.col("cut")).alias("long")), "clip-judged")
         touched = judged.where("long").select("_k").distinct()
         if touched.isEmpty():
             break
@@ -106,7 +108,7 @@ def clipped(points: DataFrame, dims: int, tree: DataFrame, nodes: DataFrame, sig
             break
         left = stored(_of_pieces(pieces, sizes.where("not small"), pieces.count()), "clip-nodes")
     some = left.select("_k").distinct()
-    return left.unionByName(nodes.join(F.broadcast(some), "_k", "left_anti"))
+    return left.unionByName(nodes.join(some, "_k", "left_anti"))
 
 
 def longest_path(nodes: DataFrame, tree: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ from .keyed import join_common, key_of, stream_of, tasks
 #: Points of a task at least and at most, where a curve is cut; sampled points for each leaf; points of a cell; cells that
 #: are compared at once.
 LEAST_LEAF, LEAF, SAMPLED, CELL, AT_ONCE = 4096, 1 << 18, 16, 128, 16
+#: Rows of all samples at most: beyond that leaves are larger.
+SAMPLE_ROWS = 2_000_000
 
 
 # -- within a task ------------------------------------------------------------------------------------------------
@@ -218,7 +220,9 @@ def _trees(rows: DataFrame, names: list[str], leaf: int | None) -> dict[str, Tre
     """Trees of the curves of more rows than a leaf takes, by a sample that the bound of leaves bounds."""
     sizes = rows.groupBy("_k").count()
     total, most = sizes.agg(F.sum("count"), F.max("count")).first()
-    leaf = leaf or min(LEAF, max(LEAST_LEAF, (total or 0) // (4 * tasks(rows))))
+    total = total or 0
+    most_leaf = max(LEAF, 2 * SAMPLED * total // SAMPLE_ROWS)  # a curve has up to twice as many leaves as it fills
+    leaf = leaf or min(most_leaf, max(LEAST_LEAF, total // (4 * tasks(rows))))
     if (most or 0) <= leaf:
         return {}
     large = sizes.where(F.col("count") > leaf).collect()

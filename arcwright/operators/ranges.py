@@ -82,5 +82,5 @@ def medians(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """key, name: the exact median of the values of each key (the mean of the middle two)."""
     r = Ranges(df.select(key, value), key, [value]).running({}, "_rank").rows()
     sizes = df.groupBy(key).agg(F.count("*").alias("_size"))
-    middle = r.join(F.broadcast(sizes), key).where((F.col("_rank") >= F.floor((F.col("_size") - 1) / 2)) & (F.col("_rank") <= F.floor(F.col("_size") / 2)))
+    middle = r.join(sizes, key).where((F.col("_rank") >= F.floor((F.col("_size") - 1) / 2)) & (F.col("_rank") <= F.floor(F.col("_size") / 2)))
     return middle.groupBy(key).agg(F.avg(value).alias(name))

@@ -44,6 +44,19 @@ def test_knn_against_brute_force(spark, leaf):
     assert found(table(spark, q[:1]), 5, leaf) == set()
 
 
+def test_large_and_small_curves_side_by_side(spark):
+    """Curves that are cut into leaves, one of them without a name, and one that isn't."""
+    r = np.random.default_rng(12)
+    curves = {"it's": r.normal(0, 1, (300, 2)), None: np.concatenate([r.normal(0, 1e-3, (150, 2)), r.normal(0, 1, (50, 2)), np.ones((20, 2))]), "b": r.normal(0, 1, (10, 2))}
+    df = None
+    for key, q in curves.items():
+        own = table(spark, q, stream=key)
+        df = own if df is None else df.unionByName(own)
+    rows = neighbors.knn(df.repartition(6), S, 4, 40).collect()
+    for key, q in curves.items():
+        assert {(x.idx, x.neighbor, round(x.distance, 9), x["rank"]) for x in rows if x.stream_id == key} == brute(q, 4)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_cells_against_sorting(seed):
     r = np.random.default_rng(seed)
