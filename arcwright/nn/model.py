@@ -1,4 +1,5 @@
-"""Models of curves as rows (stream, model): trained one curve to a task, applied to any table in salted groups.
+"""Models of curves as rows (stream, model): trained one curve to a task, or handed from task to task, and applied
+to any table in salted groups.
 
 A model is a pickle of numpy weights made by ``train`` in the same cluster; tables of models from elsewhere aren't to be read.
 Defined cases: a curve without visited points is an error; rows of a stream without a model give no rows.
@@ -8,7 +9,9 @@ from __future__ import annotations
 
 import pickle
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,19 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwright.functions.mixture import MixtureMembershipConfig, membership_responsibility
-from arcwright.operators.keyed import key_of, stream_of
+from arcwright.operators.keyed import by_size, key_of, stream_of
 from arcwright.operators.ranges import ranked
 from arcwright.operators.results import Curve
 from arcwright.operators.statistics import window_means
 from arcwright.operators.walk import checked
 from arcwright.spec import Spec
-from arcwright.tables import stored
+from arcwright.tables import discard, scratch, stored
 
 from .networks import FourierTrackNet, OrderingNet, TrackNet, WidthNet
-from .training import TrainingConfig, background_density, train_all
+from .training import Course, TrainingConfig, background_density
 
 #: Rows that one task encodes or decodes with one copy of a model, as planned.
 ROWS = 100_000
+#: Points that one task of training passes over, each as often as there are epochs.
+AT_ONCE = 2_000_000
 #: Partitions of training for each shuffle partition: few curves meet in one.
 TASKS = 4
 
@@ -100,34 +105,72 @@ class EncoderExternalDecoder:
     seed: int = 0
 
 
-def train(df: DataFrame, result: DataFrame, spec: Spec, model: PathAutoencoder | EncoderExternalDecoder | None = None, config: TrainingConfig | None = None) -> DataFrame:
-    """stream, model, losses: a model for each stream, from its points and their order (stream, idx, ord)."""
+def train(df: DataFrame, result: DataFrame, spec: Spec, model: PathAutoencoder | EncoderExternalDecoder | None = None, config: TrainingConfig | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """stream, model, losses: a model for each stream, from its points and their order (stream, idx, ord).
+
+    A task passes over ``at_once`` points, epochs counted, and then over no more: curves whose training needs more are
+    handed from task to task, which changes nothing in their models.  One epoch is never split."""
     model, config = model or PathAutoencoder(), config or TrainingConfig()
     kind = df.schema[spec.stream].dataType.simpleString()
     dims = len(spec.q)
-    r = result.select(F.col(spec.stream).alias("_s"), F.col(spec.idx).alias("_i"), "ord")
-    rows = spec.typed(df).join(r, F.col(spec.stream).eqNullSafe(F.col("_s")) & (F.col(spec.idx) == F.col("_i")), "left").drop("_s", "_i")
+    external = isinstance(model, EncoderExternalDecoder)
+    epochs = config.encoder.n_epochs + (0 if external else config.decoder.n_epochs + config.n_epochs_both)
+    small, large = by_size(df, spec.stream, at_once // max(1, epochs))
+    result = result if small is None or large is None else stored(result, "train-order")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def begun(pdf: pd.DataFrame) -> tuple:
         pdf, q, v = checked(pdf, spec)
         ws = np.hstack([q, v])
         mean, std = ws.mean(axis=0), ws.std(axis=0) + 1e-8
-        ws = (ws - mean) / std
         path = pdf.dropna(subset=["ord"]).sort_values("ord").index.to_numpy()
-        if isinstance(model, EncoderExternalDecoder):
+        if external:
             rng = np.random.default_rng(model.seed)
-            encoder, width = OrderingNet(2 * dims, rng, *model.encoder_size, model.gamma_range), None
-            losses = train_all(encoder, None, None, ws, path, config, rng)
-            track = model.decoder.update(encoder, ws)
+            nets = OrderingNet(2 * dims, rng, *model.encoder_size, model.gamma_range), None, None
         else:
-            encoder, track, width, rng = model.make(dims, config.membership)
-            losses = train_all(encoder, track, width, ws, path, config, rng)
-        made = {"encoder": encoder, "track": track, "width": width, "mean": mean, "std": std, "background": background_density(ws[:, :dims])}
-        return pd.DataFrame({spec.stream: [pdf[spec.stream].iloc[0]], "model": [pickle.dumps(made)], "losses": [losses]})
+            *nets, rng = model.make(dims, config.membership)
+        return Course(*nets, (ws - mean) / std, path, config, rng), mean, std
+
+    def ended(stream, course: Course, mean: np.ndarray, std: np.ndarray) -> pd.DataFrame:
+        track = model.decoder.update(course.encoder, course.ws) if external else course.track
+        made = {"encoder": course.encoder, "track": track, "width": course.width, "mean": mean, "std": std, "background": background_density(course.ws[:, :dims])}
+        return pd.DataFrame({spec.stream: [stream], "model": [pickle.dumps(made)], "losses": [course.losses]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        course, *scale = begun(pdf)
+        course.advance()
+        return ended(pdf[spec.stream].iloc[0], course, *scale)
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({spec.stream: [pdf[spec.stream].iloc[0]], "state": [pickle.dumps(begun(pdf))], "finished": [False]})
+
+    def further(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for stream, state in (row for pdf in parts for row in zip(pdf[spec.stream], pdf["state"], strict=True)):
+            course, *scale = pickle.loads(state)
+            course.advance(max(at_once, len(course.ws)))
+            yield pd.DataFrame({spec.stream: [stream], "state": [pickle.dumps((course, *scale))], "finished": [course.finished]})
+
+    def last(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for stream, state in (row for pdf in parts for row in zip(pdf[spec.stream], pdf["state"], strict=True)):
+            yield ended(stream, *pickle.loads(state))
 
     # Told a number, Spark doesn't put curves together by their bytes: training takes long for few of them.
     parts = TASKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, spec.stream).groupBy(spec.stream).applyInPandas(run, f"`{spec.stream}` {kind}, model binary, losses array<double>")
+    r = result.select(F.col(spec.stream).alias("_s"), F.col(spec.idx).alias("_i"), "ord")
+    visited = lambda rows: spec.typed(rows).join(r, F.col(spec.stream).eqNullSafe(F.col("_s")) & (F.col(spec.idx) == F.col("_i")), "left").drop("_s", "_i").repartition(parts, spec.stream).groupBy(spec.stream)
+    schema, state = f"`{spec.stream}` {kind}, model binary, losses array<double>", f"`{spec.stream}` {kind}, state binary, finished boolean"
+    done = [] if small is None else [visited(small).applyInPandas(whole, schema)]
+    if large is not None:
+        with scratch(df.sparkSession) as keep:
+            now = stored(visited(large).applyInPandas(first, state), "train-state")
+            while left := now.where("not finished").count():
+                # a curve to a task: partitions by range are of one row each
+                new = stored(now.where("not finished").repartitionByRange(left, spec.stream).mapInPandas(further, state), "train-state")
+                ready = new.where("finished")
+                if n := ready.count():
+                    done.append(keep(ready.repartitionByRange(n, spec.stream).mapInPandas(last, schema), "models"))
+                discard(now)
+                now = new
+    return reduce(DataFrame.unionByName, done)
 
 
 def external_models(df: DataFrame, encoders: DataFrame, spec: Spec, decoder: ExternalDecoder | None = None) -> DataFrame:

@@ -96,8 +96,8 @@ class AbstractTrack(ABC):
     def __call__(self, gamma: np.ndarray) -> np.ndarray:
         return self.forward(gamma)[0]
 
-    def tangent(self, gamma: np.ndarray) -> np.ndarray:
-        layers, d = self.forward(gamma)[1]
+    def tangent(self, gamma: np.ndarray, kept: tuple | None = None) -> np.ndarray:
+        layers, d = self.forward(gamma)[1] if kept is None else kept
         for i, w in enumerate(self.mlp.w):
             d = d @ w
             if i < len(self.mlp.w) - 1:

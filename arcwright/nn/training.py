@@ -66,14 +66,12 @@ def box(ws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low - 0.5 * e, high + 0.5 * e
 
 
-def train_encoder(net: OrderingNet, ordered: np.ndarray, config: EncoderConfig, rng: np.random.Generator) -> list[float]:
+def encoder_epochs(net: OrderingNet, adam: AdamW, ordered: np.ndarray, config: EncoderConfig, rng: np.random.Generator, n_epochs: int) -> list[float]:
     """Points in order are pulled to their gamma and to probability 1, uniform points of the box to probability 0."""
-    if len(ordered) == 0:
-        raise ValueError("training needs visited points")
     gamma = targets(ordered[:, : ordered.shape[1] // 2], net.gamma_range, config.arclength_alpha)
     low, high = box(ordered)
-    adam, losses = AdamW(net.parameters), []
-    for _ in range(config.n_epochs):
+    losses = []
+    for _ in range(n_epochs):
         random, total = rng.uniform(low, high, ordered.shape), 0.0
         for rows in batches(len(ordered), config.batch_size, rng):
             n = len(rows)
@@ -86,10 +84,10 @@ def train_encoder(net: OrderingNet, ordered: np.ndarray, config: EncoderConfig,
     return losses
 
 
-def train_track(net: AbstractTrack, gamma: np.ndarray, q: np.ndarray, config: DecoderConfig, rng: np.random.Generator) -> list[float]:
+def track_epochs(net: AbstractTrack, adam: AdamW, gamma: np.ndarray, q: np.ndarray, config: DecoderConfig, rng: np.random.Generator, n_epochs: int) -> list[float]:
     """Positions at gammas, by squared distance (weights 1 and 0.1 of position and direction, the latter without gradient)."""
-    adam, losses = AdamW(net.parameters), []
-    for _ in range(config.n_epochs if len(gamma) else 0):
+    losses = []
+    for _ in range(n_epochs):
         total = 0.0
         for rows in batches(len(gamma), config.batch_size, rng):
             x, kept = net.forward(gamma[rows])
@@ -149,7 +147,7 @@ def mixture_step(encoder, track, width: WidthNet, ws, mask, log_background, ceil
     by_width, d_width = width.backward(kept_s, dsigma)
     by_track, d_track = track.backward(kept_x, dq)
     if lambda_velocity and (r * mask).sum() > 0:
-        apart = ((_unit(track.tangent(gamma)) - _unit(ws[:, dims:])) ** 2).sum(axis=1)
+        apart = ((_unit(track.tangent(gamma, kept_x)) - _unit(ws[:, dims:])) ** 2).sum(axis=1)
         loss += lambda_velocity * lambda_p * (r * mask * apart).sum() / (r * mask).sum()
     return float(loss), encoder.backward(kept, by_track + by_width, dp), d_track, d_width
 
@@ -168,18 +166,13 @@ def compute_uniform_weights(gamma: np.ndarray) -> np.ndarray:
     return np.ones(len(gamma))
 
 
-def train_both(encoder, track, width, ws, mask, config: TrainingConfig, rng) -> list[float]:
+def both_epochs(encoder, track, width, adam: AdamW, ws, mask, weights, config: TrainingConfig, rng, epochs: range) -> list[float]:
     mixture, n, dims = config.membership, config.n_epochs_both, ws.shape[1] // 2
-    nets = [track] if config.freeze_encoder else [encoder, track]
-    adam = AdamW([p for net in nets for p in net.parameters] + (width.parameters if mixture else []))
-    gamma = encoder(ws)[0]
-    weights = density_weights(gamma) if config.weight_by_density else compute_uniform_weights(gamma)
     log_bg = 0.0
     if mixture:
         log_bg = np.log(background_density(ws[:, :dims])) if mixture.log_background_density is None else mixture.log_background_density
-        mask = np.ones(len(ws), bool)
     losses = []
-    for epoch in range(n if mask.any() else 0):
+    for epoch in epochs:
         lambda_p = config.lambda_p[0] + (config.lambda_p[1] - config.lambda_p[0]) * (epoch / (n - 1) if n > 1 else 0.0)
         total = 0.0
         for rows in batches(len(ws), config.batch_size, rng):
@@ -194,18 +187,68 @@ def train_both(encoder, track, width, ws, mask, config: TrainingConfig, rng) ->
     return losses
 
 
+class Course:
+    """The three phases of training over scaled points in rows of ws, path: rows in the order of visits.
+
+    It stops between epochs when told, and goes on after a pickle has taken it elsewhere, as if it hadn't stopped."""
+
+    def __init__(self, encoder: OrderingNet, track: AbstractTrack | None, width: WidthNet | None, ws: np.ndarray, path: np.ndarray, config: TrainingConfig, rng: np.random.Generator) -> None:
+        if len(path) == 0:
+            raise ValueError("training needs visited points")
+        self.encoder, self.track, self.width, self.ws, self.path, self.config, self.rng = encoder, track, width, ws, path, config, rng
+        self.losses: list[float] = []
+        self.phase, self.at, self.adam = 0, 0, None
+        self.mask = self.weights = None
+
+    @property
+    def finished(self) -> bool:
+        return self.phase == (1 if self.track is None else 3)
+
+    def advance(self, most: float = float("inf")) -> None:
+        """Epochs over up to so many points, one epoch at least."""
+        while not self.finished:
+            parameters, size, epochs, run = (self._encoder, self._track, self._both)[self.phase]()
+            if self.adam is None:
+                self.adam = AdamW(parameters)
+            count = int(min(epochs - self.at, most // size if size else epochs))
+            if epochs > self.at and count < 1:
+                return
+            self.losses += run(range(self.at, self.at + count))
+            self.at, most = self.at + count, most - count * size
+            if self.at < epochs:
+                return
+            self.phase, self.at, self.adam = self.phase + 1, 0, None
+
+    def _encoder(self):
+        c = self.config.encoder
+        run = lambda epochs: encoder_epochs(self.encoder, self.adam, self.ws[self.path], c, self.rng, len(epochs))
+        return self.encoder.parameters, len(self.path), c.n_epochs, run
+
+    def _track(self):
+        c, dims = self.config, self.ws.shape[1] // 2
+        gamma = np.full(len(self.ws), self.encoder.gamma_range[0])
+        gamma[self.path] = np.linspace(*self.encoder.gamma_range, len(self.path))
+        use = np.zeros(len(self.ws), bool)
+        use[self.path] = True
+        use &= self.encoder(self.ws)[1] > c.member_threshold
+        gamma, q = gamma[use], self.ws[use, :dims]
+        run = lambda epochs: track_epochs(self.track, self.adam, gamma, window_means(gamma, gamma, q, 0.05), c.decoder, self.rng, len(epochs))
+        return self.track.parameters, len(gamma), c.decoder.n_epochs if len(gamma) else 0, run
+
+    def _both(self):
+        c = self.config
+        if self.mask is None:  # as the first phase has left them
+            gamma, p = self.encoder(self.ws)
+            self.mask = np.ones(len(p), bool) if c.membership else p > c.member_threshold
+            self.weights = density_weights(gamma) if c.weight_by_density and not c.membership else compute_uniform_weights(gamma)
+        nets = [self.track] if c.freeze_encoder else [self.encoder, self.track]
+        parameters = [p for net in nets for p in net.parameters] + (self.width.parameters if c.membership else [])
+        run = lambda epochs: both_epochs(self.encoder, self.track, self.width, self.adam, self.ws, self.mask, self.weights, c, self.rng, epochs)
+        return parameters, len(self.ws), c.n_epochs_both if self.mask.any() else 0, run
+
+
 def train_all(encoder, track, width, ws: np.ndarray, path: np.ndarray, config: TrainingConfig, rng) -> list[float]:
-    """The three phases, over scaled points in rows of ws, path: rows in the order of visits.  The losses of all epochs."""
-    losses = train_encoder(encoder, ws[path], config.encoder, rng)
-    if track is None:
-        return losses
-    dims = ws.shape[1] // 2
-    p = encoder(ws)[1]
-    gamma = np.full(len(ws), encoder.gamma_range[0])
-    gamma[path] = np.linspace(*encoder.gamma_range, len(path))
-    use = np.zeros(len(ws), bool)
-    use[path] = True
-    use &= p > config.member_threshold
-    mean = window_means(gamma[use], gamma[use], ws[use, :dims], 0.05)
-    losses += train_track(track, gamma[use], mean, config.decoder, rng)
-    return losses + train_both(encoder, track, width, ws, p > config.member_threshold, config, rng)
+    """A course at a stretch.  The losses of all epochs."""
+    course = Course(encoder, track, width, ws, path, config, rng)
+    course.advance()
+    return course.losses

@@ -23,10 +23,10 @@ from pyspark.sql.types import StructType
 from arcwright.functions.metrics import lengths
 from arcwright.functions.units import Quantity
 from arcwright.spec import Spec
-from arcwright.tables import discard, scratch, stored
+from arcwright.tables import scratch, stored
 
 from . import backbone as spread
-from .keyed import key_of, stream_of
+from .keyed import by_size, stream_of
 from .neighbors import distances, edges
 from .results import Ordering
 from .walk import Orderer, checked, ordered_schema, placed
@@ -163,21 +163,9 @@ class MSTOrderer(Orderer):
     def links(self, df: DataFrame, spec: Spec) -> DataFrame:
         return edges(df, spec, self.k, float(self.velocity_weight), float(self.jump_cap), self.sever_cos_threshold)
 
-    def _split(self, df: DataFrame, spec: Spec) -> tuple[DataFrame | None, DataFrame | None]:
-        """The rows of curves that a task takes, and those of larger ones; None where there are none."""
-        if df.count() <= self.at_once:
-            return df, None
-        sizes = stored(df.groupBy(key_of(F.col(spec.stream)).alias("_k")).agg((F.count("*") > self.at_once).alias("_large")), "curve-sizes")
-        kinds = {r[0] for r in sizes.select("_large").distinct().collect()}
-        if len(kinds) < 2:
-            discard(sizes)
-            return (None, df) if kinds == {True} else (df, None)
-        own = df.withColumn("_k", key_of(F.col(spec.stream))).join(sizes, "_k")
-        return tuple(own.where(F.col("_large") == large).select(df.columns) for large in (False, True))
-
     def _both(self, df: DataFrame, spec: Spec, per_curve, spread_out) -> DataFrame:
         """What per_curve gives for small curves, and spread_out for large ones."""
-        small, large = self._split(df, spec)
+        small, large = by_size(df, spec.stream, self.at_once)
         if large is None:
             return per_curve(small)
         return spread_out(large) if small is None else per_curve(small).unionByName(spread_out(large))
