@@ -17,7 +17,8 @@ from arcwright.functions import phasespace as P
 from arcwright.spec import Spec
 from arcwright.tables import stored
 
-from .graphs import connected, distances, rooted, spanning_forest, tour
+from . import blocks as contracted
+from .graphs import distances, rooted, tour
 from .keyed import join_common, key_of
 from .neighbors import nearest_vertex
 from .ranges import Ranges, medians, ranked
@@ -43,21 +44,19 @@ def keyed_links(links: DataFrame, spec: Spec) -> DataFrame:
     return links.select(key_of(F.col(spec.stream)).alias("_k"), "a", "b", F.col("weight").alias("w"))
 
 
-def _node(i: str):
-    return F.struct(F.col("_k"), F.col(i).alias("_i"))
+def blocks(points: DataFrame, dims: int) -> DataFrame:
+    """_k, _i, _x: the block of each point."""
+    return contracted.blocks(points, [f"_q{i}" for i in range(dims)])
 
 
-def forest(links: DataFrame) -> DataFrame:
+def forest(links: DataFrame, at: DataFrame | None = None) -> DataFrame:
     """_k, lo, hi, w of the minimum spanning forest of links (_k, a, b, w; a < b)."""
-    found = spanning_forest(links.select(_node("a").alias("a"), _node("b").alias("b"), "w"))
-    return stored(found.select(F.col("a._k").alias("_k"), F.col("a._i").alias("lo"), F.col("b._i").alias("hi"), "w"), "curve-forest")
+    return stored(contracted.forest(links, at), "curve-forest")
 
 
-def labels(points: DataFrame, links: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+def labels(points: DataFrame, links: DataFrame, lo: str = "lo", hi: str = "hi", at: DataFrame | None = None) -> DataFrame:
     """_k, _i, c of the points: the least idx that links reach."""
-    found = connected(links.select(_node(lo).alias("a"), _node(hi).alias("b")))
-    found = found.select(F.col("id._k").alias("_k"), F.col("id._i").alias("_i"), F.col("component._i").alias("c"))
-    return points.select("_k", "_i").join(found, ["_k", "_i"], "left").select("_k", "_i", F.coalesce("c", "_i").alias("c"))
+    return contracted.components(points.select("_k", "_i"), links.select("_k", F.col(lo).alias("a"), F.col(hi).alias("b")), at)
 
 
 def _within(tree: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -73,15 +72,15 @@ def _of_pieces(nodes: DataFrame, pieces: DataFrame, total: int) -> DataFrame:
     return join_common(nodes.withColumn("_p", F.struct("_k", "c")), table, "_p", total).select("_k", "_i")
 
 
-def largest(points: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+def largest(points: DataFrame, tree: DataFrame, at: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The nodes (_k, _i) of each curve's largest piece, the one of the least idx among equals; and _k, n_pieces."""
-    own = stored(labels(points, tree), "curve-labels")
+    own = stored(labels(points, tree, at=at), "curve-labels")
     pieces = stored(own.groupBy("_k", "c").agg(F.count("*").alias("n")), "curve-pieces")
     best = pieces.groupBy("_k").agg(F.max_by(F.struct("c", "n"), F.struct("n", -F.col("c"))).alias("x")).select("_k", "x.*")
     return stored(_of_pieces(own, best, own.count()), "curve-nodes"), pieces.groupBy("_k").agg(F.count("*").alias("n_pieces"))
 
 
-def clipped(points: DataFrame, dims: int, tree: DataFrame, nodes: DataFrame, sigma: float, most: int, least_ratio: float, small_share: float) -> DataFrame:
+def clipped(points: DataFrame, dims: int, tree: DataFrame, nodes: DataFrame, sigma: float, most: int, least_ratio: float, small_share: float, at: DataFrame | None = None) -> DataFrame:
     """The nodes left after small pieces behind unusually long links are taken off, again and again; a curve of which
     nothing would be left keeps its nodes."""
     q = [f"_q{i}" for i in range(dims)]
@@ -89,16 +88,15 @@ def clipped(points: DataFrame, dims: int, tree: DataFrame, nodes: DataFrame, sig
     length = P.euclidean_distance([F.col(f"lo{c}") for c in q], [F.col(f"hi{c}") for c in q])
     measured = tree.join(side("lo"), ["_k", "lo"]).join(side("hi"), ["_k", "hi"]).select("_k", "lo", "hi", F.log(F.greatest(length, F.lit(2.2250738585072014e-308))).alias("x"))
     measured, left = stored(measured, "clip-links"), nodes
-    for _ in range(most):
-        own = stored(_within(measured, left), "clip-links")
-        mid = medians(own, "_k", "x", "mid")
+    own = measured
+    for n in range(most):
+        own = stored(_within(own, left), "clip-links") if n else own
+        mid = stored(medians(own, "_k", "x", "mid"), "clip-middle")
         away = own.join(mid, "_k").select("_k", "lo", "hi", "x", "mid", F.abs(F.col("x") - F.col("mid")).alias("dev"))
         cut = medians(away, "_k", "dev", "mad").join(mid, "_k").select("_k", (F.col("mid") + F.greatest(F.lit(sigma * 1.4826) * F.col("mad"), F.lit(math.log(least_ratio)))).alias("cut"))
         judged = stored(own.join(cut, "_k").select("_k", "lo", "hi", (F.col("x") > F.col("cut")).alias("long")), "clip-judged")
         touched = judged.where("long").select("_k").distinct()
-        if touched.isEmpty():
-            break
-        pieces = stored(labels(left, judged.where("not long")), "clip-labels")
+        pieces = stored(labels(left, judged.where("not long"), at=at), "clip-labels")
         sizes = stored(pieces.groupBy("_k", "c").agg(F.count("*").alias("n")), "clip-sizes")
         whole = sizes.groupBy("_k").agg(F.sum("n").alias("all"))
         small = F.col("touched") & (F.col("n") < F.greatest(F.lit(2), F.ceil(F.lit(small_share) * F.col("all"))))
@@ -111,11 +109,18 @@ def clipped(points: DataFrame, dims: int, tree: DataFrame, nodes: DataFrame, sig
     return left.unionByName(nodes.join(some, "_k", "left_anti"))
 
 
-def longest_path(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """_k, _i, ord of the vertices of each tree's longest path: from the node farthest from the least one to the node
-    farthest from that, the lesser idx among equals."""
-    first = nodes.groupBy("_k").agg(F.min("_i").alias("root"))
-    walked = tour(tree)
+def _of_first(nodes: DataFrame, tree: DataFrame, first: DataFrame, at: DataFrame | None) -> DataFrame:
+    """The edges of each curve's piece that holds its first node (_k, root)."""
+    own = labels(nodes, tree, at=at).join(first, ["_k"]).where("c = root").select("_k", "_i")
+    return stored(_within(tree, stored(own, "path-nodes")), "path-tree")
+
+
+def longest_path(nodes: DataFrame, tree: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """_k, _i, ord of the vertices of the longest path in the piece of each curve's least node: from the node farthest from
+    it to the node farthest from that, the lesser idx among equals.  Clipping may leave several pieces, as what it takes
+    off may have joined others."""
+    first = stored(nodes.groupBy("_k").agg(F.min("_i").alias("root")), "path-first")
+    walked = tour(_of_first(nodes, tree, first, at), at)
     alone = first.join(walked.select("_k").distinct(), "_k", "left_anti")
 
     def farthest(hung: DataFrame, roots: DataFrame) -> DataFrame:
@@ -152,15 +157,16 @@ def along(points: DataFrame, dims: int, path: DataFrame, orient: bool) -> DataFr
 
 def settle(points: DataFrame, dims: int, links: DataFrame, *, on_disconnected: str, sigma: float | None, rounds: int, orient: bool, least_ratio: float, small_share: float) -> DataFrame:
     """_k, _i, ord, vertex of points by links (_k, a, b, w): the order along the backbone, and the place on it."""
-    tree = forest(links)
-    nodes, pieces = largest(points, tree)
+    at = blocks(points, dims)
+    tree = forest(links, at)
+    nodes, pieces = largest(points, tree, at)
     if on_disconnected == "raise" and (some := pieces.where("n_pieces > 1").head()):
         raise ValueError(f"the links of a curve fall into {some['n_pieces']} components; raise k or jump_cap")
     own = stored(_within(tree, nodes), "curve-tree")
     if sigma is not None:
-        nodes = stored(clipped(points, dims, own, nodes, sigma, rounds, least_ratio, small_share), "curve-clipped")
+        nodes = stored(clipped(points, dims, own, nodes, sigma, rounds, least_ratio, small_share, at), "curve-clipped")
         own = stored(_within(own, nodes), "curve-tree")
-    vertices = along(points, dims, longest_path(nodes, own), orient)
+    vertices = along(points, dims, longest_path(nodes, own, at), orient)
     q = [f"_q{i}" for i in range(dims)]
     near = nearest_vertex(points.join(nodes, ["_k", "_i"], "left_semi"), vertices.select("_k", F.col("ord").alias("_n"), *q), q)
     at = near.join(vertices.select("_k", F.col("ord").alias("_n"), "s"), ["_k", "_n"]).select("_k", "_i", "s")

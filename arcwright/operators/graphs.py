@@ -1,4 +1,4 @@
-"""Components, minimum spanning forests and tours of trees, of edge tables of any size.
+"""Components and tours of trees, of edge tables of any size, by joins.
 
 Every step is a join or an aggregate, written to the shared folder, and the number of steps grows with the logarithm of
 the longest chain.  A node is a struct (_k, _i): the key of its stream, and its idx.
@@ -6,9 +6,9 @@ the longest chain.  A node is a struct (_k, _i): the key of its stream, and its
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwright.tables import discard, stored
@@ -16,6 +16,9 @@ from arcwright.tables import discard, stored
 from .keyed import join_common
 from .ranges import Ranges
 
+#: Rows of links or arcs that a task takes at most.
+BOUND = 1 << 19
+
 
 def _replaced(old: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
     out = stored(new, name)
@@ -54,7 +57,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _roots(links: DataFrame) -> DataFrame:
+def roots(links: DataFrame) -> DataFrame:
     """c, root of links (c, p) in which each chain ends in a pair that point at each other: the lesser of the pair is the
     root.  A round joins each pointer to the one it points at, so chains halve."""
     to = lambda t: t.select(F.col("c").alias("_c"), F.col("p").alias("_p"))
@@ -69,54 +72,90 @@ def _roots(links: DataFrame) -> DataFrame:
             return at.select("c", F.col("p").alias("root"))
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """a, b, w of the minimum spanning forest of edges (a < b, w), each once; among equal weights the lesser (a, b) goes
-    first.  In each round every component takes its first edge out; what these join is contracted, and of the edges
-    between two components the first stays."""
-    e = stored(edges.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")).where("a <> b"), "forest-edges")
-    chosen: list[DataFrame] = []
-    while not e.isEmpty():
-        edge = lambda c, to: e.select(F.col(c).alias("c"), F.struct("w", "a", "b", F.col(to).alias("to")).alias("x"))
-        first = stored(edge("ca", "cb").unionByName(edge("cb", "ca")).groupBy("c").agg(F.min("x").alias("x")), "forest-first")
-        chosen.append(first.select("x.a", "x.b", "x.w").distinct())
-        root = _roots(first.select("c", F.col("x.to").alias("p")))
-        new = e
-        for side in ("ca", "cb"):
-            of = root.select(F.col("c").alias(side), F.col("root").alias("_root"))
-            new = new.join(of, side).drop(side).withColumnRenamed("_root", side)
-        new = new.where("ca <> cb").groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("w", "a", "b")).alias("x"))
-        e = _replaced(e, new.select("x.a", "x.b", "x.w", "ca", "cb"), "forest-edges")
-    return reduce(DataFrame.unionByName, chosen) if chosen else e.select("a", "b", "w")
-
-
-def tour(tree: DataFrame) -> DataFrame:
-    """_k, lo, hi, w, p, q of the edges of trees, one to a stream (_k, lo, hi, w): their places in a walk around the tree
-    that goes along each edge in both directions, from lo to hi at p and from hi to lo at q, counted from 0.
-
-    The walk leaves a node by the neighbour after the one it came from; it begins at the least node.  Places come from
-    doubling pointers: each round joins arcs to those that they point at."""
-    arcs = tree.select("_k", F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(tree.select("_k", F.col("hi").alias("u"), F.col("lo").alias("v")))
-    around = Window.partitionBy("_k", "u").orderBy("v")
-    after = F.coalesce(F.lead("v").over(around), F.first("v").over(around))
-    arcs = stored(arcs.withColumns({"turn": after, "first": F.first("v").over(around)}).withColumn("id", F.monotonically_increasing_id()), "tour-arcs")
-    start = arcs.groupBy("_k").agg(F.min("u").alias("root"), F.count("*").alias("n"))
-    # from (u, v) the walk comes to v, and goes on to the neighbour after u
-    back = arcs.select("_k", F.col("u").alias("_v"), F.col("v").alias("_u"), F.col("turn").alias("_to"), F.col("first").alias("_first"))
-    on = arcs.select("_k", "u", "v", "id").join(back.withColumnsRenamed({"_v": "v", "_u": "u"}), ["_k", "u", "v"])
-    to = arcs.select("_k", F.col("u").alias("v"), F.col("v").alias("_to"), F.col("id").alias("to"))
-    on = join_common(on.join(to, ["_k", "v", "_to"]), start, "_k", arcs.count())
-    ends = (F.col("v") == F.col("root")) & (F.col("_to") == F.col("_first"))
-    at = stored(on.select("id", F.when(~ends, F.col("to")).alias("to"), F.when(ends, 0).otherwise(1).cast("long").alias("left")), "tour-places")
+def _chains(t: pa.Table) -> pa.Table:
+    """Arcs to the nodes of a block as chains in the order of the walk: hu, hv is the first arc of an arc's chain, off its
+    number in it; the last arc of a chain has n, its length, and the arc that the walk goes on with outside."""
+    u, v, root = t.column("u").to_numpy(), t.column("v").to_numpy(), t.column("root")[0].as_py()
+    order = np.lexsort((u, v))
+    u, v, n = u[order], v[order], len(order)
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    end = np.concatenate([start[1:], [n]]) - 1
+    to = np.concatenate([u[1:], u[:1]])
+    to[end] = u[start]  # from (u, v) the walk goes on to the neighbour after u
+    over = np.full(n, False)
+    over[end] = v[end] == root
+    nodes = np.unique(np.concatenate([u, v]))
+    code = lambda a, b: np.searchsorted(nodes, b) * len(nodes) + np.searchsorted(nodes, a)
+    arcs, want = code(u, v), code(v, to)
+    at = np.minimum(np.searchsorted(arcs, want), n - 1)
+    inside = (arcs[at] == want) & ~over
+    after, head, off = np.where(inside, at, -1).tolist(), [-1] * n, [0] * n
+    begins = np.full(n, True)
+    begins[at[inside]] = False
+    for h in np.flatnonzero(begins).tolist():
+        i, k = h, 0
+        while i >= 0:
+            head[i], off[i] = h, k
+            i, k = after[i], k + 1
+    head, off = np.array(head), np.array(off, np.int64)
+    if (head < 0).any():
+        raise ValueError("the edges of a stream aren't one tree")
+    columns = [u, v, u[head], v[head], off]
+    rest = [pa.array(off + 1, mask=inside), pa.array(v, mask=inside | over), pa.array(to, mask=inside | over)]
+    return pa.Table.from_arrays([t.column("_k"), *map(pa.array, columns), *rest], ["_k", "u", "v", "hu", "hv", "off", "n", "nu", "nv"])
+
+
+def _in_a_row(t: pa.Table) -> pa.Table:
+    """The place of the first arc of each chain of a stream."""
+    hu, hv, n, nu, nv = (t.column(c).to_pylist() for c in ("hu", "hv", "n", "nu", "nv"))
+    row = {a: i for i, a in enumerate(zip(hu, hv, strict=True))}
+    after = [None if a is None else row[a, b] for a, b in zip(nu, nv, strict=True)]
+    base, total = [0] * len(n), 0
+    i = next(iter(set(range(len(n))) - set(after)))
+    while i is not None:
+        base[i], total = total, total + n[i]
+        i = after[i]
+    return pa.Table.from_arrays([t.column("_k"), t.column("hu"), t.column("hv"), pa.array(base, pa.int64())], ["_k", "hu", "hv", "base"])
+
+
+def _placed(chains: DataFrame, arcs: DataFrame) -> DataFrame:
+    """_k, hu, hv, base: the place of the first arc of each chain.  A task takes the chains of a stream, which has fewer of
+    them the more of its edges lie within blocks; where they are too many, pointers are doubled by joins."""
+    most = chains.groupBy("_k").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    if most <= BOUND:
+        return chains.groupBy("_k").applyInArrow(_in_a_row, "_k string, hu long, hv long, base long")
+    arc = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col("_k"), F.col(a).alias("u"), F.col(b).alias("v")))
+    at = stored(chains.select(arc("hu", "hv").alias("id"), arc("nu", "nv").alias("to"), F.col("n").alias("left")), "tour-places")
     while not at.where("to is not null").isEmpty():
         further = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("left").alias("_left"))
         going = at.where("to is not null").join(further, "to").select("id", F.col("_to").alias("to"), (F.col("left") + F.col("_left")).alias("left"))
         at = _replaced(at, going.unionByName(at.where("to is null")), "tour-places")
-    placed = arcs.select("_k", "u", "v", "id").join(at.select("id", "left"), "id")
-    way = lambda low: F.min(F.when((F.col("u") < F.col("v")) == low, F.col("left")))
+    sizes = arcs.groupBy("_k").agg(F.count("*").alias("_all"), F.count("*").alias("n"))
+    rows = at.select("id._k", F.col("id.u").alias("hu"), F.col("id.v").alias("hv"), "left")
+    return join_common(rows, sizes, "_k", arcs.count()).select("_k", "hu", "hv", (F.col("_all") - F.col("left")).alias("base"))
+
+
+def tour(tree: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """_k, lo, hi, w, p, q of the edges of trees, one to a stream (_k, lo, hi, w): their places in a walk around the tree
+    that goes along each edge in both directions, from lo to hi at p and from hi to lo at q, counted from 0.
+
+    The walk leaves a node by the neighbour after the one it came from; it begins at the least node.  A task takes the arcs
+    to the nodes of a block (``at``: _k, _i, _x), of BOUND at most but for a node's own, and makes them chains; places come
+    from the lengths of chains."""
+    ways = tree.select("_k", F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(tree.select("_k", F.col("hi").alias("u"), F.col("lo").alias("v")))
+    of = at.select("_k", F.col("_i").alias("v"), "_x") if at is not None else None
+    ways = stored(ways.withColumn("_x", F.lit(0).cast("long")) if of is None else ways.join(of, ["_k", "v"]), "tour-ways")
+    sizes = ways.groupBy("_k", "_x").agg(F.ceil(F.count("*") / BOUND).alias("_parts"), F.min("u").alias("_least"))
+    root = sizes.groupBy("_k").agg(F.min("_least").alias("root"))
+    blocks = stored(sizes.select("_k", "_x", "_parts").join(root, "_k"), "tour-blocks")
+    ways = ways.join(F.broadcast(blocks), ["_k", "_x"]).withColumn("_part", F.pmod(F.xxhash64("v"), F.col("_parts")))
+    kinds = "_k string, u long, v long, hu long, hv long, off long, n long, nu long, nv long"
+    arcs = stored(ways.groupBy("_k", "_x", "_part").applyInArrow(_chains, kinds), "tour-arcs")
+    chains = arcs.where("n is not null").select("_k", "hu", "hv", "n", "nu", "nv")
+    placed = arcs.select("_k", "u", "v", "hu", "hv", "off").join(_placed(chains, arcs), ["_k", "hu", "hv"])
+    way = lambda low: F.min(F.when((F.col("u") < F.col("v")) == low, F.col("base") + F.col("off")))
     edges = placed.groupBy("_k", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(way(True).alias("p"), way(False).alias("q"))
-    sizes = start.select("_k", (F.col("n") - 1).alias("_end"), "n")
-    edges = join_common(edges.join(tree, ["_k", "lo", "hi"]), sizes, "_k", arcs.count())
-    return stored(edges.select("_k", "lo", "hi", "w", (F.col("_end") - F.col("p")).alias("p"), (F.col("_end") - F.col("q")).alias("q")), "tour-edges")
+    return stored(edges.join(tree, ["_k", "lo", "hi"]).select("_k", "lo", "hi", "w", "p", "q"), "tour-edges")
 
 
 def rooted(walked: DataFrame, roots: DataFrame) -> DataFrame:
