@@ -1,5 +1,5 @@
 """Backbones of curves that are larger than a task: the tree, its pieces, its clipping, its longest path and the order
-along it, all of it joins and aggregates.  Results are those of ``mst.backbone``, which takes a curve in a task.
+along it, by joins, aggregates and blocks of points (see ``blocks``).  Results are those of ``mst.backbone``, which takes a curve in a task.
 
 Tables have _k (the stream's key) and _i (idx); points also have _q0, .. and _v0, ..  Tables of a row for each curve are
 joined by the key with what has many rows for it; such joins are left to Spark, which broadcasts small tables and splits

@@ -1,7 +1,7 @@
 """Ordering along the backbone of a minimum spanning tree of nearest-neighbour links.
 
 Links, their weights and the cuts are made in the cluster (``neighbors.edges``).  The tree of a curve of up to ``at_once``
-points is walked in one task; those of larger curves go through ``backbone``, whose every step is a join or an aggregate.
+points is walked in one task; those of larger curves go through ``backbone``, by joins, aggregates and blocks of points.
 Both give the same trees, pieces, paths and orders.
 
 Defined cases: a curve under two points is its own order; links between coinciding points have weight 0 and count; among
@@ -257,7 +257,8 @@ class MSTOrderer(Orderer):
 
         def spread_out(rows: DataFrame) -> DataFrame:
             with scratch(df.sparkSession) as keep:
-                found = spread.forest(spread.keyed_links(self.links(rows, spec), spec))
+                at = spread.blocks(spread.keyed_points(rows, spec), len(spec.q))
+                found = spread.forest(spread.keyed_links(self.links(rows, spec), spec), at)
                 return keep(self._placed(found, df, spec, F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("w").alias("weight")), "mst-tree")
 
         kind = df.schema[spec.stream].dataType.simpleString()
@@ -272,7 +273,8 @@ class MSTOrderer(Orderer):
         def spread_out(rows: DataFrame) -> DataFrame:
             with scratch(df.sparkSession) as keep:
                 own = spread.keyed_links(self.links(rows, spec) if links is None else links, spec)
-                found = spread.labels(spread.keyed_points(rows, spec), own, "a", "b")
+                points = spread.keyed_points(rows, spec)
+                found = spread.labels(points, own, "a", "b", spread.blocks(points, len(spec.q)))
                 return keep(self._placed(found, df, spec, F.col("_i").alias(spec.idx), F.col("c").alias("component")), "mst-components")
 
         kind = df.schema[spec.stream].dataType.simpleString()
