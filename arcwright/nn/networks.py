@@ -7,8 +7,29 @@ from abc import ABC, abstractmethod
 import numpy as np
 
 
+def _tanh(z: np.ndarray) -> np.ndarray:
+    """In place.  In single precision by the exponential, which numpy vectorises where it doesn't vectorise tanh; beyond
+    its range it is infinite, which gives 1."""
+    if z.dtype != np.float32:
+        return np.tanh(z, out=z)
+    z += z
+    np.exp(z, out=z)
+    z += 1
+    np.divide(-2, z, out=z)
+    z += 1
+    return z
+
+
+def _slopes(tanh: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """grad times the derivative of tanh, given its values."""
+    out = tanh * tanh
+    np.subtract(1, out, out=out)
+    out *= grad
+    return out
+
+
 class Perceptron:
-    """Layers of tanh; the last one is linear unless ``bounded``."""
+    """Layers of tanh; the last one is linear unless ``bounded``.  It computes in the precision of its inputs and weights."""
 
     def __init__(self, sizes: list[int], rng: np.random.Generator, bounded: bool = False) -> None:
         self.bounded = bounded
@@ -19,23 +40,32 @@ class Perceptron:
     def parameters(self) -> list[np.ndarray]:
         return [*self.w, *self.b]
 
+    @property
+    def dtype(self) -> np.dtype:
+        return self.w[0].dtype
+
+    def to(self, dtype) -> None:
+        self.w, self.b = ([p.astype(dtype) for p in part] for part in (self.w, self.b))
+
     def forward(self, x: np.ndarray) -> list[np.ndarray]:
         """The input and the outputs of all layers."""
         out = [x]
         for i, (w, b) in enumerate(zip(self.w, self.b, strict=True)):
-            z = out[-1] @ w + b
-            out.append(np.tanh(z) if self.bounded or i < len(self.w) - 1 else z)
+            z = out[-1] @ w
+            z += b
+            out.append(_tanh(z) if self.bounded or i < len(self.w) - 1 else z)
         return out
 
-    def backward(self, layers: list[np.ndarray], grad: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Gradients of the input and of the parameters, from that of the output."""
+    def backward(self, layers: list[np.ndarray], grad: np.ndarray, inner: bool = True) -> tuple[np.ndarray | None, list[np.ndarray]]:
+        """Gradients of the input, if it is wanted, and of the parameters, from that of the output."""
         dw, db = [], []
+        grad = grad.astype(self.dtype, copy=False)
         for i in range(len(self.w) - 1, -1, -1):
             if self.bounded or i < len(self.w) - 1:
-                grad = grad * (1 - layers[i + 1] ** 2)
+                grad = _slopes(layers[i + 1], grad)
             dw.append(layers[i].T @ grad)
-            db.append(grad.sum(axis=0))
-            grad = grad @ self.w[i].T
+            db.append(np.ones(len(grad), grad.dtype) @ grad)
+            grad = grad @ self.w[i].T if i or inner else None
         return grad, [*dw[::-1], *db[::-1]]
 
 
@@ -55,6 +85,14 @@ class OrderingNet:
     def parameters(self):
         return [*self.body.parameters, *self.heads.parameters]
 
+    @property
+    def dtype(self) -> np.dtype:
+        return self.body.dtype
+
+    def to(self, dtype) -> None:
+        self.body.to(dtype)
+        self.heads.to(dtype)
+
     def forward(self, ws: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
         body = self.body.forward(ws)
         heads = self.heads.forward(body[-1])
@@ -70,7 +108,7 @@ class OrderingNet:
         low, high = self.gamma_range
         grad = np.stack([dgamma * (high - low) / 2 * (1 - t * t), dp * p * (1 - p)], axis=1)
         inner, dh = self.heads.backward(heads, grad)
-        return [*self.body.backward(body, inner)[1], *dh]
+        return [*self.body.backward(body, inner, False)[1], *dh]
 
 
 class AbstractTrack(ABC):
@@ -88,6 +126,13 @@ class AbstractTrack(ABC):
     def parameters(self):
         return self.mlp.parameters
 
+    @property
+    def dtype(self) -> np.dtype:
+        return self.mlp.dtype
+
+    def to(self, dtype) -> None:
+        self.mlp.to(dtype)
+
     def forward(self, gamma: np.ndarray) -> tuple[np.ndarray, tuple]:
         x, dx = self.features(gamma)
         layers = self.mlp.forward(x)
@@ -101,7 +146,7 @@ class AbstractTrack(ABC):
         for i, w in enumerate(self.mlp.w):
             d = d @ w
             if i < len(self.mlp.w) - 1:
-                d = d * (1 - layers[i + 1] ** 2)
+                d = _slopes(layers[i + 1], d)
         return d
 
     def backward(self, kept: tuple, dq: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -115,7 +160,7 @@ class TrackNet(AbstractTrack):
         self.out_size, self.mlp = out_size, Perceptron([1, *[width] * depth, out_size], rng)
 
     def features(self, gamma):
-        return gamma[:, None], np.ones((len(gamma), 1))
+        return gamma[:, None], np.ones((len(gamma), 1), gamma.dtype)
 
 
 class FourierTrackNet(AbstractTrack):
@@ -126,8 +171,9 @@ class FourierTrackNet(AbstractTrack):
         self.mlp = Perceptron([1 + 2 * n_freq, *[width] * depth, out_size], rng)
 
     def features(self, gamma):
-        a = gamma[:, None] * self.k
-        return np.hstack([gamma[:, None], np.sin(a), np.cos(a)]), np.hstack([np.ones((len(gamma), 1)), self.k * np.cos(a), -self.k * np.sin(a)])
+        k = self.k.astype(gamma.dtype)
+        a = gamma[:, None] * k
+        return np.hstack([gamma[:, None], np.sin(a), np.cos(a)]), np.hstack([np.ones((len(gamma), 1), gamma.dtype), k * np.cos(a), -k * np.sin(a)])
 
 
 class WidthNet:
@@ -144,6 +190,9 @@ class WidthNet:
     def parameters(self):
         return self.mlp.parameters
 
+    def to(self, dtype) -> None:
+        self.mlp.to(dtype)
+
     def forward(self, gamma: np.ndarray) -> tuple[np.ndarray, tuple]:
         layers = self.mlp.forward(gamma[:, None])
         raw = layers[-1][:, 0]
@@ -160,13 +209,35 @@ class WidthNet:
 
 
 class AdamW:
+    """Changes parameters in place.  Sums of gradients (m) and of their squares (s), weighted by 0.9 and 0.999 a step, are one
+    vector each, as most parameters are short."""
+
     def __init__(self, parameters: list[np.ndarray], rate: float = 1e-3, decay: float = 1e-7) -> None:
         self.p, self.rate, self.decay, self.t = parameters, rate, decay, 0
-        self.m, self.s = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
+        self.m, self.s = (np.zeros_like(self._flat(parameters)) for _ in range(2))
+
+    @staticmethod
+    def _flat(parts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in parts])
 
     def step(self, grads: list[np.ndarray]) -> None:
         self.t += 1
-        for p, g, m, s in zip(self.p, grads, self.m, self.s, strict=True):
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            p -= self.rate * (m / (1 - 0.9**self.t) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8) + self.decay * p)
+        g = self._flat(grads)
+        self.m *= 0.9
+        self.m += g
+        g *= g
+        self.s *= 0.999
+        self.s += g
+        u = np.multiply(self.s, 0.001 / (1 - 0.999**self.t), out=g)
+        np.sqrt(u, out=u)
+        u += 1e-8
+        np.divide(self.m, u, out=u)
+        u *= 0.1 / (1 - 0.9**self.t)
+        decay = self._flat(self.p)
+        decay *= self.decay
+        u += decay
+        u *= self.rate
+        at = 0
+        for p in self.p:
+            p -= u[at : at + p.size].reshape(p.shape)
+            at += p.size

@@ -38,8 +38,12 @@ class TrainingConfig:
     freeze_encoder: bool = False
     weight_by_density: bool = False
     membership: MixtureMembershipConfig | None = None
+    #: Of the networks while they are trained, as the array library's default is; models are applied in double precision.
+    precision: str = "float32"
 
     def __post_init__(self) -> None:
+        if self.precision not in ("float32", "float64"):
+            raise ValueError("precision must be float32 or float64")
         if not 0 <= self.member_threshold <= 1:
             raise ValueError("member_threshold must be in [0, 1]")
 
@@ -70,29 +74,32 @@ def encoder_epochs(net: OrderingNet, adam: AdamW, ordered: np.ndarray, config: E
     """Points in order are pulled to their gamma and to probability 1, uniform points of the box to probability 0."""
     gamma = targets(ordered[:, : ordered.shape[1] // 2], net.gamma_range, config.arclength_alpha)
     low, high = box(ordered)
+    points = ordered.astype(net.dtype)
     losses = []
     for _ in range(n_epochs):
-        random, total = rng.uniform(low, high, ordered.shape), 0.0
+        random, total = rng.uniform(low, high, ordered.shape).astype(net.dtype), 0.0
         for rows in batches(len(ordered), config.batch_size, rng):
             n = len(rows)
-            g, p, kept = net.forward(np.vstack([ordered[rows], random[rows]]))
-            off, want = g[:n] - gamma[rows], np.repeat([1.0, 0.0], n)
-            total += ((off**2).sum() + config.lambda_prob * ((p - want) ** 2).sum()) / len(ordered)
-            dgamma = np.concatenate([2 * off / n, np.zeros(n)])
-            adam.step(net.backward(kept, dgamma, 2 * config.lambda_prob * (p - want) / n))
+            g, p, kept = net.forward(np.concatenate([points[rows], random[rows]]))
+            dgamma, missed = np.zeros(2 * n), p.astype(float)
+            off = np.subtract(g[:n], gamma[rows], out=dgamma[:n])
+            missed[:n] -= 1
+            total += (off @ off + config.lambda_prob * (missed @ missed)) / len(ordered)
+            adam.step(net.backward(kept, 2 / n * dgamma, 2 * config.lambda_prob / n * missed))
         losses.append(total)
     return losses
 
 
 def track_epochs(net: AbstractTrack, adam: AdamW, gamma: np.ndarray, q: np.ndarray, config: DecoderConfig, rng: np.random.Generator, n_epochs: int) -> list[float]:
     """Positions at gammas, by squared distance (weights 1 and 0.1 of position and direction, the latter without gradient)."""
+    gamma, q = gamma.astype(net.dtype), q.astype(net.dtype)
     losses = []
     for _ in range(n_epochs):
         total = 0.0
         for rows in batches(len(gamma), config.batch_size, rng):
             x, kept = net.forward(gamma[rows])
             off = x - q[rows]
-            total += (off**2).sum() / 1.1 / len(gamma)
+            total += float((off**2).sum()) / 1.1 / len(gamma)
             adam.step(net.backward(kept, 2 * off / len(rows) / 1.1)[1])
         losses.append(total)
     return losses
@@ -130,8 +137,9 @@ def mixture_step(encoder, track, width: WidthNet, ws, mask, log_background, ceil
     gamma, p, kept = encoder.forward(ws)
     x, kept_x = track.forward(gamma)
     free, kept_s = width.forward(gamma)
+    p, free = p.astype(float), free.astype(float)  # what each row has once costs nothing in double precision
     sigma = np.minimum(free, ceiling)
-    off = x - ws[:, :dims]
+    off = (x - ws[:, :dims]).astype(float)
     r2 = (off**2).sum(axis=1)
     raw = 1 - rampup * (1 - p)
     eff = np.clip(raw, EPS, 1 - EPS)
@@ -168,6 +176,7 @@ def compute_uniform_weights(gamma: np.ndarray) -> np.ndarray:
 
 def both_epochs(encoder, track, width, adam: AdamW, ws, mask, weights, config: TrainingConfig, rng, epochs: range) -> list[float]:
     mixture, n, dims = config.membership, config.n_epochs_both, ws.shape[1] // 2
+    points = ws.astype(track.dtype)
     log_bg = 0.0
     if mixture:
         log_bg = np.log(background_density(ws[:, :dims])) if mixture.log_background_density is None else mixture.log_background_density
@@ -178,9 +187,9 @@ def both_epochs(encoder, track, width, adam: AdamW, ws, mask, weights, config: T
         for rows in batches(len(ws), config.batch_size, rng):
             if mixture:
                 ceiling = sigma_ceiling(epoch, n, *mixture.sigma_ceiling)
-                loss, *grads = mixture_step(encoder, track, width, ws[rows], mask[rows], log_bg, ceiling, membership_rampup(epoch, n, mixture.warmup_frac), mixture.lambda_velocity, lambda_p)
+                loss, *grads = mixture_step(encoder, track, width, points[rows], mask[rows], log_bg, ceiling, membership_rampup(epoch, n, mixture.warmup_frac), mixture.lambda_velocity, lambda_p)
             else:
-                loss, *grads = path_step(encoder, track, ws[rows], mask[rows], weights[rows], config.member_threshold, config.lambda_q, lambda_p)
+                loss, *grads = path_step(encoder, track, points[rows], mask[rows], weights[rows], config.member_threshold, config.lambda_q, lambda_p)
             adam.step([g for part in (grads[1:] if config.freeze_encoder else grads) for g in part])
             total += loss * len(rows) / len(ws)
         losses.append(total)
@@ -199,6 +208,12 @@ class Course:
         self.losses: list[float] = []
         self.phase, self.at, self.adam = 0, 0, None
         self.mask = self.weights = None
+        self._to(config.precision)
+
+    def _to(self, precision: str) -> None:
+        for net in (self.encoder, self.track, self.width):
+            if net is not None:
+                net.to(precision)
 
     @property
     def finished(self) -> bool:
@@ -213,11 +228,14 @@ class Course:
             count = int(min(epochs - self.at, most // size if size else epochs))
             if epochs > self.at and count < 1:
                 return
-            self.losses += run(range(self.at, self.at + count))
+            with np.errstate(over="ignore"):
+                self.losses += run(range(self.at, self.at + count))
             self.at, most = self.at + count, most - count * size
             if self.at < epochs:
                 return
             self.phase, self.at, self.adam = self.phase + 1, 0, None
+            if self.finished:
+                self._to("float64")
 
     def _encoder(self):
         c = self.config.encoder

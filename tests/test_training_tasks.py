@@ -7,7 +7,7 @@ import pytest
 
 from arcwright import nn
 from arcwright.functions.mixture import MixtureMembershipConfig
-from arcwright.nn import model, training
+from arcwright.nn import model, networks, training
 from arcwright.spec import Spec
 
 S = Spec()
@@ -77,3 +77,38 @@ def test_defaults_bound_a_task_by_points_and_epochs(arcs, monkeypatch):
     monkeypatch.setattr(model, "by_size", lambda df, stream, most: asked.append(most) or (df, None))
     nn.train(*arcs, S)
     assert asked == [model.AT_ONCE // 1100] and asked[0] < 2000
+
+
+@pytest.mark.parametrize("options", [{"membership": MixtureMembershipConfig()}, {"member_threshold": 0.4, "weight_by_density": True}])
+@pytest.mark.parametrize("n_freq", [0, 2])
+def test_all_steps_are_in_single_precision(arcs, monkeypatch, options, n_freq):
+    """Nothing in a step turns gradients into doubles, in which products take twice and tanh five times as long."""
+    df, order = (x.where("stream_id = 'a'").toPandas() for x in arcs)
+    ws, path = df[list((*S.q, *S.v))].to_numpy(), order.dropna().sort_values("ord").index.to_numpy()
+    kinds, real = set(), training.AdamW.step
+    monkeypatch.setattr(training.AdamW, "step", lambda self, grads: kinds.update(x.dtype.name for x in (*grads, *self.p, self.m, self.s)) or real(self, grads))
+    *nets, rng = nn.PathAutoencoder(encoder_size=(8, 1), track_size=(8, 1), n_freq=n_freq).make(2, options.get("membership"))
+    training.train_all(*nets, ws, path, nn.TrainingConfig(**SHORT, **options), rng)
+    assert kinds == {"float32"}
+    assert {p.dtype.name for net in nets if net for p in net.parameters} == {"float64"}
+
+
+@pytest.mark.parametrize("options", [{"membership": MixtureMembershipConfig()}, {"member_threshold": 0.4}])
+def test_precisions_agree(arcs, options):
+    one, two = ({r.stream_id: r for r in nn.train(*arcs, S, NET, nn.TrainingConfig(**SHORT, **options, precision=p)).collect()} for p in ("float32", "float64"))
+    df = arcs[0].where("stream_id = 'a'").toPandas()[list((*S.q, *S.v))].to_numpy()
+    for stream in one:
+        assert one[stream].losses == pytest.approx(two[stream].losses, rel=1e-3)
+        a, b = pickle.loads(one[stream].model), pickle.loads(two[stream].model)
+        (g, p), (h, q) = (m["encoder"]((df - m["mean"]) / m["std"]) for m in (a, b))
+        assert np.allclose(g, h, atol=1e-4) and np.allclose(p, q, atol=1e-4) and np.allclose(a["track"](h), b["track"](h), atol=1e-3)
+    with pytest.raises(ValueError, match="precision"):
+        nn.TrainingConfig(precision="float16")
+
+
+def test_tanh_of_single_precision():
+    z = np.concatenate([np.linspace(-12, 12, 5001), [0, -0.0, 60, -60, 1e4, -1e4, np.inf, -np.inf, 1e-20]])
+    with np.errstate(over="ignore"):
+        got = networks._tanh(z.astype(np.float32))
+    assert got.dtype == np.float32 and np.abs(got - np.tanh(z)).max() < 3e-7 and (np.abs(got) <= 1).all()
+    assert np.array_equal(networks._tanh(z.copy()), np.tanh(z))
