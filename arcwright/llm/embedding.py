@@ -1,15 +1,16 @@
 """Near-duplicate embeddings by an exact metric range join over pivots.
 
 On unit vectors a cosine of at least c is a Euclidean distance of at most r = sqrt(2 - 2c).  Each vector belongs to
-the cell of its nearest pivot.  If x of cell i and y of cell j lie within r, the triangle inequality gives
-d(x, p_j) <= d(x, p_i) + 2r, the distance of x from the plane halfway between the pivots is at most r, and
-d(x, p_j) <= radius of j + r; x is replicated to the cells that none of the three rules out.  Of two cells one sends
-to the other, so a pair meets once.  Cells join independently, in blocks of bounded size: products in single
-precision find candidates with a margin, double precision decides.
+the cell of its nearest pivot, and is packed with its cell's others into blocks of bounded size, once: disk grows with
+the vectors.  Each block meets each later one in a task, which reads both; cells further apart than their radii and r
+don't meet.  If x of cell i and y of cell j lie within r, the triangle inequality gives d(x, p_j) <= d(x, p_i) + 2r, the
+distance of x from the plane halfway between the pivots is at most r, and d(x, p_j) <= radius of j + r, and so for y:
+only rows that none of the three rules out are compared.  Products in single precision find candidates with a margin,
+double precision decides.
 
-Numbers of links are summed and components kept as star edges; pairs never leave a task.  Equal vectors are one class
-with a multiplicity.  In many dimensions vectors without structure lie about as far from all pivots: then nearly all
-cells get a replica, and the join costs what comparing all rows in blocks costs, but is no less exact.
+Numbers of links are summed in each task and components kept as star edges; pairs never leave a task.  Equal vectors are
+one class with a multiplicity.  In many dimensions vectors without structure lie about as far from all pivots: then nearly
+all rows of nearly all blocks are compared, and time grows with the square of their number, but nothing else does.
 
 Defined cases: a null or empty vector, one of length zero, or with a null or non-finite component links with nothing;
 neither do vectors of different dimensions; rows with one vec_id are one node; a null vec_id has a null component;
@@ -28,10 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import connected, join_heavy
+from .components import connected, join_heavy, least_of
 
-#: Vectors of a cell as planned, the most pivots, and inner vectors of one task.
-CELL, PIVOTS, BLOCK = 2048, 1024, 1024
+#: Vectors of a cell as planned, the most pivots, and vectors of a block.
+CELL, PIVOTS, BLOCK = 2048, 1024, 4096
+#: Bytes of a file of blocks, as planned, and rows of links that a task holds before it sums them.
+FILE_BYTES, HELD = 8 << 20, 1 << 20
+#: More than distances are rounded by: they are roots of differences of about 1e-16.
+SLACK = 1e-7
 
 
 def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,49 +90,48 @@ def _radii(sent):
     return run
 
 
-def _deal(sent, r: float):
-    """Packed rows (job, role, ids, multiplicities, vectors): role 0 asks, role 1 is only asked about.
-
-    Inner vectors ask in their own block's job and are asked about in those of the cell's earlier blocks."""
+def _placed(sent):
+    """Packed rows (block, ids, multiplicities, vectors), of many blocks in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius, blocks = sent.value
-        first = np.concatenate([[0], np.cumsum(blocks)])
-        slack = 1e-9
-        between = np.maximum(_distances(pivots, pivots), 1e-12)
-        number = np.arange(len(pivots))
+        pivots, _, blocks = sent.value
+        first = np.cumsum(blocks) - blocks
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 x, ids, n = _matrix(b.column("unit"), pivots.shape[1]), b.column("rep").to_numpy(), b.column("n").to_numpy()
-                d = _distances(x, pivots)
-                near = d.argmin(axis=1)
-                own = d[np.arange(len(x)), near][:, None]
-                sends = (near[:, None] < number) ^ ((near[:, None] + number) % 2 == 1)
-                reach = sends & (d <= own + 2 * r + slack) & (d * d - own * own <= 2 * between[near] * r + slack) & (d <= radius + r + slack) & (number != near[:, None]) & (blocks > 0)
-                block = (C.mix(ids.view(np.uint64)) % np.maximum(1, blocks[near]).astype(np.uint64)).astype(np.int64)
-                jobs, role, rows = [first[near] + block], [np.zeros(len(x), np.int64)], [np.arange(len(x))]
-                for extra in range(int(block.max()) if len(block) else 0):
-                    some = np.flatnonzero(block > extra)
-                    jobs.append(first[near[some]] + extra)
-                    role.append(np.ones(len(some), np.int64))
-                    rows.append(some)
-                i, c = np.nonzero(reach)
-                spread = C.ragged(first[c], blocks[c])
-                jobs.append(spread)
-                role.append(np.ones(len(spread), np.int64))
-                rows.append(np.repeat(i, blocks[c]))
-                jobs, role, rows = np.concatenate(jobs), np.concatenate(role), np.concatenate(rows)
-                key = jobs * 2 + role
-                order = np.argsort(key, kind="stable")
-                cut = C.starts_of(key[order])
-                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-                    own_rows = rows[order[a:z]]
-                    k = int(key[order[a]])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k // 2]), pa.array([k % 2]), pa.array([ids[own_rows].tobytes()]), pa.array([n[own_rows].tobytes()]), pa.array([x[own_rows].tobytes()], pa.binary())],
-                        ["job", "role", "ids", "n", "units"],
-                    )
+                near = _distances(x, pivots).argmin(axis=1)
+                block = first[near] + (C.mix(ids.view(np.uint64)) % blocks[near].astype(np.uint64)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                cut = C.starts_of(block[order])
+                parts = [order[i:j] for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(block[order[cut]]), *(pa.array([v[rows].tobytes() for rows in parts], pa.binary()) for v in (ids, n, x))], ["block", "ids", "n", "units"])
+
+    return run
+
+
+def _packed(sent, r: float):
+    """A row for each block, from rows sorted by block, with its cell and the cells whose rows may lie within r of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radius, blocks = sent.value
+        cells = np.repeat(np.arange(len(blocks)), blocks)
+
+        def row(block: int, parts: list[tuple]) -> pa.RecordBatch:
+            cell = int(cells[block])
+            meets = np.union1d(np.flatnonzero(_distances(pivots[cell : cell + 1], pivots)[0] <= radius[cell] + radius + r + SLACK), [cell])
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([cell]), pa.array([meets.tolist()], pa.list_(pa.int64())), *(pa.array([b"".join(v)], pa.binary()) for v in zip(*parts, strict=True))], ["block", "cell", "meets", "ids", "n", "units"])
+
+        last, parts = None, []
+        for b in batches:
+            for block, *values in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "n", "units")), strict=True):
+                if block != last and parts:
+                    yield row(last, parts)
+                    parts = []
+                last = block
+                parts.append(tuple(values))
+        if parts:
+            yield row(last, parts)
 
     return run
 
@@ -152,17 +156,21 @@ class _Labels:
             self.of = to[self.of]
 
 
-def _join_job(roles: list[int], ids: list[np.ndarray], n: list[np.ndarray], units: list[np.ndarray], cosine: float) -> tuple[np.ndarray, ...]:
-    """Numbers of links and labels of a job's rows."""
-    order = sorted(range(len(roles)), key=lambda k: roles[k])
-    asks = sum(len(ids[k]) for k in order if roles[k] == 0)
-    i, m, x = np.concatenate([ids[k] for k in order]), np.concatenate([n[k] for k in order]), np.concatenate([units[k] for k in order])
-    single = x.astype(np.float32)
+def _near(x: np.ndarray, own: int, other: int, pivots: np.ndarray, radius: np.ndarray, r: float) -> np.ndarray:
+    """Rows of a cell that may have a row of the other cell within r."""
+    home, away = (_distances(x, pivots[c : c + 1])[:, 0] for c in (own, other))
+    between = max(1e-12, float(_distances(pivots[own : own + 1], pivots[other : other + 1])[0, 0]))
+    return np.flatnonzero((away <= home + 2 * r + SLACK) & (away * away - home * home <= 2 * between * r + SLACK) & (away <= radius[other] + r + SLACK))
+
+
+def _joined(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...] | None, cosine: float) -> tuple[np.ndarray, ...]:
+    """ids, numbers of links and least linked rows of two blocks (ids, multiplicities, vectors), or of one with itself."""
+    i, m, x = a if b is None else (np.concatenate(v) for v in zip(a, b, strict=True))
+    single, asks, start = x.astype(np.float32), len(a[0]), 0 if b is None else len(a[0])
     links, labels = np.zeros(len(i), np.int64), _Labels(len(i))
-    for a in range(0, asks, 256):
-        z = min(a + 256, asks)
-        p, q = np.nonzero(single[a:z] @ single[a:].T >= np.float32(cosine - 1e-4))
-        p, q = p + a, q + a
+    for at in range(0, asks, 256):
+        p, q = np.nonzero(single[at : min(at + 256, asks)] @ single[start:].T >= np.float32(cosine - 1e-4))
+        p, q = p + at, q + start
         up = q > p
         p, q = p[up], q[up]
         for s in range(0, len(p), 1 << 16):
@@ -171,29 +179,49 @@ def _join_job(roles: list[int], ids: list[np.ndarray], n: list[np.ndarray], unit
             pp, qq = pp[sure], qq[sure]
             links += np.bincount(pp, weights=m[qq], minlength=len(i)).astype(np.int64) + np.bincount(qq, weights=m[pp], minlength=len(i)).astype(np.int64)
             labels.merge(pp, qq)
-    return i, links, labels.of
+    some = np.flatnonzero(links)
+    return i[some], links[some], i[labels.of[some]]
+
 
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """A row for each id: the sum of its links, and the least id that the edges of all rows connect it with."""
+    ids, links, other = (np.concatenate(v) for v in zip(*parts, strict=True))
+    every, least = least_of(ids, other)
+    own, at = np.unique(ids, return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, at, links)
+    return own, total, least[np.searchsorted(every, own)]
 
-def _join(dim: int, cosine: float):
-    """Sorted packed rows to (id, links, other): a number of links, and a star edge to the least row of the component."""
+
+def _join(sent, r: float, cosine: float):
+    """Rows of two blocks each, a and b, to (id, links, other): numbers of links, and star edges to the least row of each
+    component of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job, parts = None, ([], [], [], [])
+        pivots, radius, blocks = sent.value
+        cell = np.repeat(np.arange(len(blocks)), blocks)
+        parts, held, most = [], 0, HELD
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if 0 in parts[0]:
-                ids, links, label = _join_job(*parts, cosine)
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["id", "links", "other"])
+        def block(b: pa.RecordBatch, k: int, side: str) -> tuple[np.ndarray, ...]:
+            ids, n, units = (b.column(side + c)[k].as_buffer() for c in ("ids", "n", "units"))
+            return np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64), np.frombuffer(units, np.float64).reshape(-1, pivots.shape[1])
 
         for b in batches:
-            for j, role, ids, n, units in zip(*(b.column(c).to_pylist() for c in ("job", "role", "ids", "n", "units")), strict=True):
-                if j != job:
-                    yield from done()
-                    job, parts = j, ([], [], [], [])
-                for to, v in zip(parts, (role, np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64), np.frombuffer(units, np.float64).reshape(-1, dim)), strict=True):
-                    to.append(v)
-        yield from done()
+            for k, (i, j) in enumerate(zip(b.column("a_block").to_pylist(), b.column("b_block").to_pylist(), strict=True)):
+                one, two = block(b, k, "a_"), block(b, k, "b_") if i != j else None
+                if cell[i] != cell[j]:
+                    some, others = _near(one[2], cell[i], cell[j], pivots, radius, r), _near(two[2], cell[j], cell[i], pivots, radius, r)
+                    one, two = tuple(v[some] for v in one), tuple(v[others] for v in two)
+                found = _joined(one, two, cosine)
+                if len(found[0]):
+                    parts.append(found)
+                    held += len(found[0])
+                if held > most:
+                    parts = [_summed(parts)]
+                    held = len(parts[0][0])
+                    most = max(HELD, 2 * held)
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in _summed(parts)], ["id", "links", "other"])
 
     return run
 
@@ -213,8 +241,13 @@ def range_join(classes: DataFrame, dim: int, cosine: float, cell: int = CELL, bl
     for s in sizes:
         radius[s.cell], blocks[s.cell] = s.radius, -(-s.n // block)
     plan = spark.sparkContext.broadcast((pivots, radius, blocks))
-    packed = classes.select("rep", "n", "unit").mapInArrow(_deal(plan, r), "job long, role long, ids binary, n binary, units binary")
-    return packed.repartition(max(C.tasks(spark), int(blocks.sum())), "job").sortWithinPartitions("job", "role").mapInArrow(_join(dim, cosine), "id long, links long, other long")
+    files = max(1, min(int(blocks.sum()), max(C.tasks(spark), -(-count * 8 * dim // FILE_BYTES))))
+    placed = classes.select("rep", "n", "unit").mapInArrow(_placed(plan), "block long, ids binary, n binary, units binary")
+    packed = C.stored(placed.repartition(files, "block").sortWithinPartitions("block").mapInArrow(_packed(plan, r), "block long, cell long, meets array<long>, ids binary, n binary, units binary"), "embedding-blocks")
+    # Pairs of the table's own rows by a plain join: none is dealt, a task reads what it joins.
+    a, b = (packed.select(*(F.col(c).alias(f"{side}_{c}") for c in packed.columns)) for side in "ab")
+    pairs = a.join(b, (F.col("a_block") <= F.col("b_block")) & F.array_contains("a_meets", F.col("b_cell")))
+    return pairs.drop("a_cell", "a_meets", "b_cell", "b_meets").mapInArrow(_join(plan, r, cosine), "id long, links long, other long")
 
 
 def links(rows: DataFrame, cosine: float = 0.95, cell: int = CELL, block: int = BLOCK) -> DataFrame:

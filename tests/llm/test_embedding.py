@@ -75,3 +75,34 @@ def test_one_vector_many_times(spark):
     got = embedding.links(df)
     assert got.where(f"n_links = {n} and component_id = 0 and kept = (vec_id = 0)").count() == n + 1
     assert [tuple(r) for r in got.where("n_links = 0").collect()] == [(n + 1, 0, n + 1, True)]
+
+
+def test_each_vector_is_dealt_and_packed_once(spark, monkeypatch):
+    """Vectors without structure may lie near any cell: blocks meet by reading, and no copies of vectors are shuffled."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 24))
+    x[300:] = x[:300] + r.normal(size=(300, 24)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    made, real = {}, embedding.C.stored
+    monkeypatch.setattr(embedding.C, "stored", lambda df, name: made.update({name: df}) or real(df, name))
+    got = result(embedding.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), cell=20, block=16))
+    assert got == brute(rows) and sum(n for _, n, _, _ in got) > 0
+    blocks = [(r.block, len(r.ids) // 8) for r in made["embedding-blocks"].select("block", "ids").collect()]
+    assert sum(n for _, n in blocks) == 600 and len(blocks) == len(set(blocks)) > 30
+    assert "hashpartitioning" not in made["embedding-links"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_a_task_are_summed():
+    ids, links, other = embedding._summed([(np.array([5, 7, 9]), np.array([1, 2, 1]), np.array([5, 5, 9])), (np.array([7, 8, 20]), np.array([3, 3, 1]), np.array([7, 7, 20]))])
+    assert list(zip(ids.tolist(), links.tolist(), other.tolist())) == [(5, 1, 5), (7, 5, 5), (8, 3, 5), (9, 1, 9), (20, 1, 20)]
+
+
+def test_far_cells_do_not_meet(spark, monkeypatch):
+    """Three narrow bundles of vectors: only blocks of one bundle are joined."""
+    r = np.random.default_rng(6)
+    rows = [(i, (np.eye(4)[i % 3] + r.normal(size=4) * 0.02).tolist()) for i in range(300)]
+    made, real = {}, embedding.C.stored
+    monkeypatch.setattr(embedding.C, "stored", lambda df, name: made.update({name: df}) or real(df, name))
+    assert result(embedding.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=25, block=1024)) == brute(rows)
+    blocks = made["embedding-blocks"].select("cell", "meets").collect()
+    assert all(r.cell in r.meets for r in blocks) and sum(len(r.meets) for r in blocks) < len(blocks) ** 2 / 2
