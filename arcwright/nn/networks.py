@@ -209,35 +209,39 @@ class WidthNet:
 
 
 class AdamW:
-    """Changes parameters in place.  Sums of gradients (m) and of their squares (s), weighted by 0.9 and 0.999 a step, are one
-    vector each, as most parameters are short."""
+    """Changes parameters in place.  Sums of gradients (m) and of their squares (s) are weighted by 0.9 and 0.999 a step.
+    Long parameters are taken one at a time, short ones together: a call costs as much as thousands of numbers."""
+
+    LONG = 4096
 
     def __init__(self, parameters: list[np.ndarray], rate: float = 1e-3, decay: float = 1e-7) -> None:
         self.p, self.rate, self.decay, self.t = parameters, rate, decay, 0
-        self.m, self.s = (np.zeros_like(self._flat(parameters)) for _ in range(2))
+        short = [i for i, p in enumerate(parameters) if p.size < self.LONG]
+        self.groups = [[i] for i in range(len(parameters)) if i not in short] + ([short] if short else [])
+        self.m, self.s = ([np.zeros_like(self._flat(parameters, group)) for group in self.groups] for _ in range(2))
 
     @staticmethod
-    def _flat(parts: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in parts])
+    def _flat(parts: list[np.ndarray], group: list[int]) -> np.ndarray:
+        return parts[group[0]].ravel() if len(group) == 1 else np.concatenate([parts[i].ravel() for i in group])
 
     def step(self, grads: list[np.ndarray]) -> None:
         self.t += 1
-        g = self._flat(grads)
-        self.m *= 0.9
-        self.m += g
-        g *= g
-        self.s *= 0.999
-        self.s += g
-        u = np.multiply(self.s, 0.001 / (1 - 0.999**self.t), out=g)
-        np.sqrt(u, out=u)
-        u += 1e-8
-        np.divide(self.m, u, out=u)
-        u *= 0.1 / (1 - 0.9**self.t)
-        decay = self._flat(self.p)
-        decay *= self.decay
-        u += decay
-        u *= self.rate
-        at = 0
-        for p in self.p:
-            p -= u[at : at + p.size].reshape(p.shape)
-            at += p.size
+        for group, m, s in zip(self.groups, self.m, self.s, strict=True):
+            g = self._flat(grads, group)
+            m *= 0.9
+            m += g
+            u = g * g
+            s *= 0.999
+            s += u
+            np.multiply(s, 0.001 / (1 - 0.999**self.t), out=u)
+            np.sqrt(u, out=u)
+            u += 1e-8
+            np.divide(m, u, out=u)
+            u *= 0.1 / (1 - 0.9**self.t)
+            u += self._flat(self.p, group) * self.decay
+            u *= self.rate
+            at = 0
+            for i in group:
+                p = self.p[i]
+                p -= u[at : at + p.size].reshape(p.shape)
+                at += p.size

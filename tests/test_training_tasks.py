@@ -86,7 +86,7 @@ def test_all_steps_are_in_single_precision(arcs, monkeypatch, options, n_freq):
     df, order = (x.where("stream_id = 'a'").toPandas() for x in arcs)
     ws, path = df[list((*S.q, *S.v))].to_numpy(), order.dropna().sort_values("ord").index.to_numpy()
     kinds, real = set(), training.AdamW.step
-    monkeypatch.setattr(training.AdamW, "step", lambda self, grads: kinds.update(x.dtype.name for x in (*grads, *self.p, self.m, self.s)) or real(self, grads))
+    monkeypatch.setattr(training.AdamW, "step", lambda self, grads: kinds.update(x.dtype.name for x in (*grads, *self.p, *self.m, *self.s)) or real(self, grads))
     *nets, rng = nn.PathAutoencoder(encoder_size=(8, 1), track_size=(8, 1), n_freq=n_freq).make(2, options.get("membership"))
     training.train_all(*nets, ws, path, nn.TrainingConfig(**SHORT, **options), rng)
     assert kinds == {"float32"}
