@@ -112,3 +112,13 @@ def test_tanh_of_single_precision():
         got = networks._tanh(z.astype(np.float32))
     assert got.dtype == np.float32 and np.abs(got - np.tanh(z)).max() < 3e-7 and (np.abs(got) <= 1).all()
     assert np.array_equal(networks._tanh(z.copy()), np.tanh(z))
+
+
+def test_sums_of_gradients_do_not_become_subnormal():
+    p = [np.ones((80, 80), np.float32), np.ones(3, np.float32)]
+    adam = networks.AdamW(p)
+    adam.step([np.full_like(x, 1e-3) for x in p])
+    for _ in range(2000):
+        adam.step([np.zeros_like(x) for x in p])
+    assert all(((x == 0) | (np.abs(x) >= np.finfo(np.float32).tiny)).all() for x in (*adam.m, *adam.s))
+    assert all((adam.m[i] == 0).all() and (adam.s[i] > 0).all() for i in range(2))
